@@ -8,7 +8,7 @@ columns, never the order in which Spark happens to read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions.projection import computed_once
@@ -22,6 +22,7 @@ from pricelens.functions.text import (
     snake_case,
     strip,
 )
+from pricelens.functions.windows import first_rows
 
 PROVENANCE = "source_file"
 
@@ -59,8 +60,7 @@ def _first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key; each task keeps one candidate per key before the shuffle."""
     rest = [c for c in df.columns if c not in keys and c not in order]
     sort = [F.asc_nulls_last(c) for c in [*order, *rest]] or [F.lit(0)]
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))
-    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+    return first_rows(df, keys, sort, 1)
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.dates import between, latest_date
 from pricelens.functions.params import optional_date, positive_int, required_date
+from pricelens.functions.size import MAX_SECTORS, skewed_join
+from pricelens.functions.windows import first_rows
 from pricelens.operators.prices import daily_return, primary_price
 from pricelens.tables import Tables, listed_companies
 
@@ -46,7 +48,7 @@ def top_gainers(tables: Tables, trading_date, limit=10) -> DataFrame:
     averages = paired.groupBy("sector_id").agg(F.avg("pct_change").alias("avg_sector_change"))
     order = [F.desc("pct_change"), F.asc("ticker"), F.asc("company_id")]
     best = (
-        paired.join(averages, "sector_id")
+        skewed_join(paired, averages, "sector_id", tables.sector, MAX_SECTORS)
         .filter("pct_change > avg_sector_change")
         .orderBy(*order)
         .limit(limit)
@@ -155,17 +157,14 @@ def sector_momentum(
         F.avg("return_7d").alias("avg_sector_return"),
         F.count_if(F.col("return_7d").isNull()).alias("nulls_first"),
     )
-    # Rows above the mean rank after the sector's null returns, then among themselves. Only the
-    # best `limit` of each sector can be shown.
+    compared = skewed_join(returns, sectors, "sector_id", tables.sector, MAX_SECTORS)
+    above = compared.filter("return_7d > avg_sector_return")
+    # Only the best `limit` of each sector can be shown. They rank after the sector's null
+    # returns and then among themselves.
+    order = [F.desc("return_7d"), F.asc("ticker"), F.asc("company_id")]
     in_sector = Window.partitionBy("sector_id").orderBy(F.desc("return_7d"))
-    unique = Window.partitionBy("sector_id").orderBy(
-        F.desc("return_7d"), F.asc("ticker"), F.asc("company_id")
-    )
     return (
-        returns.join(sectors, "sector_id")
-        .filter("return_7d > avg_sector_return")
-        .withColumn("place", F.row_number().over(unique))
-        .filter(F.col("place") <= limit)
+        first_rows(above, ["sector_id"], order, limit)
         .withColumn("sector_rank", (F.rank().over(in_sector) + F.col("nulls_first")).cast("int"))
         .orderBy("sector_name", "sector_rank", "ticker", "company_id")
         .limit(limit)
@@ -206,10 +205,8 @@ def source_disagreement(tables: Tables, start, end, min_sources=2, limit=50) ->
         .withColumn("pct_spread", spread / F.nullif(F.col("mean_close"), F.lit(0.0)) * 100)
     )
     widest = [F.desc_nulls_last("pct_spread"), F.desc_nulls_last("close_spread")]
-    worst = Window.partitionBy("company_id").orderBy(*widest, F.desc("trading_date"))
     return (
-        days.withColumn("place", F.row_number().over(worst))
-        .filter("place = 1")
+        first_rows(days, ["company_id"], [*widest, F.desc("trading_date")], 1)
         .join(tables.company.select("company_id", "ticker", "company_name"), "company_id")
         .orderBy(*widest, F.asc("ticker"), F.asc("company_id"))
         .limit(limit)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.companies import only_ids, with_ticker
 from pricelens.functions.params import optional_ticker, positive_int
+from pricelens.functions.size import MAX_ARTICLES, MAX_SECTORS, skewed_join
+from pricelens.functions.windows import first_rows
 from pricelens.tables import Tables, listed_companies
 
 ARTICLE_COLUMNS = (
@@ -33,6 +35,23 @@ def _recent(news: DataFrame, lookback_days: int, now: dt.datetime | None) -> Dat
     return news.filter(F.col("published_at") >= first)
 
 
+def _newest(seen: DataFrame, recency: list, limit: int) -> DataFrame:
+    """The first `limit` mentions per company, each copy a row, with their rank."""
+    order = [*recency, F.desc_nulls_last("mention_confidence")]
+    of_company = Window.partitionBy("company_id")
+    before = F.sum("copies").over(
+        of_company.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return (
+        first_rows(seen, ["company_id"], order, limit)
+        .withColumn("room", F.lit(limit) - F.coalesce(before, F.lit(0)))
+        .filter("room > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", "room"))))
+        .withColumn("recency_rank", F.rank().over(of_company.orderBy(*recency)))
+        .drop("copies", "room", "copy")
+    )
+
+
 def company_news(
     tables: Tables, ticker=None, lookback_days=30, limit=10, now: dt.datetime | None = None
 ) -> DataFrame:
@@ -50,23 +69,25 @@ def company_news(
     if ticker is not None:
         mentions = only_ids(mentions, with_ticker(tables.company, ticker))
     recent = _recent(tables.news_article, lookback_days, now)
-    seen = mentions.select("article_id", "company_id", "mention_confidence").join(
-        recent.select("article_id", "published_at"), "article_id"
+    recency = [F.desc("published_at"), F.desc("article_id")]
+    seen = (
+        skewed_join(
+            mentions.select("article_id", "company_id", "mention_confidence"),
+            recent.select("article_id", "published_at"),
+            "article_id",
+            recent,
+            MAX_ARTICLES,
+        )
+        # Equal mentions collapse here. The filter is always true; it keeps the plan below equal
+        # for the counts and the newest rows, so that Spark runs it once.
+        .groupBy("company_id", "article_id", "published_at", "mention_confidence")
+        .agg(F.count("*").alias("copies"))
+        .filter("copies > 0")
     )
     counts = seen.groupBy("company_id").agg(
         F.count_distinct("article_id").alias("articles_in_window")
     )
-    recency = [F.desc("published_at"), F.desc("article_id")]
-    of_company = Window.partitionBy("company_id")
-    place = F.row_number().over(
-        of_company.orderBy(*recency, F.desc_nulls_last("mention_confidence"))
-    )
-    newest = (
-        seen.withColumn("place", place)
-        .filter(F.col("place") <= limit)
-        .withColumn("recency_rank", F.rank().over(of_company.orderBy(*recency)))
-        .drop("published_at", "place")
-    )
+    newest = _newest(seen, recency, limit).drop("published_at")
     result = (
         newest.join(counts, "company_id")
         .join(
@@ -120,9 +141,9 @@ def trending_news(
     min_articles = positive_int(min_articles, 5, "min_articles")
     limit = positive_int(limit, 10, "limit")
     recent = _recent(tables.news_article, lookback_days, now).select("article_id")
+    mentions = tables.article_mention.select("article_id", "company_id")
     counts = (
-        tables.article_mention.select("article_id", "company_id")
-        .join(recent, "article_id", "left_semi")
+        skewed_join(mentions, recent, "article_id", recent, MAX_ARTICLES, "left_semi")
         .groupBy("company_id")
         .agg(F.count_distinct("article_id").alias("article_count"))
         .join(listed_companies(tables), "company_id")
@@ -131,9 +152,9 @@ def trending_news(
         F.avg("article_count").alias("avg_sector_mentions")
     )
     order = [F.desc("article_count"), F.asc("ticker"), F.asc("company_id")]
+    enough = counts.filter(F.col("article_count") >= min_articles)
     best = (
-        counts.filter(F.col("article_count") >= min_articles)
-        .join(averages, "sector_id")
+        skewed_join(enough, averages, "sector_id", tables.sector, MAX_SECTORS)
         .filter("article_count > avg_sector_mentions")
         .orderBy(*order)
         .limit(limit)

@@ -2,8 +2,8 @@
 
 Two size facts carry the plans here. After `primary_price` a company has at most one row per
 calendar day, so a window over one company is bounded by the length of the calendar. A sector on
-one day has as many rows as it has companies, which is not bounded, so sector ranks are counted
-per price band (`sector_position`) and no task ever holds a whole sector.
+one day has as many rows as it has companies; that number is checked, and beyond a bound ranks are
+counted per price band, so that no task holds a whole sector (`sector_position`).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.companies import only_ids, with_ticker
 from pricelens.functions.dates import between
 from pricelens.functions.params import optional_date, optional_ticker
+from pricelens.functions.size import at_most
 from pricelens.tables import Tables, listed_companies
 
 QUOTES = ("open", "high", "low", "close", "adj_close", "volume")
@@ -112,10 +113,22 @@ def with_moving_average(prices: DataFrame, rows: int) -> DataFrame:
     return prices.withColumn(f"ma_{rows}_day", moving_average(rows))
 
 
+# Up to this many companies their ids are broadcast (two numbers each), and a sector on one day,
+# which has at most a row per company, is ranked by one task.
+MAX_COMPANIES = 1_000_000
+
+def _sector_ids(companies: DataFrame, max_companies: int) -> tuple[DataFrame, bool]:
+    """company_id and sector_id, broadcast if there are few companies, and whether there are."""
+    ids = companies.select("company_id", "sector_id")
+    few = at_most(ids, max_companies)
+    return (F.broadcast(ids) if few else ids), few
+
+
 def sector_benchmark(primary: DataFrame, companies: DataFrame) -> DataFrame:
     """Mean close per sector and day. `companies` holds company_id and sector_id."""
+    ids, _ = _sector_ids(companies, MAX_COMPANIES)
     return (
-        primary.join(companies.select("company_id", "sector_id"), "company_id")
+        primary.join(ids, "company_id")
         .groupBy("sector_id", "trading_date")
         .agg(F.avg("close").alias("sector_avg_close"))
     )
@@ -137,8 +150,26 @@ def _price_band(close: Column) -> Column:
     )
 
 
-def sector_position(prices: DataFrame) -> DataFrame:
-    """Adds sector_price_rank and sector_avg_close to rows that carry sector_id.
+def sector_position(
+    prices: DataFrame, companies: DataFrame, max_companies: int = MAX_COMPANIES
+) -> DataFrame:
+    """Adds sector_id, sector_avg_close and sector_price_rank to rows of company, day and close.
+
+    `companies` holds company_id and sector_id. Prices of companies not in it are left out.
+    """
+    ids, few = _sector_ids(companies, max_companies)
+    rows = prices.join(ids, "company_id")
+    if not few:
+        return _banded_position(rows)
+    of_day = Window.partitionBy("sector_id", "trading_date")
+    by_close = of_day.orderBy(F.col("close").desc_nulls_last())
+    return rows.withColumn("sector_price_rank", F.rank().over(by_close)).withColumn(
+        "sector_avg_close", F.avg("close").over(of_day)
+    )
+
+
+def _banded_position(prices: DataFrame) -> DataFrame:
+    """The same for sectors of any size: no task sees a whole sector.
 
     rank = rows in higher price bands + rank inside the own band. The bands of a sector and day
     are a few hundred pre-aggregated rows, which also hold the sums for the average; the rows
@@ -149,6 +180,7 @@ def sector_position(prices: DataFrame) -> DataFrame:
     in_band = Window.partitionBy(*day, "band").orderBy(F.col("close").desc_nulls_last())
     of_day = Window.partitionBy(*day)
     higher = of_day.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    closes = F.nullif(F.sum("closes").over(of_day), F.lit(0))
     bands = (
         banded.groupBy(*day, "band")
         .agg(
@@ -160,9 +192,7 @@ def sector_position(prices: DataFrame) -> DataFrame:
             *day,
             "band",
             F.coalesce(F.sum("rows").over(higher), F.lit(0)).alias("above"),
-            (
-                F.sum("total").over(of_day) / F.nullif(F.sum("closes").over(of_day), F.lit(0))
-            ).alias("sector_avg_close"),
+            (F.sum("total").over(of_day) / closes).alias("sector_avg_close"),
         )
     )
     return (
@@ -173,14 +203,14 @@ def sector_position(prices: DataFrame) -> DataFrame:
     )
 
 
-def sector_price_rank(primary: DataFrame, companies: DataFrame) -> DataFrame:
+def sector_price_rank(
+    primary: DataFrame, companies: DataFrame, max_companies: int = MAX_COMPANIES
+) -> DataFrame:
     """Rank of the close inside sector and day, highest first, null closes last."""
-    placed = sector_position(
-        primary.select("company_id", "trading_date", "close").join(
-            companies.select("company_id", "sector_id"), "company_id"
-        )
+    closes = primary.select("company_id", "trading_date", "close")
+    return sector_position(closes, companies, max_companies).select(
+        "sector_id", "trading_date", "company_id", "sector_price_rank"
     )
-    return placed.select("sector_id", "trading_date", "company_id", "sector_price_rank")
 
 
 SERIES_COLUMNS = (
@@ -210,9 +240,7 @@ def price_series(tables: Tables, ticker=None, start=None, end=None) -> DataFrame
     companies = listed_companies(tables)
     if ticker is None:
         prices = primary_price(tables.price_daily, tables.price_source, start, end)
-        placed = sector_position(
-            prices.join(companies.select("company_id", "sector_id"), "company_id")
-        )
+        placed = sector_position(prices, companies)
     else:
         companies = with_ticker(companies, ticker)
         placed = _placed_one(tables, companies, start, end)
@@ -241,15 +269,15 @@ def _placed_one(tables: Tables, target: DataFrame, start, end) -> DataFrame:
     """
     own = primary_price(only_ids(tables.price_daily, target), tables.price_source, start, end)
     own = own.join(target.select("company_id", "sector_id"), "company_id")
-    sector_ids = target.select("sector_id")
-    peers = listed_companies(tables).join(sector_ids, "sector_id", "left_semi")
+    peers = listed_companies(tables).join(target.select("sector_id"), "sector_id", "left_semi")
+    ids, _ = _sector_ids(peers, MAX_COMPANIES)
     closes = primary_price(
-        tables.price_daily.join(peers.select("company_id"), "company_id", "left_semi"),
+        tables.price_daily.join(ids, "company_id", "left_semi"),
         tables.price_source,
         start,
         end,
         columns=("close",),
-    ).join(peers.select("company_id", "sector_id"), "company_id")
+    ).join(ids, "company_id")
     # At most one row per calendar day and company of that ticker, so small enough to broadcast.
     own_closes = own.select(
         "sector_id", "trading_date", F.col("company_id").alias("own_id"), F.col("close").alias("own")

@@ -6,10 +6,11 @@ files. All input files of a table are written by one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions.text import snake_case_text
+from pricelens.functions.windows import first_rows
 from pricelens.operators.clean import PROVENANCE, clean_order
 from pricelens.operators.staging import file_name
 
@@ -26,8 +27,7 @@ def stem(path=PROVENANCE) -> Column:
 
 def sample_rows(cleaned: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """First rows of each input file in the order of the cleaned table."""
-    place = F.row_number().over(Window.partitionBy(PROVENANCE).orderBy(*clean_order(cleaned)))
-    return cleaned.withColumn("_place", place).filter(F.col("_place") <= rows).drop("_place")
+    return first_rows(cleaned, [PROVENANCE], clean_order(cleaned), rows)
 
 
 def write_sample(cleaned: DataFrame, path: str, rows: int = SAMPLE_ROWS) -> None:

@@ -54,6 +54,12 @@ def sector_price_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.sector_price_rank(primary, listed_companies(tables))
 
 
+def sector_price_rank_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for sectors too big for one task."""
+    primary, tables = _primary_c(spark, sf_dir)
+    return prices.sector_price_rank(primary, listed_companies(tables), max_companies=0)
+
+
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     primary = _primary_c(spark, sf_dir)[0].select("company_id", "trading_date", "close")
     averaged = prices.with_moving_average(prices.with_moving_average(primary, 7), 30)
@@ -152,6 +158,7 @@ QUERIES = {
         latest_primary_trade,
         sector_benchmark,
         sector_price_rank,
+        sector_price_rank_banded,
         moving_average,
         daily_return,
         price_series,
