@@ -90,7 +90,7 @@ def header_line(spark: SparkSession, path: str) -> str:
 
 def header_names(line: str) -> tuple[str, ...]:
     """Column names of a header line; a blank name becomes `Unnamed: <position>`."""
-    cells = next(csv.reader([line.removeprefix("﻿")]))
+    cells = next(csv.reader([line.removeprefix("\ufeff")]))
     names, taken = [], defaultdict(int)
     for i, cell in enumerate(cells):
         name = cell if cell.strip() else f"Unnamed: {i}"
