@@ -66,7 +66,10 @@ def snake_case_text(text: Column) -> Column:
 def strip(text) -> Column:
     """Without white space around. A text between two plain ASCII characters is taken as it is."""
     column = F.col(text) if isinstance(text, str) else text
-    plain = F.ascii(column).between(33, 126) & F.ascii(F.right(column, F.lit(1))).between(33, 126)
+    # Texts compare by bytes, so the first character decides without being cut out.
+    first = (column >= "!") & (column < "\x7f")
+    last = F.substring(column, -1, 1).between("!", "~")
+    plain = first & last
     return F.when(plain, column).otherwise(F.btrim(column, F.lit(WHITE_SPACE)))
 
 
@@ -138,7 +141,7 @@ def parse_timestamp(text, formats=DATE_FORMATS) -> Column:
         if template:
             iso = F.regexp_replace(iso, date_shape(date_format), template)
     # A bare number or a time of day would cast as well; neither is a date here.
-    as_iso = F.when(column.rlike(r"^\d{4}-\d"), column.try_cast("timestamp_ntz"))
+    as_iso = F.when(F.substring(column, 5, 1) == "-", column.try_cast("timestamp_ntz"))
     rewritten = F.when(column.rlike(_DIGITS_FIRST), iso.try_cast("timestamp_ntz"))
     named = [
         F.when(

@@ -75,7 +75,8 @@ def snake_case_columns(df: DataFrame) -> DataFrame:
 
 def normalize_strings(df: DataFrame) -> DataFrame:
     """Strip the text columns; `nan`, `None` and `NaT` become null."""
-    return computed_once(df, {c: null_if_in(strip(c), MISSING_TEXTS) for c in _texts(df)})
+    stripped = computed_once(df, {c: strip(c) for c in _texts(df)})
+    return computed_once(stripped, {c: null_if_in(c, MISSING_TEXTS) for c in _texts(df)})
 
 
 def is_date_name(name: str, match: str = "token") -> bool:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricelens.operators.clean import PROVENANCE, basic_clean
 from pricelens.sources import export
-from pricelens.sources.files import inventory, select_files, write_inventory
+from pricelens.sources.files import inventory, root_length, select_files, write_inventory
 from pricelens.sources.raw_csv import (
     OVERFLOW,
     FileGroup,
@@ -113,7 +113,9 @@ def clean_dataset(
             export.write_sample(cleaned.rows, f"{out}/samples")
             stats = export.write_full_or_chunked(cleaned.rows, f"{out}/cleaned")
             logs.append(_log_rows(cleaned, stats))
-    errors = [(_below(p, root), "ERROR", None, None, None, reason) for p, reason in failed]
+    errors = [
+        (p[root_length(p, root) :], "ERROR", None, None, None, reason) for p, reason in failed
+    ]
     log = functools.reduce(
         DataFrame.unionByName, logs, spark.createDataFrame(errors, LOG_SCHEMA)
     )
@@ -130,8 +132,3 @@ def clean_dataset(
     )
     log.unionByName(empty).write.csv(f"{out}/log", header=True)
     return spark.read.schema(LOG_SCHEMA).csv(f"{out}/log", header=True)
-
-
-def _below(path: str, root: str) -> str:
-    folder = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return path.split(folder + "/", 1)[-1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,29 @@ MARKET_DATASET = "01_stock_market_data"
 MARKET_WORD = "sp500"
 
 
+_FILE_SYSTEM = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _folder(root: str) -> str:
+    return posixpath.normpath(urlsplit(root).path).rstrip("/")
+
+
+def root_length(path: str, root: str) -> int:
+    """How many characters of a full file path lie before its part below `root`."""
+    system = re.match(_FILE_SYSTEM, path)
+    start = system.end() if system else 0
+    folder = _folder(root)
+    if folder.startswith("/") or not folder:
+        return start + len(folder) + 1
+    return path.index(f"/{folder}/", start) + len(folder) + 2
+
+
 def below(path, root: str) -> Column:
     """The part of a full file path below `root`, which may or may not name its file system."""
-    folder = posixpath.normpath(urlsplit(root).path)
-    local = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    if folder.startswith("/"):
-        return F.substring(local, len(folder.rstrip("/")) + 2, 1 << 30)
+    folder = _folder(root)
+    local = F.regexp_replace(path, _FILE_SYSTEM, "")
+    if folder.startswith("/") or not folder:
+        return F.substring(local, len(folder) + 2, 1 << 30)
     marker = f"/{folder}/"
     return F.substring(local, F.instr(local, marker) + len(marker), F.lit(1 << 30))
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from pricelens.functions.text import NA_TOKENS, null_if_in
 from pricelens.operators.clean import PROVENANCE
-from pricelens.sources.files import below
+from pricelens.sources.files import below, root_length
 
 CLEANED_PATTERN = "*__cleaned.csv"
 
@@ -26,6 +26,9 @@ CLEANED_PATTERN = "*__cleaned.csv"
 OVERFLOW = "__overflow"
 
 
+_ALL = 1 << 30
+
+
 @dataclass(frozen=True)
 class FileGroup:
     """Files with one header; `multi_line` when a quoted cell runs over a line end."""
@@ -45,10 +48,18 @@ def _decoded(path) -> Column:
     return F.when(path.contains("%"), F.url_decode(plus_kept)).otherwise(path)
 
 
-def input_name(root: str) -> Column:
-    """The input file below `root`; a CSV folder written by Spark counts as one file."""
-    path = below(_decoded(F.col("_metadata.file_path")), root)
-    return F.regexp_replace(path, r"(\.csv)/part-[^/]*$", "$1")
+def input_name(root: str, example: str | None = None) -> Column:
+    """The input file below `root`; a CSV folder written by Spark counts as one file.
+
+    With the path of one of the files, the length of the root need not be found per row.
+    """
+    path = _decoded(F.col("_metadata.file_path"))
+    if example is None:
+        path = below(path, root)
+    else:
+        path = F.substring(path, root_length(example, root) + 1, _ALL)
+    part = F.regexp_replace(path, r"(\.csv)/part-[^/]*$", "$1")
+    return F.when(path.contains(".csv/part-"), part).otherwise(path)
 
 
 def scan_headers(spark: SparkSession, paths) -> DataFrame:
@@ -125,7 +136,7 @@ def read_group(
         .csv([escape_glob(p) for p in group.paths])
     )
     return rows.select(
-        input_name(root).alias(PROVENANCE),
+        input_name(root, group.paths[0]).alias(PROVENANCE),
         *[null_if_in(p, na_tokens).alias(n) for p, n in zip(positions, group.columns)],
         OVERFLOW,
     )

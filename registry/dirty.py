@@ -31,7 +31,7 @@ def dirty_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirty_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.to_date("o_orderdate").cast("string")
     american = F.date_format("o_orderdate", "MM/dd/yyyy")
     slot = key % 100
     return orders.select(
@@ -54,7 +54,7 @@ def dirty_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = (F.floor(F.col("l_extendedprice") / 20000) * 20000).cast("bigint")
     number = F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(F.col("l_suppkey") % 25)
     folder = F.when(number < 20, "sp500/t").otherwise("other/t")
-    iso = F.date_format("l_shipdate", "yyyy-MM-dd")
+    iso = F.to_date("l_shipdate").cast("string")
     american = F.date_format("l_shipdate", "MM/dd/yyyy")
     return read(spark, sf_dir, "lineitem").select(
         F.concat(folder, F.lpad(number.cast("string"), 2, "0"), F.lit(".csv")).alias(_FILE),

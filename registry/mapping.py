@@ -1,13 +1,13 @@
 """The star schema seen in the TPC-H-like test tables.
 
 Map C: customers are companies, their events the price feeds. Map S: suppliers are companies,
-line items their prices and mentions, orders the news.
+line items their prices and mentions, orders the news. Tables are given as SQL expressions; only
+the ones a query names are opened.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pricelens.tables import Tables
 
@@ -22,155 +22,162 @@ FEEDS_C = {
 # Return flag -> (source_id, priority_rank).
 FEEDS_S = {"A": (1, 2), "N": (2, 1), "R": (3, 3)}
 
+# Given, so that opening a table starts no job to find its columns.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": (
+        "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
+    ),
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+        "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+        "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": (
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+        "props STRING"
+    ),
+}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _sectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    sector = read(spark, sf_dir, "region").select(
-        F.col("r_regionkey").cast("bigint").alias("sector_id"), F.col("r_name").alias("sector_name")
-    )
-    industry = read(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("industry_id"),
-        F.col("n_name").alias("industry_name"),
-        F.col("n_regionkey").cast("bigint").alias("sector_id"),
-    )
-    return sector, industry
-
-
-def _feeds(spark, feeds) -> DataFrame:
-    return spark.createDataFrame(list(feeds.values()), "source_id BIGINT, priority_rank INT")
-
-
-def _source_id(column, feeds):
-    chosen = None
-    for name, (source_id, _) in feeds.items():
-        test = F.col(column) == name
-        chosen = F.when(test, source_id) if chosen is None else chosen.when(test, source_id)
-    return chosen.cast("bigint")
-
-
-def _code(prefix, column):
-    return F.concat(F.lit(prefix), F.lpad(F.col(column).cast("string"), 6, "0"))
-
-
-def tables_c(spark: SparkSession, sf_dir: str) -> Tables:
-    sector, industry = _sectors(spark, sf_dir)
-    customer = read(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
-    company = customer.select(
-        key.alias("company_id"),
-        _code("C", "c_custkey").alias("ticker"),
-        F.col("c_name").alias("company_name"),
-        F.col("c_mktsegment").alias("exchange"),
-        F.lpad(key.cast("string"), 10, "0").alias("cik"),
-        F.col("c_nationkey").cast("bigint").alias("industry_id"),
-    )
-    events = read(spark, sf_dir, "events")
-    price_daily = events.groupBy(
-        F.col("user_id").alias("company_id"),
-        _source_id("event_type", FEEDS_C).alias("source_id"),
-        F.to_date("ts").alias("trading_date"),
-    ).agg(
-        F.min_by("value", "event_id").alias("open"),
-        F.max("value").alias("high"),
-        F.min("value").alias("low"),
-        F.max("value").alias("close"),
-        F.max("value").alias("adj_close"),
-        F.count("*").alias("volume"),
-    )
-    profile = customer.select(
-        key.alias("company_id"),
-        F.col("c_name").alias("short_name"),
-        F.upper("c_name").alias("long_name"),
-        F.when(key % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("city"),
-        F.when(key % 2 == 0, None).otherwise(F.col("c_nationkey").cast("string")).alias("state"),
-        F.when(key % 12 == 0, "").otherwise("Country").alias("country"),
-        F.lit(None).cast("string").alias("long_business_summary"),
-        F.col("c_acctbal").alias("current_price"),
-        (F.col("c_acctbal") * 1000).alias("market_cap"),
-        F.when(key % 7 == 0, None).otherwise(F.col("c_acctbal") * 10).alias("ebitda"),
-        F.lit(None).cast("double").alias("revenue_growth"),
-        F.lit(None).cast("double").alias("weight"),
-    )
-    total = F.col("o_totalprice")
-    # Whole cents, so that the mean does not depend on the order of the sum.
-    mean = F.sum(F.round(total * 100).cast("bigint")) / F.count(total) / 100.0
-    snapshot = (
-        read(spark, sf_dir, "orders")
-        .groupBy(F.col("o_custkey").alias("company_id"))
-        .agg(mean.alias("price"), F.min(total).alias("low"), F.max(total).alias("high"))
-        .select(
-            "company_id",
-            "price",
-            F.lit(None).cast("double").alias("price_earnings"),
-            F.lit(None).cast("double").alias("dividend_yield"),
-            F.lit(None).cast("double").alias("earnings_share"),
-            F.when(F.col("company_id") % 4 == 0, None).otherwise(F.col("low")).alias("week_52_low"),
-            F.col("high").alias("week_52_high"),
-            F.when(F.col("company_id") % 5 == 0, 0.0)
-            .otherwise(F.col("high") * 100)
-            .alias("market_cap"),
-            F.when(F.col("company_id") % 3 == 0, None).otherwise(F.col("low") * 10).alias("ebitda"),
-            F.lit(None).cast("double").alias("price_sales"),
-            F.lit(None).cast("double").alias("price_book"),
-            F.lit(None).cast("string").alias("sec_filings"),
-        )
-    )
-    return Tables(
-        sector=sector,
-        industry=industry,
-        company=company,
-        company_profile=profile,
-        company_financial_snapshot=snapshot,
-        price_source=_feeds(spark, FEEDS_C),
-        price_daily=price_daily,
-    )
-
-
-def tables_s(spark: SparkSession, sf_dir: str) -> Tables:
-    sector, industry = _sectors(spark, sf_dir)
-    company = read(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("company_id"),
-        _code("S", "s_suppkey").alias("ticker"),
-        F.col("s_name").alias("company_name"),
-        F.lit(None).cast("string").alias("exchange"),
-        F.lit(None).cast("string").alias("cik"),
-        F.col("s_nationkey").cast("bigint").alias("industry_id"),
-    )
-    lineitem = read(spark, sf_dir, "lineitem")
-    price_daily = lineitem.groupBy(
-        F.col("l_suppkey").alias("company_id"),
-        _source_id("l_returnflag", FEEDS_S).alias("source_id"),
-        F.to_date("l_shipdate").alias("trading_date"),
-    ).agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
-    news = read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("article_id"),
-        F.col("o_orderpriority").alias("source"),
-        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
-        F.lit(None).cast("string").alias("summary"),
-        F.concat(F.lit("http://x/"), F.col("o_orderkey").cast("string")).alias("url"),
-        F.col("o_orderdate").alias("published_at"),
-        F.length("o_orderpriority").alias("lm_level"),
-        F.col("o_totalprice").alias("lm_score1"),
-        F.lit(None).cast("double").alias("lm_score2"),
-        F.when(F.col("o_orderstatus") == "F", "Positive")
-        .when(F.col("o_orderstatus") == "O", "")
-        .otherwise("NEGATIVE")
-        .alias("lm_sentiment"),
-    )
-    mention = lineitem.select(
-        F.col("l_orderkey").alias("article_id"),
-        F.col("l_suppkey").alias("company_id"),
-        F.col("l_discount").alias("mention_confidence"),
-    )
-    return Tables(
-        sector=sector,
-        industry=industry,
-        company=company,
-        price_source=_feeds(spark, FEEDS_S),
-        price_daily=price_daily,
-        news_article=news,
-        article_mention=mention,
-    )
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _feeds(feeds) -> str:
+    rows = ", ".join(f"({source_id}L, {rank})" for source_id, rank in feeds.values())
+    return f"SELECT * FROM VALUES {rows} AS feeds(source_id, priority_rank)"
+
+
+def _source_id(column, feeds) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {feed[0]}L" for name, feed in feeds.items())
+    return f"CASE {column} {cases} END"
+
+
+_DIMENSIONS = {
+    "sector": (
+        "region",
+        "SELECT CAST(r_regionkey AS BIGINT) AS sector_id, r_name AS sector_name FROM {region}",
+    ),
+    "industry": (
+        "nation",
+        """SELECT CAST(n_nationkey AS BIGINT) AS industry_id, n_name AS industry_name,
+                  CAST(n_regionkey AS BIGINT) AS sector_id
+           FROM {nation}""",
+    ),
+}
+
+_MAP_C = {
+    **_DIMENSIONS,
+    "company": (
+        "customer",
+        """SELECT c_custkey AS company_id,
+                  concat('C', lpad(CAST(c_custkey AS STRING), 6, '0')) AS ticker,
+                  c_name AS company_name, c_mktsegment AS exchange,
+                  lpad(CAST(c_custkey AS STRING), 10, '0') AS cik,
+                  CAST(c_nationkey AS BIGINT) AS industry_id
+           FROM {customer}""",
+    ),
+    "price_source": (None, _feeds(FEEDS_C)),
+    "price_daily": (
+        "events",
+        f"""SELECT user_id AS company_id, {_source_id("event_type", FEEDS_C)} AS source_id,
+                   to_date(ts) AS trading_date, min_by(value, event_id) AS open,
+                   max(value) AS high, min(value) AS low, max(value) AS close,
+                   max(value) AS adj_close, count(*) AS volume
+            FROM {{events}} GROUP BY 1, 2, 3""",
+    ),
+    "company_profile": (
+        "customer",
+        """SELECT c_custkey AS company_id, c_name AS short_name, upper(c_name) AS long_name,
+                  IF(c_custkey % 3 = 0, '', c_mktsegment) AS city,
+                  IF(c_custkey % 2 = 0, NULL, CAST(c_nationkey AS STRING)) AS state,
+                  IF(c_custkey % 12 = 0, '', 'Country') AS country,
+                  CAST(NULL AS STRING) AS long_business_summary, c_acctbal AS current_price,
+                  c_acctbal * 1000 AS market_cap,
+                  IF(c_custkey % 7 = 0, NULL, c_acctbal * 10) AS ebitda,
+                  CAST(NULL AS DOUBLE) AS revenue_growth, CAST(NULL AS DOUBLE) AS weight
+           FROM {customer}""",
+    ),
+    # The mean is taken over whole cents, so that it does not depend on the order of the sum.
+    "company_financial_snapshot": (
+        "orders",
+        """SELECT o_custkey AS company_id,
+                  sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(o_totalprice) / 100.0D
+                    AS price,
+                  CAST(NULL AS DOUBLE) AS price_earnings, CAST(NULL AS DOUBLE) AS dividend_yield,
+                  CAST(NULL AS DOUBLE) AS earnings_share,
+                  IF(o_custkey % 4 = 0, NULL, min(o_totalprice)) AS week_52_low,
+                  max(o_totalprice) AS week_52_high,
+                  IF(o_custkey % 5 = 0, 0.0D, max(o_totalprice) * 100) AS market_cap,
+                  IF(o_custkey % 3 = 0, NULL, min(o_totalprice) * 10) AS ebitda,
+                  CAST(NULL AS DOUBLE) AS price_sales, CAST(NULL AS DOUBLE) AS price_book,
+                  CAST(NULL AS STRING) AS sec_filings
+           FROM {orders} GROUP BY o_custkey""",
+    ),
+}
+
+_MAP_S = {
+    **_DIMENSIONS,
+    "company": (
+        "supplier",
+        """SELECT s_suppkey AS company_id,
+                  concat('S', lpad(CAST(s_suppkey AS STRING), 6, '0')) AS ticker,
+                  s_name AS company_name, CAST(NULL AS STRING) AS exchange,
+                  CAST(NULL AS STRING) AS cik, CAST(s_nationkey AS BIGINT) AS industry_id
+           FROM {supplier}""",
+    ),
+    "price_source": (None, _feeds(FEEDS_S)),
+    "price_daily": (
+        "lineitem",
+        f"""SELECT l_suppkey AS company_id, {_source_id("l_returnflag", FEEDS_S)} AS source_id,
+                   to_date(l_shipdate) AS trading_date,
+                   max(l_extendedprice / l_quantity) AS close
+            FROM {{lineitem}} GROUP BY 1, 2, 3""",
+    ),
+    "news_article": (
+        "orders",
+        """SELECT o_orderkey AS article_id, o_orderpriority AS source,
+                  concat('Order ', CAST(o_orderkey AS STRING)) AS title,
+                  CAST(NULL AS STRING) AS summary,
+                  concat('http://x/', CAST(o_orderkey AS STRING)) AS url,
+                  o_orderdate AS published_at, length(o_orderpriority) AS lm_level,
+                  o_totalprice AS lm_score1, CAST(NULL AS DOUBLE) AS lm_score2,
+                  CASE o_orderstatus WHEN 'F' THEN 'Positive' WHEN 'O' THEN '' ELSE 'NEGATIVE' END
+                    AS lm_sentiment
+           FROM {orders}""",
+    ),
+    "article_mention": (
+        "lineitem",
+        """SELECT l_orderkey AS article_id, l_suppkey AS company_id,
+                  l_discount AS mention_confidence
+           FROM {lineitem}""",
+    ),
+}
+
+LISTING = ("sector", "industry", "company")
+PRICES = (*LISTING, "price_source", "price_daily")
+NEWS = (*LISTING, "news_article", "article_mention")
+
+
+def _mapped(spark, sf_dir, definitions, names) -> Tables:
+    tables = {}
+    for name in names:
+        table, sql = definitions[name]
+        opened = {} if table is None else {table: read(spark, sf_dir, table)}
+        tables[name] = spark.sql(sql, **opened)
+    return Tables(**tables)
+
+
+def tables_c(spark: SparkSession, sf_dir: str, names=PRICES) -> Tables:
+    return _mapped(spark, sf_dir, _MAP_C, names)
+
+
+def tables_s(spark: SparkSession, sf_dir: str, names) -> Tables:
+    return _mapped(spark, sf_dir, _MAP_S, names)

@@ -5,12 +5,11 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pricelens.functions.params import range_window
 from pricelens.operators import directory, industries, leaders, news, prices
 from pricelens.tables import listed_companies
-from registry.mapping import tables_c, tables_s
+from registry.mapping import LISTING, NEWS, PRICES, tables_c, tables_s
 
 LAST_DAY = dt.date(2024, 1, 30)
 NOW = dt.datetime(2001, 8, 1)
@@ -18,11 +17,8 @@ NOW = dt.datetime(2001, 8, 1)
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, so that sums added in another order compare equal."""
-    return df.select(
-        *[
-            F.round(c, digits).alias(c) if t == "double" else F.col(c)
-            for c, t in df.dtypes
-        ]
+    return df.selectExpr(
+        *[f"round({c}, {digits}) AS {c}" if t == "double" else c for c, t in df.dtypes]
     )
 
 
@@ -105,18 +101,20 @@ def source_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = news.company_news(tables_s(spark, sf_dir), lookback_days=30, now=NOW)
+    found = news.company_news(tables_s(spark, sf_dir, NEWS), lookback_days=30, now=NOW)
     return found.withColumn("sentiment", news.sentiment_label())
 
 
 def company_news_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return news.company_news(tables_s(spark, sf_dir), "s000003", lookback_days=60, now=NOW)
+    return news.company_news(
+        tables_s(spark, sf_dir, NEWS), "s000003", lookback_days=60, now=NOW
+    )
 
 
 def trending_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         news.trending_news(
-            tables_s(spark, sf_dir), lookback_days=30, min_articles=5, limit=1000, now=NOW
+            tables_s(spark, sf_dir, NEWS), lookback_days=30, min_articles=5, limit=1000, now=NOW
         )
     )
 
@@ -124,30 +122,32 @@ def trending_news(spark: SparkSession, sf_dir: str) -> DataFrame:
 def industry_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         industries.industry_rotations(
-            tables_s(spark, sf_dir), "2000-01-01", "2000-12-31", limit=1000
+            tables_s(spark, sf_dir, PRICES), "2000-01-01", "2000-12-31", limit=1000
         )
     )
 
 
 def search_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory.search_companies(tables_c(spark, sf_dir), "c00001", limit=20)
+    return directory.search_companies(tables_c(spark, sf_dir, LISTING), "c00001", limit=20)
 
 
 def company_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = directory.company_profile(tables_c(spark, sf_dir))
+    profiles = directory.company_profile(
+        tables_c(spark, sf_dir, (*PRICES, "company_profile", "company_financial_snapshot"))
+    )
     return directory.profile_labels(profiles)
 
 
 def list_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory.list_sectors(tables_c(spark, sf_dir))
+    return directory.list_sectors(tables_c(spark, sf_dir, ("sector",)))
 
 
 def sector_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory.sector_companies(tables_c(spark, sf_dir), " ASIA ")
+    return directory.sector_companies(tables_c(spark, sf_dir, LISTING), " ASIA ")
 
 
 def list_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory.list_companies(tables_c(spark, sf_dir))
+    return directory.list_companies(tables_c(spark, sf_dir, LISTING))
 
 
 QUERIES = {
