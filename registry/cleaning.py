@@ -160,13 +160,15 @@ def select_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select(staging.file_name(F.col("relative_path")).alias("file")).distinct()
 
 
-def _cleaned_prices(spark, sf_dir) -> DataFrame:
-    return clean.basic_clean(dirty_prices(spark, sf_dir))[0]
+def _cleaned_prices(spark, sf_dir, root: str) -> DataFrame:
+    """Cleaned rows as a stored table, which the exports read more than once."""
+    clean.basic_clean(dirty_prices(spark, sf_dir))[0].write.parquet(f"{root}/table")
+    return spark.read.parquet(f"{root}/table")
 
 
 def sample_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark)
-    export.write_sample(_cleaned_prices(spark, sf_dir), f"{root}/samples", rows=40)
+    export.write_sample(_cleaned_prices(spark, sf_dir, root), f"{root}/samples", rows=40)
     back = raw_csv.read_raw_csv(spark, f"{root}/samples")
     return back.select(
         staging.file_name(F.col("source_file")).alias("file"),
@@ -183,7 +185,7 @@ def chunk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark)
     cap = 1000
     stats = export.write_full_or_chunked(
-        _cleaned_prices(spark, sf_dir), f"{root}/cleaned", max_full_mb=0.2, chunk_rows=cap
+        _cleaned_prices(spark, sf_dir, root), f"{root}/cleaned", max_full_mb=0.2, chunk_rows=cap
     ).withColumn("file", F.concat(export.stem(), F.lit("__cleaned.csv")))
     parts = (
         spark.read.option("recursiveFileLookup", "true")
