@@ -30,30 +30,37 @@ NO_TEXT = "error: the file has no header"
 
 @dataclass(frozen=True)
 class _Cleaned:
-    """One materialised group: its kind, its rows and its per-file counts."""
+    """One stored group: its kind, its rows, and per file the raw counts and the sizes."""
 
     kind: str
     rows: DataFrame
     files: DataFrame
+    stats: DataFrame
 
 
 def _materialise(spark, group: FileGroup, root: str, out: str, name: str, match: str) -> _Cleaned:
     """Clean the files of one header and keep rows and counts as Parquet below `out`.
 
     Exports and the log read these tables, so the raw files are parsed for the counts and for
-    the rows, and never again.
+    the rows, and never again. The per-file tables are stored too: their size is then known, and
+    Spark broadcasts them or not by that.
     """
+
+    def stored(df: DataFrame, part: str) -> DataFrame:
+        path = f"{out}/tables/{name}_{part}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     raw = read_group(spark, group, root)
-    files = f"{out}/tables/{name}_files"
-    raw.groupBy(PROVENANCE).agg(
+    counts = raw.groupBy(PROVENANCE).agg(
         F.count("*").alias("raw_rows"), F.max(F.col(OVERFLOW).isNotNull()).alias("broken")
-    ).write.parquet(files)
-    per_file = spark.read.parquet(files)
-    broken = per_file.filter("broken").select(PROVENANCE)
+    )
+    files = stored(counts, "files")
+    broken = files.filter("broken").select(PROVENANCE)
     readable = raw.drop(OVERFLOW).join(broken, PROVENANCE, "left_anti")
     cleaned, kind = basic_clean(readable, match=match)
-    cleaned.write.parquet(f"{out}/tables/{name}_rows")
-    return _Cleaned(kind, spark.read.parquet(f"{out}/tables/{name}_rows"), per_file)
+    rows = stored(cleaned, "rows")
+    return _Cleaned(kind, rows, files, stored(export.file_stats(rows), "stats"))
 
 
 def _attempt(spark, group, root, out, name, match):
@@ -77,11 +84,11 @@ def _attempt(spark, group, root, out, name, match):
     return done, failed
 
 
-def _log_rows(cleaned: _Cleaned, stats: DataFrame) -> DataFrame:
+def _log_rows(cleaned: _Cleaned) -> DataFrame:
     broken = F.col("broken")
     sample = F.concat(export.stem(), F.lit("__sample.csv"))
     saved = F.coalesce("saved_mode", F.lit("full"))
-    return cleaned.files.join(stats, PROVENANCE, "left").select(
+    return cleaned.files.join(cleaned.stats, PROVENANCE, "left").select(
         PROVENANCE,
         F.when(broken, "ERROR").otherwise(cleaned.kind).alias("table_type_guess"),
         F.when(~broken, F.col("raw_rows")).alias("raw_rows"),
@@ -111,8 +118,8 @@ def clean_dataset(
         failed += bad
         for cleaned in done:
             export.write_sample(cleaned.rows, f"{out}/samples")
-            stats = export.write_full_or_chunked(cleaned.rows, f"{out}/cleaned")
-            logs.append(_log_rows(cleaned, stats))
+            export.write_full_or_chunked(cleaned.rows, f"{out}/cleaned", cleaned.stats)
+            logs.append(_log_rows(cleaned))
     errors = [
         (p[root_length(p, root) :], "ERROR", None, None, None, reason) for p, reason in failed
     ]

@@ -67,7 +67,7 @@ def write_full_or_chunked(
 ) -> DataFrame:
     """Write each input file's rows, sorted, and return `file_stats`.
 
-    `cleaned` is read several times, so it should be a stored table.
+    `cleaned` and `stats` are read several times, so they should be stored tables.
 
     A small file is one part. A big one is spread by range over tasks, so no task holds all of
     it, and each part has at most `chunk_rows` rows.

@@ -22,7 +22,7 @@ from pricelens.sources.files import below, root_length
 
 CLEANED_PATTERN = "*__cleaned.csv"
 
-# Holds the first cell beyond the header, which makes a file unreadable for the reference rules.
+# Holds the first cell beyond the header; a file with such a cell counts as unreadable.
 OVERFLOW = "__overflow"
 
 

@@ -184,8 +184,10 @@ def chunk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written sizes and modes with the rows read back; parts keep to the cap."""
     root = scratch(spark)
     cap = 1000
+    cleaned = _cleaned_prices(spark, sf_dir, root)
+    export.file_stats(cleaned, max_full_mb=0.2).write.parquet(f"{root}/stats")
     stats = export.write_full_or_chunked(
-        _cleaned_prices(spark, sf_dir, root), f"{root}/cleaned", max_full_mb=0.2, chunk_rows=cap
+        cleaned, f"{root}/cleaned", spark.read.parquet(f"{root}/stats"), chunk_rows=cap
     ).withColumn("file", F.concat(export.stem(), F.lit("__cleaned.csv")))
     parts = (
         spark.read.option("recursiveFileLookup", "true")
