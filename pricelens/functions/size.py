@@ -18,6 +18,23 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
+def sized_join(
+    rows: DataFrame,
+    values: DataFrame,
+    key: str,
+    bound: DataFrame,
+    max_rows: int,
+    how: str = "inner",
+) -> DataFrame:
+    """Join `rows` with one row of `values` per key, where a key is in few rows.
+
+    `values` has no more rows than `bound`. If those are few, `values` is broadcast; else both
+    sides are shuffled by the key once, and nothing is copied.
+    """
+    few = at_most(bound, max_rows)
+    return rows.join(F.broadcast(values) if few else values, key, how)
+
+
 def skewed_join(
     rows: DataFrame,
     values: DataFrame,

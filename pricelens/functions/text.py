@@ -48,10 +48,24 @@ DATE_FORMATS = (
     "M-d-yyyy",
     "yyyy/M/d",
     "yyyyMMdd",
+    "yyyy/M/d H:mm",
+    "yyyy/M/d H:mm:ss",
+    "yyyy.M.d",
+    "M/d/yy",
+    "M/d/yyyy h:mm a",
+    "M/d/yyyy h:mm:ss a",
     "MMM d, yyyy",
+    "MMM d, yyyy h:mm a",
+    "MMMM d, yyyy",
     "d MMM yyyy",
+    "d MMM yyyy H:mm:ss",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
 )
 
+# Two-digit years up to this one are in this century.
+_LAST_SHORT_YEAR = 2068
+
 
 def snake_case(name) -> str:
     """`  Adj. Close (USD) ` -> `adj_close_usd`."""
@@ -88,6 +102,8 @@ def normalize_ticker(text) -> Column:
 # exception per cell, which on untidy files would be most of the run.
 _NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _DIGITS_FIRST = r"^\d{1,4}[^\d-]\d|^\d{1,2}-\d|^\d{8}$"
+_ZONED = r"\d:\d\d(:\d\d(\.\d+)?)?\s?(Z|UTC|GMT|[+-]\d\d:?\d\d)$"
+_WEEKDAY = "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*, "
 _NAME_SHAPES = {"MMM": "[A-Za-z]{3}", "MMMM": "[A-Za-z]+", "a": "[AaPp][Mm]"}
 
 
@@ -118,7 +134,7 @@ def _iso_template(date_format: str) -> str | None:
     for field, other in _fields(date_format):
         if not other:
             place[field[0]] = f"${len(place) + 1}"
-            if field in _NAME_SHAPES or field[0] not in "yMdHms":
+            if field in _NAME_SHAPES or field == "yy" or field[0] not in "yMdHms":
                 return None
     if not {"y", "M", "d"} <= set(place):
         return None
@@ -128,26 +144,44 @@ def _iso_template(date_format: str) -> str | None:
     return f"{day} {place['H']}:{place.get('m', '00')}:{place.get('s', '00')}"
 
 
+def _named(text: Column, date_format: str) -> Column:
+    found = F.try_to_timestamp(text, F.lit(date_format)).cast("timestamp_ntz")
+    if "yy" not in [field for field, _ in _fields(date_format)]:
+        return found
+    century_ago = (found - F.make_ym_interval(F.lit(100))).cast("timestamp_ntz")
+    return F.when(F.year(found) > _LAST_SHORT_YEAR, century_ago).otherwise(found)
+
+
 def parse_timestamp(text, formats=DATE_FORMATS) -> Column:
     """ISO text or one of `formats` as a timestamp without time zone, anything else null.
 
+    A time with an offset, `Z` or `GMT` is brought to UTC. A day of the week in front is passed
+    over. Two-digit years are 1969 to 2068.
+
     Formats of numbers only are rewritten to ISO text and then cast, which fails without an
     exception; formats with names go through the format parser.
     """
     column = F.col(text) if isinstance(text, str) else text
+    zoned = column.rlike(_ZONED)
+    # A zone without an offset from UTC changes nothing and is cut off, as is a day's name.
+    spelled = F.when(column.rlike("^[A-Z]"), F.regexp_replace(column, _WEEKDAY, "")).otherwise(column)
+    spelled = F.regexp_replace(spelled, r" (GMT|UTC)$", "")
     templates = {f: _iso_template(f) for f in formats}
     iso = column
     for date_format, template in templates.items():
         if template:
             iso = F.regexp_replace(iso, date_shape(date_format), template)
     # A bare number or a time of day would cast as well; neither is a date here.
-    as_iso = F.when(F.substring(column, 5, 1) == "-", column.try_cast("timestamp_ntz"))
+    in_utc = F.convert_timezone(
+        F.current_timezone(), F.lit("UTC"), column.try_cast("timestamp").cast("timestamp_ntz")
+    )
+    as_iso = F.when(
+        F.substring(column, 5, 1) == "-",
+        F.when(zoned, in_utc).otherwise(column.try_cast("timestamp_ntz")),
+    )
     rewritten = F.when(column.rlike(_DIGITS_FIRST), iso.try_cast("timestamp_ntz"))
     named = [
-        F.when(
-            column.rlike(date_shape(f)),
-            F.try_to_timestamp(column, F.lit(f)).cast("timestamp_ntz"),
-        )
+        F.when(spelled.rlike(date_shape(f)), _named(spelled, f))
         for f, template in templates.items()
         if not template
     ]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.companies import only_ids, with_ticker
 from pricelens.functions.params import optional_ticker, positive_int
-from pricelens.functions.size import MAX_ARTICLES, MAX_SECTORS, skewed_join
+from pricelens.functions.size import MAX_ARTICLES, MAX_SECTORS, sized_join, skewed_join
 from pricelens.functions.windows import first_rows
 from pricelens.tables import Tables, listed_companies
 
@@ -71,7 +71,7 @@ def company_news(
     recent = _recent(tables.news_article, lookback_days, now)
     recency = [F.desc("published_at"), F.desc("article_id")]
     seen = (
-        skewed_join(
+        sized_join(
             mentions.select("article_id", "company_id", "mention_confidence"),
             recent.select("article_id", "published_at"),
             "article_id",
@@ -143,7 +143,7 @@ def trending_news(
     recent = _recent(tables.news_article, lookback_days, now).select("article_id")
     mentions = tables.article_mention.select("article_id", "company_id")
     counts = (
-        skewed_join(mentions, recent, "article_id", recent, MAX_ARTICLES, "left_semi")
+        sized_join(mentions, recent, "article_id", recent, MAX_ARTICLES, "left_semi")
         .groupBy("company_id")
         .agg(F.count_distinct("article_id").alias("article_count"))
         .join(listed_companies(tables), "company_id")

@@ -19,10 +19,6 @@ from pricelens.tables import Tables, listed_companies
 
 QUOTES = ("open", "high", "low", "close", "adj_close", "volume")
 
-# The low bits of the choice key: enough to separate differing copies of one feed's row.
-_TIE_BITS = 40
-
-
 def ordered_feeds(price_source: DataFrame) -> DataFrame:
     """source_id with its place in the priority order, 1 = best, unranked feeds last.
 
@@ -32,10 +28,13 @@ def ordered_feeds(price_source: DataFrame) -> DataFrame:
     return price_source.select("source_id", F.row_number().over(place).alias("feed_order"))
 
 
-def choice_key(columns) -> Column:
-    """A number that is smallest for the best feed; rows of one feed differ by their content."""
-    content = F.xxhash64(*columns).bitwiseAND(F.lit((1 << _TIE_BITS) - 1))
-    return F.shiftleft(F.col("feed_order").cast("bigint"), _TIE_BITS).bitwiseOR(content)
+def choice(columns) -> Column:
+    """What is smallest for the row to take: its feed's place, then its quotes, whatever else is asked for.
+
+    Rows of one feed that differ are put in order by all quotes the table has, nulls first, so every
+    operator takes the same one. Only equal rows tie.
+    """
+    return F.struct("feed_order", *[c for c in QUOTES if c in columns])
 
 
 def primary_price(
@@ -47,16 +46,19 @@ def primary_price(
 ) -> DataFrame:
     """The row of the best feed per company and day, also when its close is null.
 
-    A hash aggregate on numbers: copies of a row collapse before the shuffle and nothing is
-    sorted. Feeds without a `price_source` row are left out.
+    Each task keeps one row per company and day before the shuffle. `columns` are the quotes to
+    return; the choice reads all of them. Feeds without a `price_source` row are left out.
     """
     prices = between(price_daily, optional_date(start, "start"), optional_date(end, "end"))
-    columns = [c for c in columns if c in prices.columns]
-    keyed = prices.join(ordered_feeds(price_source), "source_id").select(
-        "company_id", "trading_date", *columns, choice_key(columns).alias("choice")
-    )
-    return keyed.groupBy("company_id", "trading_date").agg(
-        *[F.min_by(c, "choice").alias(c) for c in columns]
+    return (
+        prices.join(ordered_feeds(price_source), "source_id")
+        .groupBy("company_id", "trading_date")
+        .agg(F.min(choice(prices.columns)).alias("best"))
+        .select(
+            "company_id",
+            "trading_date",
+            *[F.col(f"best.{c}") for c in columns if c in prices.columns],
+        )
     )
 
 
@@ -72,23 +74,20 @@ def latest_trade(primary: DataFrame) -> DataFrame:
 def latest_primary_trade(price_daily: DataFrame, price_source: DataFrame) -> DataFrame:
     """`latest_trade(primary_price(...))` in one aggregate straight from the raw feeds.
 
-    The newest day wins, then its best feed, then the content, as one number of 24 + 24 + 16
-    bits. Each task sends one row per company instead of one per company and day.
+    The newest day wins, then the row `primary_price` takes. Each task sends one row per company
+    instead of one per company and day.
     """
-    best_feed = F.lit((1 << 24) - 1) - F.col("feed_order").cast("bigint")
-    newest = (
-        F.shiftleft(F.unix_date("trading_date").cast("bigint"), 40)
-        + F.shiftleft(best_feed, 16)
-        + F.xxhash64("close", "volume").bitwiseAND(F.lit((1 << 16) - 1))
-    )
+    newest_first = (-F.unix_date("trading_date")).alias("age")
+    first = F.struct(newest_first, choice(price_daily.columns).alias("row"), "trading_date")
     return (
         price_daily.join(ordered_feeds(price_source), "source_id")
-        .select("company_id", "trading_date", "close", "volume", newest.alias("newest"))
         .groupBy("company_id")
-        .agg(
-            F.max("trading_date").alias("latest_trading_date"),
-            F.max_by("close", "newest").alias("latest_close"),
-            F.max_by("volume", "newest").alias("latest_volume"),
+        .agg(F.min(first).alias("newest"))
+        .select(
+            "company_id",
+            F.col("newest.trading_date").alias("latest_trading_date"),
+            F.col("newest.row.close").alias("latest_close"),
+            F.col("newest.row.volume").alias("latest_volume"),
         )
     )
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.functions.text import DATE_FORMATS, NA_TOKENS
 from pricelens.operators.clean import PROVENANCE, basic_clean
 from pricelens.sources import export
 from pricelens.sources.files import inventory, root_length, select_files, write_inventory
@@ -38,7 +40,16 @@ class _Cleaned:
     stats: DataFrame
 
 
-def _materialise(spark, group: FileGroup, root: str, out: str, name: str, match: str) -> _Cleaned:
+@dataclass(frozen=True)
+class _Rules:
+    """How texts are read: what names a date column, date formats, cells that mean missing."""
+
+    match: str
+    formats: tuple[str, ...]
+    na_tokens: tuple[str, ...]
+
+
+def _materialise(spark, group: FileGroup, root: str, out: str, name: str, rules: _Rules) -> _Cleaned:
     """Clean the files of one header and keep rows and counts as Parquet below `out`.
 
     Exports and the log read these tables, so the raw files are parsed for the counts and for
@@ -51,33 +62,47 @@ def _materialise(spark, group: FileGroup, root: str, out: str, name: str, match:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    raw = read_group(spark, group, root)
+    raw = read_group(spark, group, root, rules.na_tokens)
     counts = raw.groupBy(PROVENANCE).agg(
         F.count("*").alias("raw_rows"), F.max(F.col(OVERFLOW).isNotNull()).alias("broken")
     )
     files = stored(counts, "files")
     broken = files.filter("broken").select(PROVENANCE)
     readable = raw.drop(OVERFLOW).join(broken, PROVENANCE, "left_anti")
-    cleaned, kind = basic_clean(readable, match=match)
+    cleaned, kind = basic_clean(readable, rules.match, rules.formats)
     rows = stored(cleaned, "rows")
     return _Cleaned(kind, rows, files, stored(export.file_stats(rows), "stats"))
 
 
-def _attempt(spark, group, root, out, name, match):
+# How Spark names a file that it cannot read or parse. A full disk, a lost executor or
+# a wrong plan has none of these names and ends the run.
+_UNREADABLE = ("FAILED_READ_FILE", "MALFORMED_CSV_RECORD", "TextParsingException")
+
+
+def _unreadable(problem: Exception) -> str | None:
+    """The name of the failure if it is a file's, else None."""
+    text = str(problem)
+    return next((name for name in _UNREADABLE if name in text), None)
+
+
+def _attempt(spark, group, root, out, name, rules):
     """Cleaned groups and (path, reason) of unreadable files.
 
-    A group that fails is halved until the failing file is alone.
+    A group that fails by a file is halved until that file is alone. Other failures go on up.
     """
     try:
-        return [_materialise(spark, group, root, out, name, match)], []
-    except PySparkException as problem:
+        return [_materialise(spark, group, root, out, name, rules)], []
+    except (PySparkException, Py4JJavaError) as problem:
+        reason = _unreadable(problem)
+        if reason is None:
+            raise
         if len(group.paths) == 1:
-            return [], [(group.paths[0], f"error: {str(problem).splitlines()[0]}")]
+            return [], [(group.paths[0], f"error: {reason}")]
     middle = len(group.paths) // 2
     done, failed = [], []
     for part, paths in (("a", group.paths[:middle]), ("b", group.paths[middle:])):
         more, bad = _attempt(
-            spark, replace(group, paths=paths), root, out, f"{name}{part}", match
+            spark, replace(group, paths=paths), root, out, f"{name}{part}", rules
         )
         done += more
         failed += bad
@@ -99,22 +124,36 @@ def _log_rows(cleaned: _Cleaned) -> DataFrame:
 
 
 def clean_dataset(
-    spark: SparkSession, dataset: str, root: str, out: str, match: str = "token"
+    spark: SparkSession,
+    dataset: str,
+    root: str,
+    out: str,
+    match: str = "token",
+    formats=DATE_FORMATS,
+    na_tokens=NA_TOKENS,
+    files=None,
 ) -> DataFrame:
     """Clean all selected CSV files below `root` into the new folder `out`; returns the log.
 
     `out` gets `inventory`, `samples`, `cleaned` (a folder per input file), `log` and `tables`.
     Files with one header are cleaned by one job, whatever their number. A file that cannot be
-    read gets an ERROR row in the log and the others go on.
+    read gets an ERROR row in the log and the others go on. `formats` and `na_tokens` replace the
+    date formats and the cells that mean missing; `files`, paths relative to `root`, replaces the
+    selection by size and name.
     """
     listing = inventory(spark, root)
     write_inventory(listing, f"{out}/inventory")
-    selected = select_files(listing, dataset)
+    if files is None:
+        selected = select_files(listing, dataset)
+    else:
+        wanted = spark.createDataFrame([(f,) for f in files], "relative_path STRING")
+        selected = listing.join(wanted, "relative_path", "left_semi")
+    rules = _Rules(match, tuple(formats), tuple(na_tokens))
     folder = root.rstrip("/")
     paths = [escape_glob(f"{folder}/{r[0]}") for r in selected.toLocalIterator()]
     logs, failed = [], []
     for number, group in enumerate(group_files(spark, paths) if paths else []):
-        done, bad = _attempt(spark, group, root, out, f"group_{number}", match)
+        done, bad = _attempt(spark, group, root, out, f"group_{number}", rules)
         failed += bad
         for cleaned in done:
             export.write_sample(cleaned.rows, f"{out}/samples")

@@ -25,6 +25,9 @@ CLEANED_PATTERN = "*__cleaned.csv"
 # Holds the first cell beyond the header; a file with such a cell counts as unreadable.
 OVERFLOW = "__overflow"
 
+# Cells of a line that are parsed; those beyond the header only make the file count as broken.
+MAX_CELLS = 200_000
+
 
 _ALL = 1 << 30
 
@@ -132,7 +135,7 @@ def read_group(
     rows = (
         spark.read.schema(schema)
         .options(header=True, enforceSchema=True, quote='"', escape='"')
-        .option("multiLine", group.multi_line)
+        .options(multiLine=group.multi_line, maxColumns=MAX_CELLS)
         .csv([escape_glob(p) for p in group.paths])
     )
     return rows.select(

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pricelens.functions.params import range_window
 from pricelens.operators import directory, industries, leaders, news, prices
 from pricelens.tables import listed_companies
-from registry.mapping import LISTING, NEWS, PRICES, tables_c, tables_s
+from registry.mapping import LISTING, NEWS, PRICES, read, tables_c, tables_s
 
 LAST_DAY = dt.date(2024, 1, 30)
 NOW = dt.datetime(2001, 8, 1)
@@ -150,12 +151,46 @@ def list_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory.list_companies(tables_c(spark, sf_dir, LISTING))
 
 
+def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every line item as a quote of its supplier's month: many differing rows of one feed and day."""
+    lines = read(spark, sf_dir, "lineitem")
+    feed = F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3)
+    daily = lines.select(
+        F.col("l_suppkey").alias("company_id"),
+        F.trunc("l_shipdate", "MM").alias("trading_date"),
+        feed.cast("long").alias("source_id"),
+        F.col("l_discount").alias("open"),
+        F.col("l_quantity").alias("high"),
+        F.col("l_tax").alias("low"),
+        F.col("l_extendedprice").alias("close"),
+        F.col("l_partkey").alias("volume"),
+    )
+    feeds = spark.createDataFrame([(1, 2), (2, 1), (3, None)], "source_id long, priority_rank int")
+    return daily, feeds
+
+
+def primary_price_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All quotes of the row taken, and its close alone: both are of the same row."""
+    daily, feeds = _copies(spark, sf_dir)
+    alone = prices.primary_price(daily, feeds, columns=("close",)).withColumnRenamed("close", "close_alone")
+    return prices.primary_price(daily, feeds).join(alone, ["company_id", "trading_date"])
+
+
+def latest_trade_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily, feeds = _copies(spark, sf_dir)
+    two_steps = prices.latest_trade(prices.primary_price(daily, feeds))
+    names = {c: f"{c}_two_steps" for c in two_steps.columns if c != "company_id"}
+    return prices.latest_primary_trade(daily, feeds).join(two_steps.withColumnsRenamed(names), "company_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         primary_price,
         latest_trade,
         latest_primary_trade,
+        primary_price_copies,
+        latest_trade_copies,
         sector_benchmark,
         sector_price_rank,
         sector_price_rank_banded,

@@ -246,25 +246,77 @@ def test_cleaning_run(spark, folder):
         clean_dataset(spark, files.MARKET_DATASET, root, f"{folder}/out")
 
 
-def test_unreadable_file_does_not_stop_the_others(spark, folder, monkeypatch):
+def test_unreadable_files_do_not_stop_the_others(spark, folder):
+    for name in ("a", "b", "d"):
+        write(folder, f"raw/{name}.csv", f"Symbol,Name\n{name},x\n")
+    write(folder, "raw/ragged.csv", "Symbol,Name\nr,x,more\n")
+    write(folder, "raw/wide.csv", "Symbol,Name\n" + "x," * 30_000 + "\n")
+    write(folder, "raw/wider.csv", "Symbol,Name\n" + "x," * 300_000 + "\n")
+    write(folder, "raw/blank.csv", "\n\n")
+    log = clean_dataset(spark, "x", f"{folder}/raw", f"{folder}/out").collect()
+    modes = {r["source_file"]: r["saved_mode"] for r in log}
+    assert {f: m for f, m in modes.items() if m == "full"} == dict.fromkeys(
+        ("a.csv", "b.csv", "d.csv"), "full"
+    )
+    too_many = "error: a row has more cells than the header"
+    assert (modes["ragged.csv"], modes["wide.csv"]) == (too_many, too_many)
+    assert modes["wider.csv"].startswith("error: ")
+    assert modes["blank.csv"] == "error: the file has no header"
+
+
+def test_failures_that_are_no_file_end_the_run(spark, folder, monkeypatch):
     from pyspark.errors import PySparkException
 
     from pricelens.plans import cleaning
 
-    for name in ("a", "b", "c", "d"):
-        write(folder, f"raw/{name}.csv", f"Symbol,Name\n{name},x\n")
-    real = cleaning._materialise
-
-    def failing(spark, group, *rest):
-        if any("/c.csv" in p for p in group.paths):
-            raise PySparkException("broken disk")
-        return real(spark, group, *rest)
+    def failing(*_):
+        raise PySparkException("No space left on device")
 
+    write(folder, "raw/a.csv", "Symbol,Name\na,x\n")
     monkeypatch.setattr(cleaning, "_materialise", failing)
-    log = clean_dataset(spark, "x", f"{folder}/raw", f"{folder}/out").collect()
-    assert sorted((r["source_file"], r["saved_mode"]) for r in log) == [
-        ("a.csv", "full"), ("b.csv", "full"), ("c.csv", "error: broken disk"), ("d.csv", "full"),
-    ]
+    with pytest.raises(PySparkException):
+        clean_dataset(spark, "x", f"{folder}/raw", f"{folder}/out")
+
+
+def test_clean_dataset_takes_files_formats_and_missing_texts(spark, folder):
+    write(folder, "raw/a.csv", "Date,Name\n20#01#2016,-\n")
+    write(folder, "raw/b.csv", "Date,Name\n2016-01-20,x\n")
+    log = clean_dataset(
+        spark, "x", f"{folder}/raw", f"{folder}/out", formats=("d#M#yyyy",), na_tokens=("", "-"),
+        files=["a.csv"],
+    ).collect()
+    assert [r["source_file"] for r in log] == ["a.csv"]
+    rows = spark.read.option("header", True).csv(f"{folder}/out/cleaned/output=a__cleaned.csv").collect()
+    assert rows[0]["date"].startswith("2016-01-20") and rows[0]["name"] is None
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("20-Jan-2016", "2016-01-20 00:00:00"),
+        ("January 20, 2016", "2016-01-20 00:00:00"),
+        ("20 January 2016", "2016-01-20 00:00:00"),
+        ("Jan 20, 2016 9:30 AM", "2016-01-20 09:30:00"),
+        ("1/20/2016 9:30 PM", "2016-01-20 21:30:00"),
+        ("1/20/16", "2016-01-20 00:00:00"),
+        ("1/20/99", "1999-01-20 00:00:00"),
+        ("2016.01.20", "2016-01-20 00:00:00"),
+        ("2016/01/20 10:00", "2016-01-20 10:00:00"),
+        ("Wed, 20 Jan 2016 10:00:00 GMT", "2016-01-20 10:00:00"),
+        ("2016-01-20T10:00:00Z", "2016-01-20 10:00:00"),
+        ("2016-01-20T10:00:00-05:00", "2016-01-20 15:00:00"),
+        ("2016-01-20 10:00:00", "2016-01-20 10:00:00"),
+        ("2016-01-20", "2016-01-20 00:00:00"),
+        ("10:30", None),
+        ("2016", None),
+        ("no date", None),
+    ],
+)
+def test_date_spellings(spark, text, expected):
+    from pricelens.functions.text import parse_timestamp
+
+    row = spark.createDataFrame([(text,)], "t string").select(parse_timestamp("t").alias("d")).first()
+    assert (None if row["d"] is None else str(row["d"])) == expected
 
 
 def test_missing_cells_and_quotes(spark, folder):
