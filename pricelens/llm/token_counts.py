@@ -19,12 +19,31 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField
 from pricelens.llm.common import append, texts
 
 SPACE = "▁"
-#: Words, or pairs of tokens, whose answers a task remembers.
-REMEMBERED = 200_000
+#: Words, or pairs of tokens, whose answers a task remembers: as many again that were used before them.
+REMEMBERED = 250_000
 #: A longer run without a space is computed each time, so that what is remembered stays small.
 LONGEST_REMEMBERED = 48
 
 
+class Recent(dict):
+    """Remembers what was used lately: when it is full it becomes the older part, and what is used again moves over."""
+
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def __setitem__(self, key, value):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        super().__setitem__(key, value)
+
+
 class PrefixCounter:
     """Counts for a merge model with one space mark before the text, no other normalisation, and byte fallback."""
 
@@ -40,8 +59,8 @@ class PrefixCounter:
             raise ValueError("a piece holds a space after other characters, or a line end")
         self.tokens = {p for p in self.rank if len(p) == 1 or self.merged(p) == [p]}
         self.longest = max(map(len, self.rank))
-        self.words: dict[str, tuple[np.ndarray, int, int]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.words = Recent(REMEMBERED)  # counts, length and the last count of a word
+        self.pairs = Recent(REMEMBERED)
 
     def merged(self, text: str) -> list[str]:
         """Merges of a short text: the best score first, then the leftmost."""
@@ -58,10 +77,8 @@ class PrefixCounter:
 
     def may_follow(self, left: str, right: str) -> bool:
         key = (left, right)
-        known = self.pairs.get(key)
+        known = self.pairs[key]
         if known is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
 
@@ -85,13 +102,11 @@ class PrefixCounter:
 
     def word(self, word: str) -> tuple[np.ndarray, int, int]:
         """Counts, length and the last count."""
-        known = self.words.get(word)
+        known = self.words[word]
         if known is None:
             counts = self.prefix_counts(word)
             known = counts, len(counts), int(counts[-1])
             if len(word) <= LONGEST_REMEMBERED:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
                 self.words[word] = known
         return known
 
