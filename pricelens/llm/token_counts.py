@@ -86,13 +86,19 @@ class PrefixCounter:
         """The number of tokens of each prefix of 1, 2, ... characters."""
         n = len(word)
         counts, last = [0] * (n + 1), [""] * (n + 1)
-        tokens, longest, follows = self.tokens, self.longest, self.may_follow
+        tokens, longest, known = self.tokens, self.longest, self.pairs.get
         for i in range(1, n + 1):
             for start in range(max(0, i - longest), i):
                 token = word[start:i]
                 if start + 1 < i:
-                    if token not in tokens or start and not follows(last[start], token):
+                    if token not in tokens:
                         continue
+                    if start:
+                        fits = known((last[start], token))
+                        if fits is None:
+                            fits = self.may_follow(last[start], token)
+                        if not fits:
+                            continue
                     cost = 1
                 else:
                     cost = 1 if token in tokens else len(token.encode())
