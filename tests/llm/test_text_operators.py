@@ -8,6 +8,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from uuid import uuid4
 
 import numpy as np
 import public_tokenizers
@@ -400,7 +401,7 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_exact_dedup_edges(spark, docs, empty):
-    index = exact_dedup.DigestIndex(spark, "digest_test_edges", buckets=2)
+    index = exact_dedup.DigestIndex(spark, f"digest_test_{uuid4().hex}", buckets=2)
     groups = defaultdict(list)
     for d, t, *_ in EDGE_DOCS:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((d, t or ""))
@@ -415,7 +416,7 @@ def test_exact_dedup_edges(spark, docs, empty):
     new = index.add(spark.createDataFrame([(50, "something new"), (51, "quick brown fox")], "doc_id long, text string"))
     assert [r["kept"] for r in new.collect()] == [True, True]
     assert index.rows().count() == len(groups) + 2
-    assert exact_dedup.DigestIndex(spark, "digest_test_empty", buckets=2).add(empty).count() == 0
+    assert exact_dedup.DigestIndex(spark, f"digest_test_{uuid4().hex}", buckets=2).add(empty).count() == 0
 
 
 def test_exact_dedup_runs_no_python(spark):
