@@ -1,9 +1,8 @@
 """Daily prices: one best feed per company and day, and the series built on it.
 
-Two size facts carry the plans here. After `primary_price` a company has at most one row per
-calendar day, so a window over one company is bounded by the length of the calendar. A sector on
-one day has as many rows as it has companies; that number is checked, and beyond a bound ranks are
-counted per price band, so that no task holds a whole sector (`sector_position`).
+After `primary_price` a company has at most one row per calendar day, so a window over one company
+is bounded by the length of the calendar. A sector on one day is ranked by its different closes
+(`sector_position`), so copies of a price, or companies without one, weigh nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.companies import only_ids, with_ticker
+from pricelens.functions.companies import with_ticker
 from pricelens.functions.dates import between
 from pricelens.functions.params import optional_date, optional_ticker
 from pricelens.functions.size import at_most
@@ -112,94 +111,54 @@ def with_moving_average(prices: DataFrame, rows: int) -> DataFrame:
     return prices.withColumn(f"ma_{rows}_day", moving_average(rows))
 
 
-# Up to this many companies their ids are broadcast (two numbers each), and a sector on one day,
-# which has at most a row per company, is ranked by one task.
+# Up to this many companies their ids are broadcast, two numbers each; beyond, the join is a plain one.
 MAX_COMPANIES = 1_000_000
 
-def _sector_ids(companies: DataFrame, max_companies: int) -> tuple[DataFrame, bool]:
-    """company_id and sector_id, broadcast if there are few companies, and whether there are."""
+
+def _sector_ids(companies: DataFrame, max_companies: int) -> DataFrame:
+    """company_id and sector_id, broadcast if there are few companies."""
     ids = companies.select("company_id", "sector_id")
-    few = at_most(ids, max_companies)
-    return (F.broadcast(ids) if few else ids), few
+    return F.broadcast(ids) if at_most(ids, max_companies) else ids
 
 
 def sector_benchmark(primary: DataFrame, companies: DataFrame) -> DataFrame:
     """Mean close per sector and day. `companies` holds company_id and sector_id."""
-    ids, _ = _sector_ids(companies, MAX_COMPANIES)
     return (
-        primary.join(ids, "company_id")
+        primary.join(_sector_ids(companies, MAX_COMPANIES), "company_id")
         .groupBy("sector_id", "trading_date")
         .agg(F.avg("close").alias("sector_avg_close"))
     )
 
 
-# Bands per unit of ln(1 + close): one band is about 1.6 percent of the price wide.
-_BANDS = 64
-
-
-def _price_band(close: Column) -> Column:
-    """A whole number that never falls as the close rises; null lowest, NaN highest."""
-    size = F.floor(F.log1p(F.least(F.abs(close), F.lit(1e300))) * _BANDS).cast("int")
-    return (
-        F.when(close.isNull(), F.lit(-(1 << 31)))
-        .when(F.isnan(close), F.lit((1 << 31) - 1))
-        .when(close < 0, -size)
-        .otherwise(size)
-        .cast("int")
-    )
-
-
 def sector_position(
     prices: DataFrame, companies: DataFrame, max_companies: int = MAX_COMPANIES
 ) -> DataFrame:
     """Adds sector_id, sector_avg_close and sector_price_rank to rows of company, day and close.
 
-    `companies` holds company_id and sector_id. Prices of companies not in it are left out.
-    """
-    ids, few = _sector_ids(companies, max_companies)
-    rows = prices.join(ids, "company_id")
-    if not few:
-        return _banded_position(rows)
-    of_day = Window.partitionBy("sector_id", "trading_date")
-    by_close = of_day.orderBy(F.col("close").desc_nulls_last())
-    return rows.withColumn("sector_price_rank", F.rank().over(by_close)).withColumn(
-        "sector_avg_close", F.avg("close").over(of_day)
-    )
-
-
-def _banded_position(prices: DataFrame) -> DataFrame:
-    """The same for sectors of any size: no task sees a whole sector.
-
-    rank = rows in higher price bands + rank inside the own band. The bands of a sector and day
-    are a few hundred pre-aggregated rows, which also hold the sums for the average; the rows
-    themselves are shuffled once, by sector, day and band, for both the rank and the join.
+    `companies` holds company_id and sector_id. Prices of companies not in it are left out. Equal
+    closes of a sector and day, null ones too, are one row with a count before anything is ranked,
+    so the ranking task of a sector's day holds its different closes and not its companies.
     """
     day = ["sector_id", "trading_date"]
-    banded = prices.withColumn("band", _price_band(F.col("close")))
-    in_band = Window.partitionBy(*day, "band").orderBy(F.col("close").desc_nulls_last())
+    rows = prices.join(_sector_ids(companies, max_companies), "company_id")
     of_day = Window.partitionBy(*day)
-    higher = of_day.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    closes = F.nullif(F.sum("closes").over(of_day), F.lit(0))
-    bands = (
-        banded.groupBy(*day, "band")
-        .agg(
-            F.count("*").alias("rows"),
-            F.sum("close").alias("total"),
-            F.count("close").alias("closes"),
-        )
+    higher = of_day.orderBy(F.col("close").desc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    known = F.sum(F.when(F.col("close").isNotNull(), F.col("rows"))).over(of_day)
+    closes = (
+        rows.groupBy(*day, "close")
+        .agg(F.count("*").alias("rows"))
         .select(
-            *day,
-            "band",
-            F.coalesce(F.sum("rows").over(higher), F.lit(0)).alias("above"),
-            (F.sum("total").over(of_day) / closes).alias("sector_avg_close"),
+            *[F.col(c).alias(f"_{c}") for c in (*day, "close")],
+            (F.coalesce(F.sum("rows").over(higher), F.lit(0)) + 1)
+            .cast("int")
+            .alias("sector_price_rank"),
+            (F.sum(F.col("close") * F.col("rows")).over(of_day) / known).alias("sector_avg_close"),
         )
     )
-    return (
-        banded.withColumn("in_band", F.rank().over(in_band))
-        .join(bands, [*day, "band"])
-        .withColumn("sector_price_rank", (F.col("above") + F.col("in_band")).cast("int"))
-        .drop("band", "in_band", "above")
-    )
+    same = [rows[c].eqNullSafe(closes[f"_{c}"]) for c in (*day, "close")]
+    return rows.join(closes, same).drop(*[f"_{c}" for c in (*day, "close")])
 
 
 def sector_price_rank(
@@ -236,13 +195,16 @@ def price_series(tables: Tables, ticker=None, start=None, end=None) -> DataFrame
     """
     ticker = optional_ticker(ticker)
     start, end = optional_date(start, "start"), optional_date(end, "end")
-    companies = listed_companies(tables)
-    if ticker is None:
-        prices = primary_price(tables.price_daily, tables.price_source, start, end)
-        placed = sector_position(prices, companies)
-    else:
-        companies = with_ticker(companies, ticker)
-        placed = _placed_one(tables, companies, start, end)
+    listed = companies = listed_companies(tables)
+    daily = tables.price_daily
+    if ticker is not None:
+        companies = with_ticker(listed, ticker)
+        listed = listed.join(companies.select("sector_id"), "sector_id", "left_semi")
+        daily = daily.join(_sector_ids(listed, MAX_COMPANIES), "company_id", "left_semi")
+    placed = sector_position(primary_price(daily, tables.price_source, start, end), listed)
+    if ticker is not None:
+        # An inner join stays above the choice of feeds, so ranks and quotes share one scan of the sector.
+        placed = placed.join(companies.select("company_id"), "company_id")
     series = placed.select(
         "company_id",
         "trading_date",
@@ -258,37 +220,3 @@ def price_series(tables: Tables, ticker=None, start=None, end=None) -> DataFrame
     )
     result = series.join(names, "company_id").select(*SERIES_COLUMNS)
     return result if ticker is None else result.orderBy("trading_date")
-
-
-def _placed_one(tables: Tables, target: DataFrame, start, end) -> DataFrame:
-    """Quotes of the target company with its sector's average and its rank on each day.
-
-    The sector's closes meet the target's close of the same day and are counted, one small
-    aggregate per day instead of a ranking of the whole sector.
-    """
-    own = primary_price(only_ids(tables.price_daily, target), tables.price_source, start, end)
-    own = own.join(target.select("company_id", "sector_id"), "company_id")
-    peers = listed_companies(tables).join(target.select("sector_id"), "sector_id", "left_semi")
-    ids, _ = _sector_ids(peers, MAX_COMPANIES)
-    closes = primary_price(
-        tables.price_daily.join(ids, "company_id", "left_semi"),
-        tables.price_source,
-        start,
-        end,
-        columns=("close",),
-    ).join(ids, "company_id")
-    # At most one row per calendar day and company of that ticker, so small enough to broadcast.
-    own_closes = own.select(
-        "sector_id", "trading_date", F.col("company_id").alias("own_id"), F.col("close").alias("own")
-    )
-    higher = (F.col("close") > F.col("own")) | (F.col("close").isNotNull() & F.col("own").isNull())
-    day = (
-        closes.join(F.broadcast(own_closes), ["sector_id", "trading_date"])
-        .groupBy("own_id", "trading_date")
-        .agg(
-            F.avg("close").alias("sector_avg_close"),
-            (F.count_if(higher) + 1).cast("int").alias("sector_price_rank"),
-        )
-        .withColumnRenamed("own_id", "company_id")
-    )
-    return own.join(day, ["company_id", "trading_date"], "left")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.params import range_window
 from pricelens.operators import directory, industries, leaders, news, prices
-from pricelens.tables import listed_companies
+from pricelens.tables import listed_companies, load_tables, save_prices
+from registry.dirty import scratch
 from registry.mapping import LISTING, NEWS, PRICES, read, tables_c, tables_s
 
 LAST_DAY = dt.date(2024, 1, 30)
@@ -52,7 +53,7 @@ def sector_price_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sector_price_rank_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan for sectors too big for one task."""
+    """The plan for more companies than are broadcast."""
     primary, tables = _primary_c(spark, sf_dir)
     return prices.sector_price_rank(primary, listed_companies(tables), max_companies=0)
 
@@ -77,6 +78,19 @@ def price_series_1w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prices.price_series(tables_c(spark, sf_dir), start=start, end=end))
 
 
+def price_series_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of the series from tables stored as `load_tables` reads them, prices by month."""
+    root = scratch(spark)
+    mapped = tables_c(spark, sf_dir)
+    for name in PRICES:
+        if name == "price_daily":
+            save_prices(mapped.price_daily, f"{root}/{name}")
+        else:
+            getattr(mapped, name).write.parquet(f"{root}/{name}")
+    start, end = range_window(LAST_DAY, "1W")
+    return rounded(prices.price_series(load_tables(spark, root, PRICES), start=start, end=end))
+
+
 def price_series_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prices.price_series(tables_c(spark, sf_dir), ticker=" c000007 "))
 
@@ -198,6 +212,7 @@ QUERIES = {
         daily_return,
         price_series,
         price_series_1w,
+        price_series_stored,
         price_series_ticker,
         top_gainers,
         top_average_returns,

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from star import company, day, days, dicts, price, tables
 
@@ -165,27 +166,57 @@ def test_one_ticker_equals_its_part_of_the_whole(spark):
     assert every.count() > 0
 
 
-def test_banded_ranks_equal_plain_ranks(spark):
+def _plain_position(primary, ids):
+    """Rank and mean by windows over the rows themselves."""
+    of_day = Window.partitionBy("sector_id", "trading_date")
+    return primary.join(ids.select("company_id", "sector_id"), "company_id").select(
+        "company_id",
+        "trading_date",
+        F.rank().over(of_day.orderBy(F.col("close").desc_nulls_last())).alias("sector_price_rank"),
+        F.avg("close").over(of_day).alias("sector_avg_close"),
+    )
+
+
+@pytest.mark.parametrize("max_companies", [0, 1_000_000])
+def test_ranks_equal_a_window_over_all_rows(spark, max_companies):
     t = _random_star(spark, companies=30, seed=8)
     # Values on both sides of zero, ties, nulls and extremes in one sector and day.
-    odd = [-5.0, -0.001, 0.0, 0.001, 1e-300, 1e300, 7.0, 7.0, None, None, float("nan"),
+    odd = [-5.0, -0.001, 0.0, -0.0, 0.001, 1e-300, 1e300, 7.0, 7.0, None, None, float("nan"),
            float("inf"), float("-inf")]
     closes = spark.createDataFrame(
         [(100 + i, day("2024-02-01"), c) for i, c in enumerate(odd)],
         "company_id BIGINT, trading_date DATE, close DOUBLE",
     )
     ids = spark.range(100, 100 + len(odd)).selectExpr("id AS company_id", "1L AS sector_id")
-    plain = prices.sector_price_rank(closes, ids)
-    banded = prices.sector_price_rank(closes, ids, max_companies=0)
-    assert sorted(plain.collect()) == sorted(banded.collect())
+    ranked = prices.sector_price_rank(closes, ids, max_companies).select(
+        "company_id", "sector_price_rank"
+    )
+    plain = _plain_position(closes, ids).select("company_id", "sector_price_rank")
+    assert sorted(ranked.collect()) == sorted(plain.collect())
     primary = prices.primary_price(t.price_daily, t.price_source)
     listed = listed_companies(t)
-    one = prices.sector_position(primary, listed).select("company_id", "trading_date",
-                                                        "sector_price_rank", "sector_avg_close")
-    two = prices.sector_position(primary, listed, max_companies=0).select(one.columns)
+    one = _plain_position(primary, listed)
+    two = prices.sector_position(primary, listed, max_companies).select(one.columns)
     assert _key(one.collect()) == _key(two.collect())
 
 
+def test_a_sector_of_one_price_is_ranked_by_few_rows(spark):
+    """A sector without closes and one with a single price: nothing ranks their companies one by one."""
+    rows = spark.range(4000).selectExpr(
+        "id AS company_id", "DATE'2024-01-02' AS trading_date", "IF(id < 2000, NULL, 5.0D) AS close"
+    )
+    ids = spark.range(4000).selectExpr("id AS company_id", "IF(id < 2000, 1L, 2L) AS sector_id")
+    found = prices.sector_position(rows, ids)
+    seen = found.groupBy("sector_id", "sector_price_rank", "sector_avg_close").count().collect()
+    assert sorted(map(tuple, seen)) == [(1, 1, None, 2000), (2, 1, 5.0, 2000)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    window = next(i for i, line in enumerate(lines) if "Window [" in line)
+    # Below every window lies the aggregate that leaves one row per sector, day and close.
+    assert any("Aggregate [" in line and "close" in line for line in lines[window:])
+    assert not any("rank(" in line for line in lines)
+
+
 def test_unclassified_and_unknown_tickers_give_no_series(spark):
     t = tables(
         spark,

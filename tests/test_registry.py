@@ -82,9 +82,20 @@ def test_series_plan_has_no_window_over_all_rows(stored):
 
     plan = _plan(price_series(stored))
     single = [line for line in plan.splitlines() if "SinglePartition" in line]
-    # Only the table of feeds, two columns and one row per feed, meets in one partition.
-    assert len(single) <= 1
-    assert plan.count("partial_min_by") == plan.count("HashAggregate(keys=[company_id") // 2 * 6
+    # Only the table of feeds, two columns and one row per feed, meets in one partition. The merge of
+    # the feeds stands in the plan twice, for the ranks and for the rows, until its exchange is reused.
+    assert len(single) <= 2
+
+
+def test_ranks_and_rows_share_one_merge_of_the_feeds(stored):
+    from pricelens.operators.prices import price_series
+
+    for ticker in (None, "C000007"):
+        series = price_series(stored, ticker)
+        series.collect()
+        final = _plan(series).split("Initial Plan")[0]
+        assert "ReusedExchange [company_id" in final
+        assert final.count("partial_min(") == 1
 
 
 def test_momentum_cuts_before_the_shuffle(stored):
