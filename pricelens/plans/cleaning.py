@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
@@ -26,6 +27,7 @@ LOG_SCHEMA = (
     "source_file STRING, table_type_guess STRING, raw_rows BIGINT, cleaned_rows BIGINT, "
     "sample_file STRING, saved_mode STRING"
 )
+NAMES_SCHEMA = "source_file STRING, output_name STRING"
 TOO_MANY_CELLS = "error: a row has more cells than the header"
 NO_TEXT = "error: the file has no header"
 
@@ -52,9 +54,9 @@ class _Rules:
 def _materialise(spark, group: FileGroup, root: str, out: str, name: str, rules: _Rules) -> _Cleaned:
     """Clean the files of one header and keep rows and counts as Parquet below `out`.
 
-    Exports and the log read these tables, so the raw files are parsed for the counts and for
-    the rows, and never again. The per-file tables are stored too: their size is then known, and
-    Spark broadcasts them or not by that.
+    The texts are parsed once, into the first of these tables; counts, rows, exports and the log come
+    from stored tables. The per-file tables are stored too: their size is then known, and Spark
+    broadcasts them or not by that.
     """
 
     def stored(df: DataFrame, part: str) -> DataFrame:
@@ -63,6 +65,8 @@ def _materialise(spark, group: FileGroup, root: str, out: str, name: str, rules:
         return spark.read.schema(df.schema).parquet(path)
 
     raw = read_group(spark, group, root, rules.na_tokens)
+    # Any text can be a column's name, so the stored columns go by position.
+    raw = stored(raw.toDF(*[f"c{i}" for i in range(len(raw.columns))]), "raw").toDF(*raw.columns)
     counts = raw.groupBy(PROVENANCE).agg(
         F.count("*").alias("raw_rows"), F.max(F.col(OVERFLOW).isNotNull()).alias("broken")
     )
@@ -109,11 +113,11 @@ def _attempt(spark, group, root, out, name, rules):
     return done, failed
 
 
-def _log_rows(cleaned: _Cleaned) -> DataFrame:
+def _log_rows(cleaned: _Cleaned, names: DataFrame) -> DataFrame:
     broken = F.col("broken")
-    sample = F.concat(export.stem(), F.lit("__sample.csv"))
+    sample = F.concat("output_name", F.lit("__sample.csv"))
     saved = F.coalesce("saved_mode", F.lit("full"))
-    return cleaned.files.join(cleaned.stats, PROVENANCE, "left").select(
+    return cleaned.files.join(cleaned.stats, PROVENANCE, "left").join(names, PROVENANCE).select(
         PROVENANCE,
         F.when(broken, "ERROR").otherwise(cleaned.kind).alias("table_type_guess"),
         F.when(~broken, F.col("raw_rows")).alias("raw_rows"),
@@ -139,7 +143,8 @@ def clean_dataset(
     Files with one header are cleaned by one job, whatever their number. A file that cannot be
     read gets an ERROR row in the log and the others go on. `formats` and `na_tokens` replace the
     date formats and the cells that mean missing; `files`, paths relative to `root`, replaces the
-    selection by size and name.
+    selection by size and name. Input files of one name get outputs of their own
+    (`export.output_names`); the log names each file's sample.
     """
     listing = inventory(spark, root)
     write_inventory(listing, f"{out}/inventory")
@@ -151,23 +156,28 @@ def clean_dataset(
     rules = _Rules(match, tuple(formats), tuple(na_tokens))
     folder = root.rstrip("/")
     paths = [escape_glob(f"{folder}/{r[0]}") for r in selected.toLocalIterator()]
+    inputs = selected.select(
+        F.regexp_replace("relative_path", r"(\.csv)/part-[^/]*$", "$1").alias(PROVENANCE)
+    ).distinct()
+    export.output_names(inputs).write.parquet(f"{out}/tables/names")
+    names = spark.read.schema(NAMES_SCHEMA).parquet(f"{out}/tables/names")
     logs, failed = [], []
     for number, group in enumerate(group_files(spark, paths) if paths else []):
         done, bad = _attempt(spark, group, root, out, f"group_{number}", rules)
         failed += bad
         for cleaned in done:
-            export.write_sample(cleaned.rows, f"{out}/samples")
-            export.write_full_or_chunked(cleaned.rows, f"{out}/cleaned", cleaned.stats)
-            logs.append(_log_rows(cleaned))
-    errors = [
-        (p[root_length(p, root) :], "ERROR", None, None, None, reason) for p, reason in failed
-    ]
+            export.write_sample(cleaned.rows, f"{out}/samples", names=names)
+            export.write_full_or_chunked(cleaned.rows, f"{out}/cleaned", cleaned.stats, names=names)
+            logs.append(_log_rows(cleaned, names))
+    errors = {
+        (re.sub(r"(\.csv)/part-[^/]*$", r"\1", p[root_length(p, root) :]), reason)
+        for p, reason in failed
+    }
+    errors = [(file, "ERROR", None, None, None, reason) for file, reason in sorted(errors)]
     log = functools.reduce(
         DataFrame.unionByName, logs, spark.createDataFrame(errors, LOG_SCHEMA)
     )
-    without_text = selected.select(
-        F.regexp_replace("relative_path", r"(\.csv)/part-[^/]*$", "$1").alias(PROVENANCE)
-    ).join(log.select(PROVENANCE), PROVENANCE, "left_anti")
+    without_text = inputs.join(log.select(PROVENANCE), PROVENANCE, "left_anti")
     empty = without_text.selectExpr(
         PROVENANCE,
         "'ERROR' AS table_type_guess",

@@ -1,12 +1,13 @@
 """Writers of cleaned tables: samples, whole or chunked files, staging and load files.
 
-Output for one input file is a folder named after it, such as `aapl__cleaned.csv`, holding part
-files. All input files of a table are written by one job.
+Output for one input file is a folder named after it, such as `output=aapl__cleaned.csv`, holding
+part files. Of several input files with one name the first by path has that name and the others a
+number in front, `output=2__aapl__cleaned.csv`. All input files of a table are written by one job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.text import snake_case_text
@@ -25,17 +26,42 @@ def stem(path=PROVENANCE) -> Column:
     return snake_case_text(F.regexp_replace(file_name(F.col(path)), r"\.[^.]*$", ""))
 
 
+def output_names(files: DataFrame) -> DataFrame:
+    """source_file and output_name, one row per input file; no two input files share a name.
+
+    `files` has one row per input file. Names of one run must come from one call over all its files.
+    A snake-case name has no two underscores in a row, so a numbered one is nobody else's.
+    """
+    same_name = Window.partitionBy("output_name").orderBy(PROVENANCE)
+    return (
+        files.select(PROVENANCE, stem().alias("output_name"))
+        .withColumn("_place", F.row_number().over(same_name))
+        .select(
+            PROVENANCE,
+            F.when(F.col("_place") == 1, F.col("output_name"))
+            .otherwise(F.concat_ws("__", "_place", "output_name"))
+            .alias("output_name"),
+        )
+    )
+
+
 def sample_rows(cleaned: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """First rows of each input file in the order of the cleaned table."""
     return first_rows(cleaned, [PROVENANCE], clean_order(cleaned), rows)
 
 
-def write_sample(cleaned: DataFrame, path: str, rows: int = SAMPLE_ROWS) -> None:
+def write_sample(
+    cleaned: DataFrame, path: str, rows: int = SAMPLE_ROWS, names: DataFrame | None = None
+) -> None:
+    """Write `sample_rows`; `names` are the `output_names` of the run, else those of `cleaned`."""
+    if names is None:
+        names = output_names(cleaned.select(PROVENANCE).distinct())
     (
         sample_rows(cleaned, rows)
-        .withColumn(_OUTPUT, F.concat(stem(), F.lit("__sample.csv")))
+        .join(names, PROVENANCE)
+        .withColumn(_OUTPUT, F.concat("output_name", F.lit("__sample.csv")))
         .sortWithinPartitions(_OUTPUT, *clean_order(cleaned))
-        .drop(PROVENANCE)
+        .drop(PROVENANCE, "output_name")
         .write.mode("append")
         .partitionBy(_OUTPUT)
         .csv(path, header=True)
@@ -64,24 +90,30 @@ def write_full_or_chunked(
     stats: DataFrame | None = None,
     max_full_mb: float = MAX_FULL_MB,
     chunk_rows: int = CHUNK_ROWS,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Write each input file's rows, sorted, and return `file_stats`.
 
-    `cleaned` and `stats` are read several times, so they should be stored tables.
+    `cleaned` and `stats` are read several times, so they should be stored tables. `names` are the
+    `output_names` of the run, else those of `cleaned`.
 
     A small file is one part. A big one is spread by range over tasks, so no task holds all of
     it, and each part has at most `chunk_rows` rows.
     """
     stats = file_stats(cleaned, max_full_mb) if stats is None else stats
+    names = output_names(stats) if names is None else names
     order = clean_order(cleaned)
     named = (
-        cleaned.join(stats.select(PROVENANCE, "saved_mode"), PROVENANCE)
-        .withColumn(_OUTPUT, F.concat(stem(), F.lit("__cleaned.csv")))
+        cleaned.join(stats.select(PROVENANCE, "saved_mode").join(names, PROVENANCE), PROVENANCE)
+        .withColumn(_OUTPUT, F.concat("output_name", F.lit("__cleaned.csv")))
         .select(_OUTPUT, "saved_mode", *[c for c in cleaned.columns if c != PROVENANCE])
     )
     whole = named.filter("saved_mode = 'full'").repartition(_OUTPUT)
     chunks = named.filter("saved_mode = 'chunked'").repartitionByRange(_OUTPUT, *order)
-    for rows, cap in ((whole, 0), (chunks, chunk_rows)):
+    modes = {r["saved_mode"] for r in stats.select("saved_mode").distinct().collect()}
+    for mode, rows, cap in (("full", whole, 0), ("chunked", chunks, chunk_rows)):
+        if mode not in modes:
+            continue
         (
             rows.drop("saved_mode")
             .sortWithinPartitions(_OUTPUT, *order)

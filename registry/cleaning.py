@@ -135,13 +135,25 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of the listed files by folder and input file."""
-    root = _raw_prices(spark, sf_dir)
-    listing = files.inventory(spark, f"{root}/raw")
-    files.write_inventory(listing, f"{root}/inventory")
-    return spark.read.schema("relative_path STRING, size_mb DOUBLE").csv(
+    """Input file, number of parts and size of a listing of text files, written and read back."""
+    root = scratch(spark)
+    line = F.concat_ws(
+        ",", "l_orderkey", "l_partkey", "l_suppkey", F.to_date("l_shipdate").cast("string")
+    )
+    (
+        read(spark, sf_dir, "lineitem")
+        .select(F.concat("l_returnflag", F.lit(".csv")).alias("file"), line.alias("value"))
+        .repartition("file")  # so that a file is one part and its size no matter of chance
+        .write.partitionBy("file")
+        .text(f"{root}/raw")
+    )
+    files.write_inventory(files.inventory(spark, f"{root}/raw"), f"{root}/inventory")
+    listing = spark.read.schema("relative_path STRING, size_mb DOUBLE").csv(
         f"{root}/inventory", header=True
     )
+    return listing.groupBy(staging.file_name(F.col("relative_path")).alias("file")).agg(
+        F.count("*").alias("parts"), F.max("size_mb").alias("size_mb")
+    )
 
 
 def inventory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,24 +247,59 @@ def combine_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def finalize_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staging rows, written as CSV and read back."""
+def same_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning files of one name in three folders: rows and samples by output."""
     root = scratch(spark)
-    export.write_prices_csv(
-        staging.finalize_staging(_combined(spark, sf_dir)), f"{root}/staging"
+    folder = F.concat(F.lit("f"), (F.col("o_custkey") % 3).cast("string"), F.lit("/p2.csv"))
+    rows = read(spark, sf_dir, "orders").select(
+        folder.alias("source_file"),
+        F.to_date("o_orderdate").cast("string").alias("Date"),
+        (F.col("o_orderkey") % 100).cast("string").alias("Close"),
+        F.lit("1").alias("Volume"),
+    )
+    write_raw_files(rows, f"{root}/raw")
+    clean_dataset(spark, "any", f"{root}/raw", f"{root}/ready")
+    combined = staging.combine_prices(raw_csv.read_cleaned_prices(spark, f"{root}/ready/cleaned"))
+    found = combined.groupBy("source_file", "ticker").agg(
+        F.count("*").alias("rows"), F.sum(F.col("close").cast("double")).alias("closes")
     )
-    return spark.read.schema(
-        "ticker STRING, trading_date DATE, open DOUBLE, close DOUBLE, adj_close DOUBLE, "
-        "volume BIGINT, source_name STRING, source_file STRING"
-    ).csv(f"{root}/staging", header=True)
+    output = F.regexp_replace(staging.file_name(F.col("source_file")), "__sample", "__cleaned")
+    samples = (
+        raw_csv.read_raw_csv(spark, f"{root}/ready/samples")
+        .groupBy(output.alias("source_file"))
+        .agg(F.count("*").alias("sampled"))
+    )
+    return found.join(samples, "source_file")
+
+
+def _typed(spark, sf_dir) -> DataFrame:
+    """Cleaned price rows of the market files as `combine_prices` hands them on."""
+    cleaned = clean.basic_clean(dirty_prices(spark, sf_dir))[0].filter(
+        F.col("source_file").contains(files.MARKET_WORD)
+    )
+    output = F.concat(export.stem(), F.lit("__cleaned.csv"))
+    return staging.combine_prices(cleaned.withColumn("source_file", output))
+
+
+def _read_back(spark, prices: DataFrame) -> DataFrame:
+    root = scratch(spark)
+    export.write_prices_csv(prices, f"{root}/prices")
+    return spark.read.schema(prices.schema).csv(f"{root}/prices", header=True)
+
+
+def finalize_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staging rows, written as CSV and read back."""
+    return _read_back(spark, staging.finalize_staging(_typed(spark, sf_dir)))
 
 
 def load_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.load_ready(staging.finalize_staging(_combined(spark, sf_dir)), CUTOFF)
+    """Load rows, written as CSV and read back."""
+    staged = staging.finalize_staging(_typed(spark, sf_dir))
+    return _read_back(spark, staging.load_ready(staged, CUTOFF))
 
 
 def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.load_summary(staging.finalize_staging(_combined(spark, sf_dir)), CUTOFF)
+    return staging.load_summary(staging.finalize_staging(_typed(spark, sf_dir)), CUTOFF)
 
 
 QUERIES = {
@@ -280,6 +327,7 @@ QUERIES = {
         chunk_export,
         cleaning_log,
         combine_prices,
+        same_named_files,
         finalize_staging,
         load_ready,
         load_summary,

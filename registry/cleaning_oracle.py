@@ -164,6 +164,20 @@ SELECT regexp_extract(source_file, '[^/]+$') AS source_file,
        CASE WHEN {_ODD} THEN adjusted_close END AS adj_close,
        CASE WHEN NOT ({_ODD}) THEN adjusted_close END AS adjusted_close, volume
 FROM dirty""",
+    "inventory": """
+SELECT concat(l_returnflag, '.csv') AS file, CAST(1 AS BIGINT) AS parts,
+       -- a comma between four fields and a line end
+       round_even(sum(length(CAST(l_orderkey AS VARCHAR)) + length(CAST(l_partkey AS VARCHAR))
+                      + length(CAST(l_suppkey AS VARCHAR)) + 10 + 4) / 1048576.0, 2) AS size_mb
+FROM lineitem GROUP BY l_returnflag""",
+    "same_named_files": """
+SELECT concat(CASE WHEN f > 0 THEN concat(CAST(f + 1 AS VARCHAR), '__') ELSE '' END,
+              'p2__cleaned.csv') AS source_file,
+       'P2' AS ticker, count(*) AS rows, CAST(sum(close) AS DOUBLE) AS closes,
+       least(count(*), 300) AS sampled
+FROM (SELECT DISTINCT o_custkey % 3 AS f, CAST(o_orderdate AS DATE) AS day,
+             o_orderkey % 100 AS close FROM orders)
+GROUP BY f""",
     "inventory_files": f"""{_WITH_PRICES}
 SELECT DISTINCT regexp_extract(source_file, '[^/]+$') AS file, TRUE AS has_size FROM dirty""",
     "select_files": f"""{_WITH_PRICES}
@@ -204,7 +218,8 @@ FROM raw r JOIN done d ON d.source_file = r.source_file
 WHERE r.source_file LIKE 'sp500/%'""",
     "combine_prices": f"{_STAGED} SELECT * FROM combined",
     "finalize_staging": f"{_STAGED} SELECT * FROM staged",
-    "load_ready": f"{_STAGED} SELECT * FROM staged WHERE trading_date >= DATE '2000-01-01'",
+    "load_ready": f"""{_STAGED}
+SELECT * FROM staged WHERE trading_date >= DATE '2000-01-01'""",
     "load_summary": f"""{_STAGED}
 SELECT count(*) AS rows_in, count(*) FILTER (trading_date >= DATE '2000-01-01') AS rows_out,
        count(*) FILTER (trading_date < DATE '2000-01-01') AS rows_removed,

@@ -264,6 +264,25 @@ def test_unreadable_files_do_not_stop_the_others(spark, folder):
     assert modes["blank.csv"] == "error: the file has no header"
 
 
+def test_files_of_one_name_stay_apart(spark, folder):
+    for place, close in (("a/x", 1), ("b/x", 2), ("b/X", 3), ("c/brk-b", 4), ("c/brk_b", 5)):
+        write(folder, f"raw/{place}.csv", f"Date,Close,Volume\n2020-01-02,{close},{close}\n")
+    log = clean_dataset(spark, "x", f"{folder}/raw", f"{folder}/out").collect()
+    assert {r["source_file"]: r["sample_file"] for r in log} == {
+        "a/x.csv": "x__sample.csv", "b/X.csv": "2__x__sample.csv", "b/x.csv": "3__x__sample.csv",
+        "c/brk-b.csv": "brk_b__sample.csv", "c/brk_b.csv": "2__brk_b__sample.csv",
+    }
+    groups = raw_csv.read_cleaned_prices(spark, f"{folder}/out/cleaned")
+    rows = staging.combine_prices(groups).collect()
+    assert sorted((r.source_file, r.ticker, float(r.close)) for r in rows) == [
+        ("2__brk_b__cleaned.csv", "BRK_B", 5.0), ("2__x__cleaned.csv", "X", 3.0),
+        ("3__x__cleaned.csv", "X", 2.0), ("brk_b__cleaned.csv", "BRK_B", 4.0),
+        ("x__cleaned.csv", "X", 1.0),
+    ]
+    samples = raw_csv.read_raw_csv(spark, f"{folder}/out/samples")
+    assert samples.select("source_file").distinct().count() == 5
+
+
 def test_failures_that_are_no_file_end_the_run(spark, folder, monkeypatch):
     from pyspark.errors import PySparkException
 
