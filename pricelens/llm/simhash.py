@@ -4,15 +4,22 @@ Fingerprints within two bits meet in a table. Each fingerprint enumerates the ba
 A table keyed on a segment alone puts all near copies of a text in one bucket, whose pairs grow with its square; so the
 key is the segment's ball member together with the other segments, and both sides of a pair enumerate. Two fingerprints
 within two bits then share a member, at most 65 fingerprints share one, and a chain through each bucket, checked by
-complete distances, links them all."""
+complete distances, links them all.
+
+Texts of a given shingle similarity differ in far more bits than a small ball holds. `similar` finds them by segments
+that are fingerprints of small samples of the shingles: a changed word leaves most samples as they were, so members of
+a segment's table are fetched by equality, and complete distances of 256-bit fingerprints decide. Where the distance
+is too near to the one expected at the least similarity, the shingles themselves are compared."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import LongType, StructField
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField
 
 from pricelens.llm.common import append, raw_texts, written
 from pricelens.llm.components import components
@@ -22,26 +29,41 @@ SEED = 42
 BITS = 2
 SEGMENTS = 4
 
+#: Of `similar`: words of a shingle, the least similarity, samples of the shingles, shingles of a sample, 64-bit words
+#: of a fingerprint. At similarity 0.8 a pair shares no sample of three in ten with probability 0.001.
+LONG_WORDS = 5
+SIMILARITY = 0.8
+SAMPLES = 10
+SAMPLE = 3
+WIDE = 4
+
 _PART = 1 << 14
 
 
-def fingerprint(raw: bytes, n_words: int = WORDS) -> int:
-    """Majority bits of the shingles' XXH64, from UTF-8; 0 for a text without words."""
+def shingle_hashes(raw: bytes, n_words: int) -> np.ndarray:
+    """XXH64 of the shingles, repeats included; of the whole sequence where it has fewer words; none without words."""
     words = raw.lower().split()  # on bytes: A-Z only, and the six ASCII white-space characters only
-    if not words:
-        return 0
     if len(words) < n_words:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(n_words))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, max(1, len(words) - n_words + 1))
-    ones = np.zeros(64, np.int64)
+    n = max(min(1, len(words)), len(words) - n_words + 1)
+    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """From n rows of 64-bit words to one row, with the bits set in over half of the rows."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
     for at in range(0, len(hashes), _PART):
-        part = hashes[at : at + _PART].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+        part = np.ascontiguousarray(hashes[at : at + _PART], "<u8").view(np.uint8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def fingerprint(raw: bytes, n_words: int = WORDS) -> int:
+    """Majority bits of the shingles' XXH64, from UTF-8; 0 for a text without words."""
+    return int(majority(shingle_hashes(raw, n_words)[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", to: str = "fingerprint", n_words: int = WORDS) -> DataFrame:
@@ -103,3 +125,140 @@ def first_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     found = near_duplicates(docs, doc_id=doc_id, text=text, n_words=n_words)
     gone = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_gone")).distinct()
     return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+
+
+def sketch(raw: bytes, n_words: int = LONG_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The wide fingerprint of the different shingles, and the fingerprints of their samples, one for each part of the
+    hashes by remainder that is not empty: the number of the part is mixed in, so that parts do not meet."""
+    hashes = np.unique(shingle_hashes(raw, n_words))
+    words = [hashes]
+    for _ in range(WIDE - 1):
+        x = words[-1] * np.uint64(0x9E3779B97F4A7C15)
+        words.append(x ^ (x >> np.uint64(32)))
+    parts = hashes % np.uint64(SAMPLES)
+    found = []
+    for j in range(SAMPLES):
+        sample = hashes[parts == j][:SAMPLE]  # the least hashes, as they are in order
+        if len(sample):
+            found.append(majority(sample[:, None])[0] ^ np.uint64(j * 0x9E3779B97F4A7C15 % 2**64))
+    return majority(np.stack(words, axis=1)), np.array(found, np.uint64)
+
+
+def distances(similarity: float) -> tuple[int, int]:
+    """Bits up to which wide fingerprints tell that two sets are similar, and beyond which they tell that they are not:
+    2.5 standard deviations around what is expected at the similarity of two sets of one size."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    expected, doubt = 64 * WIDE * share, 2.5 * math.sqrt(64 * WIDE * share * (1 - share))
+    return max(0, round(expected - doubt)), round(expected + doubt)
+
+
+def sketches(docs: DataFrame, *, text: str = "text", n_words: int = LONG_WORDS) -> DataFrame:
+    """Adds `f` array<long>, the wide fingerprint, and `samples` array<long>. A null text counts as empty; a text
+    without words has a fingerprint of zeros and no samples."""
+
+    def make():
+        def work(part: pa.RecordBatch) -> list[pa.Array]:
+            found = [sketch(t, n_words) for t in raw_texts(part, text)]
+            return [pa.array([x[i].view(np.int64) for x in found], pa.list_(pa.int64())) for i in (0, 1)]
+
+        return work
+
+    return append(docs, text, [StructField(c, ArrayType(LongType())) for c in ("f", "samples")], make)
+
+
+def _distance(a: str, b: str) -> Column:
+    return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WIDE))
+
+
+def candidates(groups: DataFrame, most: int) -> DataFrame:
+    """From (id, f, samples) to different pairs (a, b, d) of ids whose fingerprints differ in d bits, `most` or fewer.
+
+    Every row of a sample's table is compared with the table's least row, and with the two rows before it among those
+    that agree in four bits of the fingerprint, other bits for other tables. So a table gives at most three pairs a row,
+    and one that holds a third of all rows is split."""
+    rows = groups.select("id", "f", F.explode("samples").alias("sample"))
+    first = rows.groupBy("sample").agg(F.min(F.struct("id", "f")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(first, "sample")
+    bits = F.expr(f"pmod(shiftrightunsigned(f[int(pmod(sample, {WIDE}))], int(pmod(sample, 61))), 16)")
+    order = W.partitionBy("part").orderBy("f", "id")
+    split = rows.where("n > 2").select("id", "f", F.xxhash64("sample", bits).alias("part"))
+    found = rows.select("id", "f", F.col("least").alias("other"))
+    for k in (1, 2):
+        found = found.union(split.select("id", "f", F.lag(F.struct("id", "f"), k).over(order)))
+    return (
+        found.where("id <> other.id")
+        .select(F.greatest("id", "other.id").alias("a"), F.least("id", "other.id").alias("b"), _distance("f", "other.f").alias("d"))
+        .where(F.col("d") <= most)
+        .groupBy("a", "b")
+        .agg(F.min("d").alias("d"))
+    )
+
+
+def shingle_sets(docs: DataFrame, n_words: int) -> DataFrame:
+    """From (id, text) to (id, shingles array<long>): the different hashes of a text's shingles."""
+
+    def make():
+        def work(part: pa.RecordBatch) -> list[pa.Array]:
+            found = [np.unique(shingle_hashes(t, n_words)).view(np.int64) for t in raw_texts(part, "text")]
+            return [pa.array(found, pa.list_(pa.int64()))]
+
+        return work
+
+    return append(docs, "text", [StructField("shingles", ArrayType(LongType()))], make).drop("text")
+
+
+def similar(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_words: int = LONG_WORDS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """One row per document: doc_id, component_id, the smallest doc_id reachable over links of texts whose sets of
+    shingles have the similarity (intersection to union) or more.
+
+    Texts without words are copies of each other. Rows that repeat an id count as one document. A null doc_id counts
+    for no component_id, which is null where no document has one. Repeated rows each give a row. Other columns are left
+    out."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    table = written(sketches(docs, n_words=n_words).drop("text"), "sketches")
+    groups = written(
+        table.groupBy("f").agg(F.min("doc_id").alias("id"), F.min("samples").alias("samples")).where("id IS NOT NULL"),
+        "groups",
+    )
+    sure, most = distances(similarity)
+    pairs = written(candidates(groups, most), "candidates")
+    links = pairs.where(F.col("d") <= sure).select("a", "b")
+    roots = components(links)
+    of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+    open_pairs = written(
+        pairs.where(F.col("d") > sure)
+        .join(of_a, "a", "left")
+        .join(of_b, "b", "left")
+        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        .select("a", "b"),
+        "open",
+    )
+    asked = open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts_of = docs.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi")
+    sets = written(shingle_sets(texts_of, n_words), "shingles")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    more = (
+        open_pairs.join(sets.toDF("a", "of_a"), "a")
+        .join(sets.toDF("b", "of_b"), "b")
+        .where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared))
+        .select("a", "b")
+    )
+    # the first links count as the stars that they came to
+    roots = components(roots.toDF("a", "b").union(more))
+    classes = written(
+        groups.join(roots.select("id", "root"), "id", "left").select("f", F.coalesce("root", "id").alias("component_id")),
+        "classes",
+    )
+    return table.join(classes, "f", "left").select(F.col("doc_id").alias(doc_id), "component_id")
+
+
+def first_of_similar(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_words: int = LONG_WORDS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """The document with the smallest id of each component of `similar`, with all its columns. Rows that repeat such an
+    id all stay; rows with a null id stay, as nothing says which of them are the same document."""
+    found = similar(docs, doc_id=doc_id, text=text, n_words=n_words, similarity=similarity)
+    gone = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

@@ -331,6 +331,46 @@ def test_first_of_each_keeps_columns(docs, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+def plain_similar(rows):
+    """The least id reachable over pairs with 0.8 or more of their sets of five-word shingles in common."""
+    words = [lower(t or "").split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return {d: least.get(find(i)) for i, (d, _) in enumerate(rows)}
+
+
+def test_similar_equals_plain(spark, docs, empty, sf_texts):
+    rng = np.random.default_rng(7)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    rows = []
+    for i in range(60):  # copies with one to twelve changed words, all similar to the first, not all to each other
+        copy = list(words)
+        for at in rng.integers(0, 400, i % 12):
+            copy[at] = f"x{rng.integers(0, 1 << 30)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(words[:200] + [f"y{x}" for x in rng.integers(0, 1 << 30, 200)])) for i in range(30)]
+    rows += [(200, None), (201, ""), (202, " \n"), (203, "one"), (204, "One"), (205, "one two three four five")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(map(tuple, simhash.similar(frame).collect())) == plain_similar(rows)
+    found = dict(map(tuple, simhash.similar(queries.table(spark, SF_DIR, "documents")).collect()))
+    assert found == plain_similar(list(sf_texts.items()))
+    assert simhash.similar(empty).count() == 0
+    assert simhash.first_of_similar(docs).columns == docs.columns
+
+
 # -- 4 quality --------------------------------------------------------------------------------------------------------
 
 
@@ -642,7 +682,7 @@ def test_pipeline_stages_equal_brute_force(spark, enc):
 
     out = stage["simhash"](spark, docs, SF_DIR)
     assert out.columns == columns
-    classes = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    classes = plain_similar([(d, r["text"]) for d, r in lines.items()])
     docs = corpus_pipeline.written(out, "test")
     kept = {r["doc_id"]: r for r in docs.collect()}
     assert set(kept) == {d for d, c in classes.items() if d == c}
