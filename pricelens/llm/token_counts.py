@@ -26,15 +26,17 @@ LONGEST_REMEMBERED = 48
 
 
 class Recent(dict):
-    """Remembers what was used lately: when it is full it becomes the older part, and what is used again moves over."""
+    """Remembers what was used lately: when it is full it becomes the older part, and what is used again moves over.
+    What is in neither part is made anew; `make` stores what is worth it."""
 
-    def __init__(self, most: int):
-        self.most, self.older = most, {}
+    def __init__(self, most: int, make=lambda key: None):
+        self.most, self.make, self.older = most, make, {}
 
     def __missing__(self, key):
         found = self.older.get(key)
-        if found is not None:
-            self[key] = found
+        if found is None:
+            return self.make(key)
+        self[key] = found
         return found
 
     def __setitem__(self, key, value):
@@ -59,7 +61,8 @@ class PrefixCounter:
             raise ValueError("a piece holds a space after other characters, or a line end")
         self.tokens = {p for p in self.rank if len(p) == 1 or self.merged(p) == [p]}
         self.longest = max(map(len, self.rank))
-        self.words = Recent(REMEMBERED)  # counts, length and the last count of a word
+        self.words = Recent(REMEMBERED, self.word)
+        self.states = Recent(REMEMBERED)  # a prefix's count, last token and the state before: for all words that begin so
         self.pairs = Recent(REMEMBERED)
 
     def merged(self, text: str) -> list[str]:
@@ -82,39 +85,40 @@ class PrefixCounter:
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
 
-    def prefix_counts(self, word: str) -> np.ndarray:
-        """The number of tokens of each prefix of 1, 2, ... characters."""
+    def prefix_counts(self, word: str) -> list[int]:
+        """The number of tokens of each prefix of 1, 2, ... characters. Starts at the longest prefix known."""
         n = len(word)
         counts, last = [0] * (n + 1), [""] * (n + 1)
-        tokens, longest, known = self.tokens, self.longest, self.pairs.get
-        for i in range(1, n + 1):
-            for start in range(max(0, i - longest), i):
+        states, tokens, longest, known = self.states, self.tokens, self.longest, self.pairs.get
+        at, state = min(n, LONGEST_REMEMBERED), None
+        while at and (state := states[word[:at]]) is None:
+            at -= 1
+        chain = state
+        for i in range(at, 0, -1):
+            counts[i], last[i], chain = chain
+        for i in range(at + 1, n + 1):
+            for start in range(max(0, i - longest), i - 1):
                 token = word[start:i]
-                if start + 1 < i:
-                    if token not in tokens:
-                        continue
-                    if start:
-                        fits = known((last[start], token))
-                        if fits is None:
-                            fits = self.may_follow(last[start], token)
-                        if not fits:
-                            continue
-                    cost = 1
-                else:
-                    cost = 1 if token in tokens else len(token.encode())
-                counts[i], last[i] = counts[start] + cost, token
-                break
-        return np.array(counts[1:], np.int32)
-
-    def word(self, word: str) -> tuple[np.ndarray, int, int]:
-        """Counts, length and the last count."""
-        known = self.words[word]
-        if known is None:
-            counts = self.prefix_counts(word)
-            known = counts, len(counts), int(counts[-1])
-            if len(word) <= LONGEST_REMEMBERED:
-                self.words[word] = known
-        return known
+                if token in tokens:
+                    if not start:
+                        break
+                    fits = known((last[start], token))
+                    if fits or fits is None and self.may_follow(last[start], token):
+                        break
+            else:
+                start, token = i - 1, word[i - 1]
+            cost = 1 if token in tokens else len(token.encode())
+            counts[i], last[i] = counts[start] + cost, token
+            if i <= LONGEST_REMEMBERED:
+                state = states[word[:i]] = counts[i], token, state
+        return counts[1:]
+
+    def word(self, word: str) -> bytes:
+        """The counts as 32-bit numbers."""
+        found = np.array(self.prefix_counts(word), np.int32).tobytes()
+        if len(word) <= LONGEST_REMEMBERED:
+            self.words[word] = found
+        return found
 
     def texts(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Counts of all prefixes of all texts, from the empty prefix on, and where each text starts."""
@@ -122,17 +126,18 @@ class PrefixCounter:
         for text in many:
             firsts.append(len(found))
             lengths.append(len(text) + 1)
-            found += map(self.word, _WORDS.findall(SPACE + text.replace(" ", SPACE)))
+            found += map(self.words.__getitem__, _WORDS.findall(SPACE + text.replace(" ", SPACE)))
         starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         if not many:
             return np.zeros(0, np.int32), starts
-        sizes = np.fromiter((x[1] for x in found), np.int64, len(found))
-        ends = np.cumsum(np.fromiter((x[2] for x in found), np.int64, len(found)))
+        counts = np.frombuffer(b"".join(found), np.int32).copy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ends = np.cumsum(counts[np.cumsum(sizes) - 1], dtype=np.int64)
         before = np.concatenate([[0], ends[:-1]])
         first = np.array(firsts)
         words = np.diff(np.append(first, len(found)))
         before -= np.repeat(before[first], words)
-        counts = np.concatenate([x[0] for x in found]) + np.repeat(before, sizes).astype(np.int32)
+        counts += np.repeat(before, sizes).astype(np.int32)
         counts[starts[:-1]] = 0  # the mark alone stands for the empty prefix
         return counts, starts
 
