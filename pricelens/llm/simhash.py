@@ -8,8 +8,9 @@ complete distances, links them all.
 
 Texts of a given shingle similarity differ in far more bits than a small ball holds. `similar` finds them by segments
 that are fingerprints of small samples of the shingles: a changed word leaves most samples as they were, so members of
-a segment's table are fetched by equality, and complete distances of 256-bit fingerprints decide. Where the distance
-is too near to the one expected at the least similarity, the shingles themselves are compared."""
+a segment's table are fetched by equality. Near distances of 256-bit fingerprints link the bulk of large groups by few
+pairs. Then every pair that shares a sample and is not linked yet is compared by its shingles: all pairs of a small
+table, and the pairs of large tables' rows by an exact join on the rarest shingles."""
 
 from __future__ import annotations
 
@@ -36,6 +37,8 @@ SIMILARITY = 0.8
 SAMPLES = 10
 SAMPLE = 3
 WIDE = 4
+#: Rows up to which all pairs of a sample's table are compared as they are.
+MANY = 32
 
 _PART = 1 << 14
 
@@ -207,6 +210,68 @@ def shingle_sets(docs: DataFrame, n_words: int) -> DataFrame:
     return append(docs, "text", [StructField("shingles", ArrayType(LongType()))], make).drop("text")
 
 
+def alike(pairs: DataFrame, docs: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity or more, from the documents (id, text)."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(shingle_sets(docs.join(asked, "id", "left_semi"), n_words), "shingles")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return (
+        pairs.join(sets.toDF("a", "of_a"), "a")
+        .join(sets.toDF("b", "of_b"), "b")
+        .where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared))
+        .select("a", "b")
+    )
+
+
+def rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """From (id, root, shingles) to pairs (a, b) of ids of different roots, among them all with the similarity or more.
+
+    Shingles are ordered from the rarest on. Of a pair the larger set, with n shingles, has the first common one among
+    the first (1 - s) n + 1, and the smaller, with m, among the first (1 - 2s / (1 + s)) m + 1, as they have at least
+    s / (1 + s) (n + m) in common. So what a crowd shares is met only where it is nearly all of a text."""
+    own = written(
+        sets.withColumns({"n": F.size("shingles"), "copy": F.xxhash64("shingles")})
+        .select("id", "root", "n", "copy", F.explode("shingles").alias("shingle"))
+        .distinct(),
+        "shingle_rows",
+    )
+    often = own.groupBy("shingle").agg(F.count("*").alias("often"))
+    place = F.row_number().over(W.partitionBy("id", "copy").orderBy("often", "shingle"))
+    # `left`: shingles from this one on, which bound what is in common if it is the first
+    ranked = own.join(often, "shingle").withColumn("left", F.col("n") - place + 1).where("often > 1")
+    first = lambda share: F.col("left") + 1e-6 >= share * F.col("n")
+    ranked = written(ranked.where(first(similarity)).select("shingle", "id", "root", "n", "left"), "rare")
+    small = ranked.where(first(2 * similarity / (1 + similarity))).toDF("shingle", "b", "root_b", "m", "left_b")
+    return (
+        ranked.join(small, "shingle")
+        .where("root <> root_b and m <= n")
+        .where(F.col("m") + 1e-6 >= similarity * F.col("n"))
+        .where(F.least("left", "left_b") + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m")))
+        .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
+        .distinct()
+    )
+
+
+def apart(groups: DataFrame, roots: DataFrame, docs: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """From (id, samples), (id, root) and documents (id, text) to pairs (a, b) of different roots, among them all that
+    share a sample and have the similarity or more.
+
+    Tables whose rows have one root are done. Of others with MANY rows or fewer all pairs of different roots are taken.
+    The rows of larger ones meet by their rarest shingles."""
+    rows = (
+        groups.join(roots, "id", "left")
+        .select("id", F.coalesce("root", "id").alias("root"), F.explode("samples").alias("sample"))
+    )
+    tables = rows.groupBy("sample").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rows = written(rows.join(tables.where("lo <> hi").select("sample", "rows"), "sample"), "apart")
+    few = rows.where(F.col("rows") <= MANY).select("sample", "id", "root")
+    near = few.toDF("sample", "a", "root_a").join(few.toDF("sample", "b", "root_b"), "sample")
+    near = near.where("a > b and root_a <> root_b").select("a", "b").distinct()
+    crowd = rows.where(F.col("rows") > MANY).select("id", "root").distinct()
+    sets = written(shingle_sets(docs.join(crowd, "id"), n_words), "crowd")
+    return near.union(rare_pairs(sets, similarity)).distinct()
+
+
 def similar(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_words: int = LONG_WORDS, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -222,10 +287,10 @@ def similar(
         table.groupBy("f").agg(F.min("doc_id").alias("id"), F.min("samples").alias("samples")).where("id IS NOT NULL"),
         "groups",
     )
+    texts_of = docs.withColumnRenamed("doc_id", "id")
     sure, most = distances(similarity)
     pairs = written(candidates(groups, most), "candidates")
-    links = pairs.where(F.col("d") <= sure).select("a", "b")
-    roots = components(links)
+    roots = components(pairs.where(F.col("d") <= sure).select("a", "b"))
     of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
     open_pairs = written(
         pairs.where(F.col("d") > sure)
@@ -235,18 +300,10 @@ def similar(
         .select("a", "b"),
         "open",
     )
-    asked = open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts_of = docs.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi")
-    sets = written(shingle_sets(texts_of, n_words), "shingles")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    more = (
-        open_pairs.join(sets.toDF("a", "of_a"), "a")
-        .join(sets.toDF("b", "of_b"), "b")
-        .where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared))
-        .select("a", "b")
-    )
-    # the first links count as the stars that they came to
-    roots = components(roots.toDF("a", "b").union(more))
+    # the links so far count as the stars that they came to
+    roots = components(roots.toDF("a", "b").union(alike(open_pairs, texts_of, n_words, similarity)))
+    rest = written(apart(groups.select("id", "samples"), roots, texts_of, n_words, similarity), "apart")
+    roots = components(roots.toDF("a", "b").union(alike(rest, texts_of, n_words, similarity)))
     classes = written(
         groups.join(roots.select("id", "root"), "id", "left").select("f", F.coalesce("root", "id").alias("component_id")),
         "classes",

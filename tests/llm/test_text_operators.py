@@ -371,6 +371,19 @@ def test_similar_equals_plain(spark, docs, empty, sf_texts):
     assert simhash.first_of_similar(docs).columns == docs.columns
 
 
+def test_similar_pairs_over_one_common_passage(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage = word(154)
+    rows = []
+    for i in range(200):  # 178 of 222 shingles in common within a pair, 150 of 250 with all others
+        own = passage + word(28)
+        rows += [(2 * i + k, " ".join(own + word(22))) for k in (0, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dict(map(tuple, simhash.similar(frame).collect()))
+    assert found == {d: d - d % 2 for d, _ in rows}
+
+
 # -- 4 quality --------------------------------------------------------------------------------------------------------
 
 
