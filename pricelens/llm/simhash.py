@@ -147,12 +147,12 @@ def sketch(raw: bytes, n_words: int = LONG_WORDS) -> tuple[np.ndarray, np.ndarra
     return majority(np.stack(words, axis=1)), np.array(found, np.uint64)
 
 
-def distances(similarity: float) -> tuple[int, int]:
-    """Bits up to which wide fingerprints tell that two sets are similar, and beyond which they tell that they are not:
-    2.5 standard deviations around what is expected at the similarity of two sets of one size."""
+def sure_distance(similarity: float) -> int:
+    """Bits up to which wide fingerprints tell that two sets are similar: 2.5 standard deviations under what is expected
+    at the similarity of two sets of one size. No distance tells that they are not, as ties of short texts add bits."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     expected, doubt = 64 * WIDE * share, 2.5 * math.sqrt(64 * WIDE * share * (1 - share))
-    return max(0, round(expected - doubt)), round(expected + doubt)
+    return max(0, round(expected - doubt))
 
 
 def sketches(docs: DataFrame, *, text: str = "text", n_words: int = LONG_WORDS) -> DataFrame:
@@ -173,8 +173,8 @@ def _distance(a: str, b: str) -> Column:
     return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WIDE))
 
 
-def candidates(groups: DataFrame, most: int) -> DataFrame:
-    """From (id, f, samples) to different pairs (a, b, d) of ids whose fingerprints differ in d bits, `most` or fewer.
+def candidates(groups: DataFrame) -> DataFrame:
+    """From (id, f, samples) to different pairs (a, b, d) of ids whose fingerprints differ in d bits.
 
     Every row of a sample's table is compared with the table's least row, and with the two rows before it among those
     that agree in four bits of the fingerprint, other bits for other tables. So a table gives at most three pairs a row,
@@ -191,7 +191,6 @@ def candidates(groups: DataFrame, most: int) -> DataFrame:
     return (
         found.where("id <> other.id")
         .select(F.greatest("id", "other.id").alias("a"), F.least("id", "other.id").alias("b"), _distance("f", "other.f").alias("d"))
-        .where(F.col("d") <= most)
         .groupBy("a", "b")
         .agg(F.min("d").alias("d"))
     )
@@ -288,8 +287,8 @@ def similar(
         "groups",
     )
     texts_of = docs.withColumnRenamed("doc_id", "id")
-    sure, most = distances(similarity)
-    pairs = written(candidates(groups, most), "candidates")
+    sure = sure_distance(similarity)
+    pairs = written(candidates(groups), "candidates")
     roots = components(pairs.where(F.col("d") <= sure).select("a", "b"))
     of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
     open_pairs = written(

@@ -384,6 +384,17 @@ def test_similar_pairs_over_one_common_passage(spark):
     assert found == {d: d - d % 2 for d, _ in rows}
 
 
+def test_similar_short_and_cut_copies(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i, n in enumerate([5] * 100 + [25] * 100):  # n shingles against 0.8 n, the end cut off
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, n + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n * 4 // 5 + 4]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dict(map(tuple, simhash.similar(frame).collect()))
+    assert found == {d: d - d % 2 for d, _ in rows}
+
+
 # -- 4 quality --------------------------------------------------------------------------------------------------------
 
 
