@@ -5,26 +5,29 @@ escape's estimate is the number of distinct symbols against all counts, method C
 context are excluded there. Symbols that a context has seen are a subset of those of its suffix, so what is excluded depends
 on the longer context alone, and each context keeps its escape and its exclusions as sums of logarithms.
 
-Counts are made by Spark over all training texts. A trie node stays where it has at least one in 2^20 of all symbols, whatever
-the size of the input; so a depth has at most 2^20 nodes, and the trie that is sent to the tasks is bounded."""
+Counts are made by Spark over all training texts and no node is dropped. Nodes and contexts are tables sharded by path; the
+paths of the texts, added up per text, meet their logarithms in a join. Only paths that are at least one in HOT_SHARE of all
+symbols are sent to the tasks, which looks them up without a join and changes no result."""
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from pricelens.llm.byte_paths import SLAB, Table, counted, key, mask, slabs
+from pricelens.llm.byte_paths import SLAB, Table, counted, key, slabs
 from pricelens.llm.common import raw_texts, remainder, slices, written
 
 #: Bytes of a trie path: a context of up to five and the symbol after it.
 DEPTH = 6
-#: A node, or a frequent word, has at least one in so many symbols or words.
-NODE_SHARE = 1 << 20
+#: Where it is set, a node stays only if at least one in so many symbols is it. None keeps all.
+NODE_SHARE = None
+#: A path that is looked up in the tasks, or a frequent word, is at least one in so many symbols or words.
+HOT_SHARE = 1 << 20
 WORD_SHARE = 1 << 19
 #: Longer words go the way of rare ones, so that the frequent ones' table is bounded in bytes too.
 LONGEST_FREQUENT = 64
@@ -33,8 +36,9 @@ LONGEST_FREQUENT = 64
 END = b" "
 
 
-def corpus_counts(training: DataFrame) -> DataFrame:
-    """(word, path, n) over all texts: words have a null path and paths a null word. The end token is the word END."""
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """From (text, held_out) to (word, path, n) of the texts that are not held out: words have a null path and paths a null
+    word. The end token is the word END. Paths that only held-out texts have are there with 0."""
     schema = pa.schema([("word", pa.binary()), ("path", pa.int64()), ("n", pa.int64())])
 
     def words_out(held: dict[bytes, int]) -> pa.RecordBatch:
@@ -43,147 +47,137 @@ def corpus_counts(training: DataFrame) -> DataFrame:
             [pa.array(list(held), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(held.values()), pa.int64())], schema=schema
         )
 
+    def paths_out(raws: list[bytes], times: int):
+        for found, _, _ in slabs(raws, DEPTH):
+            found, n = counted(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(n), pa.binary()), pa.array(found.view(np.int64)), pa.array(n * times)], schema=schema
+            )
+
     def run(batches):
         held: Counter[bytes] = Counter()
         for batch in batches:
             for part in slices(batch, "text", SLAB):
-                raws = raw_texts(part, "text")
+                yield from paths_out(raw_texts(part.filter(part.column("held_out")), "text"), 0)
+                raws = raw_texts(part.filter(pc.invert(part.column("held_out"))), "text")
+                yield from paths_out(raws, 1)
                 for raw in raws:
                     held.update(raw.lower().split())
-                held[END] += len(raws)
-                for found, _, _ in slabs(raws, DEPTH):
-                    found, n = counted(found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(n), pa.binary()), pa.array(found.view(np.int64)), pa.array(n)], schema=schema
-                    )
+                if raws:
+                    held[END] += len(raws)
                 if len(held) > 300_000:
                     yield words_out(held)
                     held = Counter()
         yield words_out(held)
 
-    counts = training.mapInArrow(run, "word binary, path long, n long")
+    counts = docs.mapInArrow(run, "word binary, path long, n long")
     return counts.groupBy("word", "path").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Trie:
-    """Nodes of each depth from 1: paths (context, then symbol) and counts. One row of arrays per depth."""
-
-    nodes: list[np.ndarray]
-    counts: list[np.ndarray]
-
-    def prepare(self) -> Ppm:
-        return Ppm(self)
-
-
-class Ppm:
-    def __init__(self, trie: Trie):
-        log = np.log10
-        symbols, log_counts, direct = [], [], []
-        contexts, fall, skip = [], [], []  # per context: escape all the way down to it; what a hit below it divides by
-        self.unseen = np.log10(1 / 256)
-        previous: dict | None = None
-        for depth, (paths_, counts) in enumerate(zip(trie.nodes, trie.counts), start=1):
-            if not len(paths_):
-                break
-            order = np.argsort(paths_)
-            paths_, counts = paths_[order].astype(np.uint64), counts[order].astype(float)
-            context = paths_ >> np.uint64(8)
-            own, start, of = np.unique(context, return_index=True, return_inverse=True)
-            total = np.add.reduceat(counts, start)
-            distinct = np.diff(np.append(start, len(counts))).astype(float)
-            symbols.append(key(paths_, depth))
-            log_counts.append(log(counts))
-            direct.append(log(counts) - log(total + distinct)[of])
-            if previous is None:  # the empty context
-                gone, divided = np.zeros(1), np.zeros(1)
-                self.unseen = np.log10(1 / (256 - distinct[0])) if distinct[0] < 256 else 0.0
-            else:
-                # the suffix context's counts of the symbols seen here, and what is left of it without them
-                below = np.searchsorted(previous["paths"], paths_ & mask(depth - 1))
-                excluded = np.add.reduceat(previous["counts"][below], start)
-                suffix = np.searchsorted(previous["own"], own & mask(depth - 2))
-                rest = previous["distinct"][suffix] - distinct
-                whole = previous["total"][suffix] - excluded + rest
-                whole[rest == 0] = 1.0
-                gone = previous["gone"][suffix] + np.where(rest == 0, 0.0, log(np.maximum(rest, 1)) - log(whole))
-                divided = log(whole)
-            contexts.append(key(own, depth - 1))
-            fall.append(log(distinct) - log(total + distinct) + gone)
-            skip.append(divided + gone)
-            previous = {"paths": paths_, "counts": counts, "own": own, "total": total, "distinct": distinct, "gone": gone}
-        join = lambda x: np.concatenate(x) if x else np.zeros(0)
-        self.depth = len(symbols)
-        self.symbols, self.contexts = Table(join(symbols).astype(np.uint64)), Table(join(contexts).astype(np.uint64))
-        self.log_counts, self.direct = join(log_counts), join(direct)
-        self.fall, self.skip = join(fall), join(skip)
-
-    def log10(self, found: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each path's last byte after the bytes before it."""
-        if not self.depth:
-            return np.full(len(found), self.unseen)
-        out = np.empty(len(found))
-        at = self.symbols.find(key(found, self.depth))
-        hit = at >= 0
-        out[hit] = self.direct[at[hit]]
-        left = np.flatnonzero(~hit)
-        if not len(left):
-            return out
-        rest = found[left]
-        history = rest >> np.uint64(8)
-        # the longest context that the trie has
-        top = np.full(len(left), -1, np.int32)
-        length = np.zeros(len(left), np.int64)
-        todo = np.arange(len(left))
-        for n in range(self.depth - 1, -1, -1):
-            place = self.contexts.find(key(history[todo], n))
-            ok = place >= 0
-            top[todo[ok]], length[todo[ok]] = place[ok], n
-            todo = todo[~ok]
-            if not len(todo):
-                break
-        value = self.fall[top] + self.unseen  # for symbols seen nowhere
-        todo = np.arange(len(left))
-        for depth in range(self.depth, 0, -1):
-            look = todo[length[todo] >= depth - 1]
-            if not len(look):
-                continue
-            place = self.symbols.find(key(rest[look], depth))
-            ok = place >= 0
-            seen, place = look[ok], place[ok]
-            here = length[seen] == depth - 1
-            value[seen[here]] = self.direct[place[here]]
-            lower, place = seen[~here], place[~here]
-            above = self.contexts.find(key(history[lower], depth))
-            value[lower] = self.fall[top[lower]] + self.log_counts[place] - self.skip[above]
-            todo = np.setdiff1d(todo, seen, assume_unique=True)
-        out[left] = value
-        return out
-
-    def texts(self, raws: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text, its end included."""
-        totals = np.zeros(len(raws))
-        for found, starts, of in slabs(raws, DEPTH):
-            np.add.at(totals, of, np.add.reduceat(self.log10(found), starts))
-        return totals
+def _last(path: str, length: int) -> Column:
+    return F.col(path).bitwiseAND(F.lit((1 << 8 * length) - 1))
 
 
-def trie(counts: DataFrame) -> Trie:
-    """The trie of the counts' paths. Every path is one symbol with its context; a shorter node sums those that end so."""
-    found = counts.where("path is not null").select("path", "n")
-    size = found.agg(F.sum("n")).first()[0] or 0
-    levels = F.explode(
-        F.array(*[F.struct(F.lit(d).alias("depth"), F.col("path").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("node")) for d in range(1, DEPTH + 1)])
+def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Nodes (path, n) of each depth from 1, contexts of each length from 0, and the number of symbols.
+
+    Every path is one symbol with its context; a shorter node sums those that end so. A context has `den`, the logarithm
+    of what a symbol's count is divided by in it; `fall`, the escape from it all the way down; `skip`, what is
+    taken off for a hit below it; `total`, `distinct` and `gone` for the next length."""
+    sums = [counts.where("path is not null and n > 0").select("path", "n")]
+    for d in range(DEPTH - 1, 0, -1):
+        sums.insert(0, written(sums[0].groupBy(_last("path", d).alias("path")).agg(F.sum("n").alias("n")), "nodes"))
+    size = sums[0].agg(F.sum("n")).first()[0] or 0
+    nodes = [x.where(F.col("n") >= size / NODE_SHARE) for x in sums] if NODE_SHARE else sums
+    contexts: list[DataFrame] = []
+    for length, own in enumerate(nodes):
+        own = own.withColumn("context", F.shiftright("path", 8))
+        sizes = [F.sum("n").cast("double").alias("total"), F.count("*").cast("double").alias("distinct")]
+        if not length:
+            found = own.groupBy("context").agg(*sizes).withColumns({"gone": F.lit(0.0), "divided": F.lit(0.0)})
+        else:
+            # the suffix context's counts of the symbols seen here, and what is left of it without them
+            below = nodes[length - 1].toDF("suffix", "below")
+            up = contexts[-1].select(*[F.col(c).alias(f"up_{c}") for c in ("context", "total", "distinct", "gone")])
+            found = own.withColumn("suffix", _last("path", length)).join(below, "suffix")
+            found = found.groupBy("context").agg(*sizes, F.sum("below").alias("excluded"))
+            found = found.withColumn("up_context", _last("context", length - 1)).join(up, "up_context")
+            found = found.withColumn("rest", F.col("up_distinct") - F.col("distinct"))
+            whole = F.when(F.col("rest") == 0, 1.0).otherwise(F.col("up_total") - F.col("excluded") + F.col("rest"))
+            found = found.withColumn("divided", F.log10(whole))
+            gone = F.when(F.col("rest") == 0, 0.0).otherwise(F.log10(F.greatest("rest", F.lit(1.0))) - F.col("divided"))
+            found = found.withColumn("gone", F.col("up_gone") + gone)
+        den = F.log10(F.col("total") + F.col("distinct"))
+        found = found.select(
+            "context", "total", "distinct", "gone", den.alias("den"),
+            (F.log10("distinct") - den + F.col("gone")).alias("fall"), (F.col("divided") + F.col("gone")).alias("skip"),
+        )
+        contexts.append(written(found, "contexts"))
+    return nodes, contexts, size
+
+
+def unseen_paths(paths: DataFrame, nodes: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """From paths that are no node to (path, value), log10 of the probability of the last byte after the others."""
+    of_none = contexts[0].select("distinct").first()
+    left = 256 - (of_none[0] if of_none else 0)
+    unseen = float(-np.log10(left)) if left else 0.0
+    # a key is the length, 16 more for a context, before the bytes; short ones are few and would be hot in a shuffle
+    none = F.lit(None).cast("double")
+    hits = None
+    for lengths in (range(3), range(3, DEPTH)):
+        table, keys = None, []
+        for n in lengths:
+            parts = [
+                contexts[n].select(F.col("context").bitwiseOR(F.lit(16 + n << 48)).alias("key"), none.alias("log_n"), "fall", "skip", "den")
+            ]
+            keys.append(F.shiftright("path", 8).bitwiseAND(F.lit((1 << 8 * n) - 1)).bitwiseOR(F.lit(16 + n << 48)))
+            if n:
+                key_ = F.col("path").bitwiseOR(F.lit(n << 48))
+                parts.append(nodes[n - 1].select(key_, F.log10("n"), none, none, none))
+                keys.append(_last("path", n).bitwiseOR(F.lit(n << 48)))
+            for part in parts:
+                table = part if table is None else table.union(part)
+        asked = paths.select("path", F.explode(F.array(*keys)).alias("key"))
+        found = asked.join(F.broadcast(table) if lengths[0] == 0 else table, "key", "left")
+        hits = found if hits is None else hits.union(found)
+    code = F.shiftright("key", 48)
+    skips = [F.max(F.when(code == 16 + n, F.col("skip"))).alias(f"skip_{n}") for n in range(1, DEPTH)]
+    found = hits.groupBy("path").agg(
+        F.max(F.when(F.col("log_n").isNotNull(), F.struct(code.alias("depth"), "log_n"))).alias("node"),
+        F.max(F.when(F.col("fall").isNotNull(), F.struct((code - 16).alias("length"), "fall", "den"))).alias("top"),
+        *skips,
     )
-    kept = (
-        found.select(levels.alias("x"), "n")
-        .groupBy("x.depth", "x.node")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= size / NODE_SHARE)
-        .toArrow()  # at most DEPTH times NODE_SHARE rows
+    # the symbol is found below the longest context, in it, or nowhere
+    skip = F.coalesce(*[F.when(F.col("node.depth") == n, F.col(f"skip_{n}")) for n in range(1, DEPTH)])
+    value = (
+        F.when(F.col("node").isNull(), F.coalesce("top.fall", F.lit(0.0)) + unseen)
+        .when(F.col("node.depth") == F.col("top.length") + 1, F.col("node.log_n") - F.col("top.den"))
+        .otherwise(F.col("top.fall") + F.col("node.log_n") - skip)
     )
-    depth, node, n = (kept.column(c).to_numpy() for c in ("depth", "node", "n"))
-    return Trie([node[depth == d] for d in range(1, DEPTH + 1)], [n[depth == d] for d in range(1, DEPTH + 1)])
+    return found.select("path", value.alias("value"))
+
+
+class Hot:
+    """Logarithms of the paths that are looked up in the tasks."""
+
+    def __init__(self, paths: np.ndarray, values: np.ndarray):
+        self.table, self.values = Table(key(paths.astype(np.uint64), DEPTH)), np.append(values, 0.0)
+
+    def texts(self, raws: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The sum for each text over its paths that are here; (text, path, times) of all others."""
+        totals, others = np.zeros(len(raws)), []
+        for found, starts, of in slabs(raws, DEPTH):
+            at = self.table.find(key(found, DEPTH))
+            np.add.at(totals, of, np.add.reduceat(self.values[at], starts))  # -1 is the 0 at the end
+            left = np.flatnonzero(at < 0)
+            if not len(left):
+                continue
+            text, path = np.repeat(of, np.diff(np.append(starts, len(found))))[left], found[left]
+            order = np.lexsort((path, text))
+            text, path = text[order], path[order]
+            first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (path[1:] != path[:-1])))
+            others.append((text[first], path[first].view(np.int64), np.diff(np.append(first, len(text)))))
+        return totals, others
 
 
 def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: int = 1) -> DataFrame:
@@ -194,34 +188,43 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_
     log10(1) a token and each symbol has one chance in 256. Repeated rows each learn and give a row. Other columns
     are left out.
 
-    Frequent words (at least one in WORD_SHARE, so at most that many) are looked up in the tasks; all others are
-    joined with their counts by word."""
+    Frequent words (at least one in WORD_SHARE, so at most that many) and hot paths (HOT_SHARE) are looked up in the
+    tasks; all others are joined with their counts by word, or with their logarithms by path."""
     spark = docs.sparkSession
     docs = docs.select(
         F.col(doc_id).alias("doc"), (remainder(doc_id) == held_out).alias("held_out"), F.col(text).alias("text")
     )
-    counts = written(corpus_counts(docs.where(~F.col("held_out")).select("text")), "counts")
+    counts = written(corpus_counts(docs.select("text", "held_out")), "counts")
     words = counts.where("word is not null").select("word", "n")
     size, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     near = (F.col("n") >= size / WORD_SHARE) & (F.octet_length("word") <= LONGEST_FREQUENT)
     frequent = words.where(near)
     divided = size + 0.5 * (distinct + 1)
     frequent = spark.sparkContext.broadcast({bytes(r[0]): float(np.log10((r[1] + 0.5) / divided)) for r in frequent.collect()})
-    model = spark.sparkContext.broadcast(trie(counts))
+    nodes, contexts, n_symbols = model(counts)
+    den = contexts[-1].select("context", "den")
+    direct = nodes[-1].withColumn("context", F.shiftright("path", 8)).join(den, "context")
+    direct = written(direct.select("path", "n", (F.log10("n") - F.col("den")).alias("value")), "direct")
+    near_path = F.col("n") >= n_symbols / HOT_SHARE
+    kept = direct.where(near_path).select("path", "value").toArrow()  # at most HOT_SHARE rows
+    hot = spark.sparkContext.broadcast((kept["path"].to_numpy(), kept["value"].to_numpy()))
+    least = n_symbols / NODE_SHARE if NODE_SHARE else 0
+    novel = counts.where("path is not null").where((F.col("n") == 0) | (F.col("n") < least)).select("path")
+    paths = direct.where(~near_path).select("path", "value").union(unseen_paths(novel, nodes, contexts))
 
     fields = [
-        StructField("key", LongType()), docs.schema["doc"], docs.schema["held_out"], StructField("word", BinaryType()),
-        StructField("times", LongType()), StructField("n_tokens", LongType()), StructField("known", LongType()),
-        StructField("base", DoubleType()), StructField("score", DoubleType()),
+        StructField("key", LongType()), StructField("word", BinaryType()), StructField("path", LongType()),
+        StructField("times", LongType()), docs.schema["doc"], docs.schema["held_out"], StructField("n_tokens", LongType()),
+        StructField("known", LongType()), StructField("base", DoubleType()), StructField("score", DoubleType()),
     ]
     docs = docs.withColumn("key", F.monotonically_increasing_id())
 
     def run(batches):
-        ppm, values = model.value.prepare(), frequent.value
+        ppm, values = Hot(*hot.value), frequent.value
         for batch in batches:
             for part in slices(batch, "text", SLAB):
                 raws = raw_texts(part, "text")
-                total = ppm.texts(raws)
+                total, others = ppm.texts(raws)
                 row, word, times, n_tokens, known, base = [], [], [], [], [], []
                 for i, raw in enumerate(raws):
                     found = raw.lower().split()
@@ -235,38 +238,42 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_
                     row += [i] * len(rare)
                     word += rare
                     times += rare.values()
-                # one row for the document, under a key that no word has, and one for each rare word
+                own, names = part.column("key"), [f.name for f in fields]
+
+                def rows(key, word, path, times, *rest):
+                    rest = rest or [pa.nulls(len(key), part.column(c).type) for c in ("doc", "held_out")] + [
+                        pa.nulls(len(key), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                    ]
+                    return pa.RecordBatch.from_arrays([key, word, path, times, *rest], names=names)
+
+                # one row for the document, under a path that nothing has, one for each rare word and for each other path
                 n, m = len(raws), len(row)
-                take = pa.array([*range(n), *row], pa.int64())
-                keys = part.column("key").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key").take(take),
-                        part.column("doc").take(take),
-                        part.column("held_out").take(take),
-                        pa.array([b" %d" % k for k in keys] + word, pa.binary()),
-                        pa.array([0] * n + times, pa.int64()),
-                        pa.array(n_tokens + [0] * m, pa.int64()),
-                        pa.array(known + [0] * m, pa.int64()),
-                        pa.array(base + [0.0] * m, pa.float64()),
-                        pa.array([*total.tolist(), *[0.0] * m], pa.float64()),
-                    ],
-                    names=[f.name for f in fields],
+                yield rows(
+                    own, pa.array([b""] * n, pa.binary()), pa.array(-2 - own.to_numpy()), pa.array([0] * n, pa.int64()),
+                    part.column("doc"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()),
+                    pa.array(base, pa.float64()), pa.array(total),
+                )
+                yield rows(
+                    own.take(pa.array(row, pa.int64())), pa.array(word, pa.binary()), pa.array([-1] * m, pa.int64()), pa.array(times, pa.int64())
                 )
+                for at, path, times in others:
+                    yield rows(own.take(pa.array(at)), pa.repeat(pa.scalar(b"", pa.binary()), len(at)), pa.array(path), pa.array(times))
 
     rows = docs.mapInArrow(run, StructType(fields))
-    joined = rows.join(words.where(~near), "word", "left")
-    each = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(divided)))
+    table = words.where(~near).select("word", F.lit(-1).cast("long").alias("path"), F.col("n").cast("double").alias("x"))
+    table = table.union(paths.select(F.lit(b""), "path", "value"))
+    joined = rows.join(table, ["word", "path"], "left")
+    each = F.log10((F.coalesce("x", F.lit(0.0)) + 0.5) / F.lit(float(divided)))
+    is_word, is_path = F.col("path") == -1, F.col("path") >= 0
     return (
         joined.groupBy("key")
         .agg(
-            F.first("doc").alias(doc_id),
-            F.first("held_out").alias("held_out"),
+            F.first("doc", ignorenulls=True).alias(doc_id),
+            F.first("held_out", ignorenulls=True).alias("held_out"),
             F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("known") + F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + F.when(F.col("times") > 0, F.col("times") * each).otherwise(0.0)).alias("base_score"),
-            F.sum("score").alias("score"),
+            F.sum(F.when(is_word, F.when(F.col("x") > 0, F.col("times")).otherwise(0)).otherwise(F.coalesce("known", F.lit(0)))).alias("n_known"),
+            F.sum(F.when(is_word, F.col("times") * each).otherwise(F.coalesce("base", F.lit(0.0)))).alias("base_score"),
+            F.sum(F.when(is_path, F.col("times") * F.col("x")).otherwise(F.coalesce("score", F.lit(0.0)))).alias("score"),
         )
         .select(doc_id, "held_out", "n_tokens", "n_known", F.lit(size).cast("long").alias("train_tokens"), "base_score", "score")
     )
-

@@ -221,6 +221,21 @@ def test_lm_scores_equal_plain_ppm(spark, docs, monkeypatch, shares):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+@pytest.mark.parametrize("share", [1 << 20, 50])
+def test_lm_keeps_what_is_rare(spark, monkeypatch, share):
+    monkeypatch.setattr(lm_scoring, "HOT_SHARE", share, raising=False)
+    learned, held = [d for d in range(40) if crc(d) != 1], [d for d in range(40) if crc(d) == 1]
+    rows = [(learned[0], "all work and no play " * 60_000)]  # 1.2 MB, so one occurrence is less than one in 2^20
+    rows += [(d, f"zebra{d} quagga xylem {d * d} of no rank") for d in learned[1:]]
+    rows += [(d, f"Zebra{d} quagga xylitol {d} \U0001f993 all work") for d in held]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ppm = PlainPpm([t.encode() for d, t in rows if crc(d) != 1])
+    out = {r["doc_id"]: r["score"] for r in lm_scoring.scores(frame).collect()}
+    assert len(out) == len(rows)
+    for d, t in rows[1:]:
+        assert out[d] == pytest.approx(ppm.text(t.encode()), rel=1e-9)
+
+
 def test_lm_probabilities_sum_to_one():
     raws = [b"abracadabra", b"abc abd abe", b"\xc3\xa4bc"]
     plain = PlainPpm(raws)
