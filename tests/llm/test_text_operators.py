@@ -284,24 +284,31 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def plain_classes(prints):
+    """From (id, fingerprint) rows to the least id reachable over two or fewer differing bits, row by row."""
+    rows = list(prints.items()) if isinstance(prints, dict) else prints
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (rows[i][1] ^ rows[j][1]).bit_count() <= 2:
+            root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    found = [least.get(find(i)) for i in range(len(rows))]
+    return dict(zip(prints, found)) if isinstance(prints, dict) else found
+
+
 def test_simhash_equals_plain(spark, docs, empty, sf_texts):
     for frame, rows in ((docs, [(r[0], r[1]) for r in EDGE_DOCS]), (queries.table(spark, SF_DIR, "documents"), list(sf_texts.items()))):
-        prints = [plain_fingerprint(t) for _, t in rows]
-        root = list(range(len(rows)))
-
-        def find(i):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for i, j in itertools.combinations(range(len(rows)), 2):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                root[find(i)] = find(j)
-        least = {}
-        for i, (d, _) in enumerate(rows):
-            if d is not None:
-                least[find(i)] = min(d, least.get(find(i), d))
-        expected = Counter((d, f"{prints[i]:016x}", least.get(find(i))) for i, (d, _) in enumerate(rows))
+        prints = [(d, plain_fingerprint(t)) for d, t in rows]
+        expected = Counter((d, f"{x:016x}", c) for (d, x), c in zip(prints, plain_classes(prints)))
         assert Counter(map(tuple, simhash.near_duplicates(frame).collect())) == expected
     assert simhash.near_duplicates(empty).count() == 0
 
@@ -346,70 +353,6 @@ def test_first_of_each_keeps_columns(docs, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
-def plain_similar(rows):
-    """The least id reachable over pairs with 0.8 or more of their sets of five-word shingles in common."""
-    words = [lower(t or "").split() for _, t in rows]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-            root[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return {d: least.get(find(i)) for i, (d, _) in enumerate(rows)}
-
-
-def test_similar_equals_plain(spark, docs, empty, sf_texts):
-    rng = np.random.default_rng(7)
-    words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
-    rows = []
-    for i in range(60):  # copies with one to twelve changed words, all similar to the first, not all to each other
-        copy = list(words)
-        for at in rng.integers(0, 400, i % 12):
-            copy[at] = f"x{rng.integers(0, 1 << 30)}"
-        rows.append((i, " ".join(copy)))
-    rows += [(100 + i, " ".join(words[:200] + [f"y{x}" for x in rng.integers(0, 1 << 30, 200)])) for i in range(30)]
-    rows += [(200, None), (201, ""), (202, " \n"), (203, "one"), (204, "One"), (205, "one two three four five")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert dict(map(tuple, simhash.similar(frame).collect())) == plain_similar(rows)
-    found = dict(map(tuple, simhash.similar(queries.table(spark, SF_DIR, "documents")).collect()))
-    assert found == plain_similar(list(sf_texts.items()))
-    assert simhash.similar(empty).count() == 0
-    assert simhash.first_of_similar(docs).columns == docs.columns
-
-
-def test_similar_pairs_over_one_common_passage(spark):
-    rng = np.random.default_rng(11)
-    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
-    passage = word(154)
-    rows = []
-    for i in range(200):  # 178 of 222 shingles in common within a pair, 150 of 250 with all others
-        own = passage + word(28)
-        rows += [(2 * i + k, " ".join(own + word(22))) for k in (0, 1)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = dict(map(tuple, simhash.similar(frame).collect()))
-    assert found == {d: d - d % 2 for d, _ in rows}
-
-
-def test_similar_short_and_cut_copies(spark):
-    rng = np.random.default_rng(12)
-    rows = []
-    for i, n in enumerate([5] * 100 + [25] * 100):  # n shingles against 0.8 n, the end cut off
-        words = [f"w{x}" for x in rng.integers(0, 1 << 40, n + 4)]
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n * 4 // 5 + 4]))]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = dict(map(tuple, simhash.similar(frame).collect()))
-    assert found == {d: d - d % 2 for d, _ in rows}
-
-
 # -- 4 quality --------------------------------------------------------------------------------------------------------
 
 
@@ -721,7 +664,7 @@ def test_pipeline_stages_equal_brute_force(spark, enc):
 
     out = stage["simhash"](spark, docs, SF_DIR)
     assert out.columns == columns
-    classes = plain_similar([(d, r["text"]) for d, r in lines.items()])
+    classes = plain_classes({d: plain_fingerprint(r["text"]) for d, r in lines.items()})
     docs = corpus_pipeline.written(out, "test")
     kept = {r["doc_id"]: r for r in docs.collect()}
     assert set(kept) == {d for d, c in classes.items() if d == c}
@@ -746,10 +689,19 @@ def test_pipeline_stages_equal_brute_force(spark, enc):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF_DIR).select("doc_id").collect()} == clean
 
 
+OWN = "score predicted matches n_lines n_dropped _doc _gone n_hit items decoded _n_ids _own ids n_tokens _root fp fingerprint".split()
+
+
 def test_pipeline_stages_on_edge_rows(spark, docs, empty):
-    for frame in (docs.select("doc_id", "text", "lang", "source", "n_chars"), empty):
+    """Also with columns named like those that the stages add, which come back as they were."""
+    narrow = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = narrow.withColumns({c: F.lit(f"own {c}") for c in OWN})
+    for frame in (narrow, wide, empty):
         for name, stage in corpus_pipeline.STAGES:
             out = corpus_pipeline.written(stage(spark, frame, SF_DIR), "test")
             if name != "byte_bpe":
                 assert out.columns == frame.columns
             assert out.count() <= frame.count()
+            for c in set(OWN) & set(frame.columns) - {"ids", "n_tokens"}:
+                if frame is wide:
+                    assert {r[0] for r in out.select(c).distinct().collect()} == {f"own {c}"}
