@@ -14,6 +14,7 @@ from pricelens.llm import (
     chat_format,
     decontamination,
     exact_dedup,
+    lexical_search,
     line_dedup,
     lm_scoring,
     quality,
@@ -123,6 +124,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -136,9 +142,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_chat_format,
         op10_byte_bpe,
+        op11_lexical_search,
     )
 }
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPACE = r"[\x20\x09-\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -218,4 +226,31 @@ ORACLE: dict[str, str] = {
             sum(n + marks)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
+    "op11_lexical_search": rf"""
+        WITH doc_terms AS (
+            SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')) AS term FROM documents
+        ), wanted AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')) AS term FROM benchmark)
+            GROUP BY ALL
+        ), tfs AS (
+            SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL
+        ), lengths AS (
+            SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id
+        ), totals AS (
+            SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM lengths
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * max(all_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM tfs, totals WHERE term IN (SELECT term FROM wanted) GROUP BY term
+        ), sized AS (
+            SELECT doc_id, 100 - 75 + (75 * n * all_docs) // all_terms AS m FROM lengths, totals
+        ), scored AS (
+            SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN sized USING (doc_id) GROUP BY item_id, doc_id
+        )
+        SELECT item_id, rank, doc_id, score
+        FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+              FROM scored WHERE score > 0)
+        WHERE rank <= 10
+    """,
 }
