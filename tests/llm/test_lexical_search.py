@@ -93,7 +93,7 @@ def test_windows_are_skipped(monkeypatch):
     row = {"docs": list(range(n)), "n": np.full(n, 5), "terms": [0, 1], "sizes": [n, len(rare)], "places": np.array([*range(n), *rare]), "tfs": tfs}
     plan = lexical_search.Plan([], np.array([1, 5000]), n, 5 * n, 3)
     segment = lexical_search.Segment(plan, row)
-    best = [(-10_000, False, -k) for k in (3, 2, 1)]
+    best = [(-10_000_000, False, -k) for k in (3, 2, 1)]
     item = (np.array([0, 1]), np.array([1, 1]))
     segment.windows(0)
     added = []
