@@ -14,6 +14,7 @@ from pricelens.llm import (
     chat_format,
     decontamination,
     exact_dedup,
+    language_id,
     lexical_search,
     line_dedup,
     lm_scoring,
@@ -129,6 +130,15 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    held_out = remainder("doc_id", language_id.MODULUS) == language_id.HELD_OUT
+    return language_id.predictions(docs.drop("lang"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -143,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat_format,
         op10_byte_bpe,
         op11_lexical_search,
+        op13_language_id,
     )
 }
 
