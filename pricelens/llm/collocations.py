@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pricelens.functions.windows import first_rows
 from pricelens.llm.common import raw_texts, slices, written
 
 TOP = 2000
@@ -230,8 +231,7 @@ def _longest_share(short: DataFrame, longer: DataFrame, n: int) -> DataFrame:
 
 def _cuts(pairs: DataFrame, most: int, settled: DataFrame | None) -> DataFrame:
     """(lang, cut): the score of the pair at place `most`, 0 where there are fewer; a settled language keeps its cut."""
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score")))
-    best = pairs.select("lang", "score").withColumn("place", place).where(F.col("place") <= most)
+    best = first_rows(pairs.select("lang", "score"), ["lang"], [F.desc("score")], most)
     cuts = best.groupBy("lang").agg(F.when(F.count("*") < most, 0).otherwise(F.min("score")).cast("long").alias("cut"))
     if settled is not None:
         cuts = cuts.join(settled.withColumnRenamed("cut", "own"), "lang", "left").select("lang", F.coalesce("own", "cut").alias("cut"))
@@ -329,8 +329,8 @@ def collocations(
     for k in range(1, LONGEST + 1):
         found = found.join(words.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"word{k}")), f"w{k}", "left")
     found = found.withColumn("phrase", F.concat_ws(" ", *(f"word{k}" for k in range(1, LONGEST + 1))))
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(total, "lang").select(
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    best = first_rows(found, ["lang"], order, top)
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).join(total, "lang").select(
         F.col("lang").alias(lang), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"
     )
