@@ -14,9 +14,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
+from pricelens.functions.windows import first_rows
 from pricelens.llm.common import append, remainder, slices, texts, written
 
 #: Characters of the longest n-gram.
@@ -350,8 +351,7 @@ def _sample(docs: DataFrame, of: Column, most: int) -> DataFrame:
     """(lang, text) of the documents that have both and belong to `of`, the `most` of each language with the least hash
     of the id. Only the hashes move; the texts are filtered where they are read. Ids of one hash are in or out together."""
     held = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & of).withColumn("_hash", F.xxhash64("doc_id"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("_hash"))
-    last = held.select("lang", "_hash").withColumn("_place", place).where(F.col("_place") <= most).groupBy("lang").agg(F.max("_hash")).collect()
+    last = first_rows(held.select("lang", "_hash"), ["lang"], [F.col("_hash")], most).groupBy("lang").agg(F.max("_hash")).collect()
     if not last:
         return held.select("lang", "text")
     bounds = F.create_map(*(F.lit(x) for row in last for x in row))
