@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import functools
-import re
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.functions.text import DATE_FORMATS, NA_TOKENS
 from pricelens.operators.clean import PROVENANCE, basic_clean
 from pricelens.sources import export
-from pricelens.sources.files import inventory, root_length, select_files, write_inventory
+from pricelens.sources.files import below, inventory, is_selected, write_inventory
 from pricelens.sources.raw_csv import (
-    OVERFLOW,
-    FileGroup,
+    RawFiles,
+    decoded,
     escape_glob,
-    group_files,
-    read_group,
+    named_columns,
+    scan_files,
+    source_file,
+    store_cells,
 )
 
 LOG_SCHEMA = (
@@ -32,16 +30,6 @@ TOO_MANY_CELLS = "error: a row has more cells than the header"
 NO_TEXT = "error: the file has no header"
 
 
-@dataclass(frozen=True)
-class _Cleaned:
-    """One stored group: its kind, its rows, and per file the raw counts and the sizes."""
-
-    kind: str
-    rows: DataFrame
-    files: DataFrame
-    stats: DataFrame
-
-
 @dataclass(frozen=True)
 class _Rules:
     """How texts are read: what names a date column, date formats, cells that mean missing."""
@@ -51,79 +39,63 @@ class _Rules:
     na_tokens: tuple[str, ...]
 
 
-def _materialise(spark, group: FileGroup, root: str, out: str, name: str, rules: _Rules) -> _Cleaned:
-    """Clean the files of one header and keep rows and counts as Parquet below `out`.
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    The texts are parsed once, into the first of these tables; counts, rows, exports and the log come
-    from stored tables. The per-file tables are stored too: their size is then known, and Spark
-    broadcasts them or not by that.
-    """
-
-    def stored(df: DataFrame, part: str) -> DataFrame:
-        path = f"{out}/tables/{name}_{part}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    raw = read_group(spark, group, root, rules.na_tokens)
-    # Any text can be a column's name, so the stored columns go by position.
-    raw = stored(raw.toDF(*[f"c{i}" for i in range(len(raw.columns))]), "raw").toDF(*raw.columns)
-    counts = raw.groupBy(PROVENANCE).agg(
-        F.count("*").alias("raw_rows"), F.max(F.col(OVERFLOW).isNotNull()).alias("broken")
-    )
-    files = stored(counts, "files")
-    broken = files.filter("broken").select(PROVENANCE)
-    readable = raw.drop(OVERFLOW).join(broken, PROVENANCE, "left_anti")
-    cleaned, kind = basic_clean(readable, rules.match, rules.formats)
-    rows = stored(cleaned, "rows")
-    return _Cleaned(kind, rows, files, stored(export.file_stats(rows), "stats"))
 
+def _status(raw: RawFiles, cells: DataFrame | None, root: str) -> DataFrame:
+    """Per input file with any text: header, raw_rows and whether it is broken.
 
-# How Spark names a file that it cannot read or parse. A full disk, a lost executor or
-# a wrong plan has none of these names and ends the run.
-_UNREADABLE = ("FAILED_READ_FILE", "MALFORMED_CSV_RECORD", "TextParsingException")
-
-
-def _unreadable(problem: Exception) -> str | None:
-    """The name of the failure if it is a file's, else None."""
-    text = str(problem)
-    return next((name for name in _UNREADABLE if name in text), None)
-
-
-def _attempt(spark, group, root, out, name, rules):
-    """Cleaned groups and (path, reason) of unreadable files.
-
-    A group that fails by a file is halved until that file is alone. Other failures go on up.
+    Broken are files with a line of too many cells to parse, which were not opened, and files with a cell beyond their
+    header. One aggregate over the parsed rows of all files; a file that fails costs the others nothing.
     """
-    try:
-        return [_materialise(spark, group, root, out, name, rules)], []
-    except (PySparkException, Py4JJavaError) as problem:
-        reason = _unreadable(problem)
-        if reason is None:
-            raise
-        if len(group.paths) == 1:
-            return [], [(group.paths[0], f"error: {reason}")]
-    middle = len(group.paths) // 2
-    done, failed = [], []
-    for part, paths in (("a", group.paths[:middle]), ("b", group.paths[middle:])):
-        more, bad = _attempt(
-            spark, replace(group, paths=paths), root, out, f"{name}{part}", rules
-        )
-        done += more
-        failed += bad
-    return done, failed
+    files = raw.files.groupBy(source_file(F.col("path"), root).alias(PROVENANCE)).agg(
+        F.min("header").alias("header"), F.max("too_wide").alias("too_wide")
+    )
+    if cells is None:
+        return files.selectExpr(PROVENANCE, "header", "0L AS raw_rows", "too_wide AS broken")
+    counts = cells.groupBy(PROVENANCE).agg(F.count("*").alias("raw_rows"), F.max("extra").alias("extra"))
+    return files.join(counts, PROVENANCE, "left").select(
+        PROVENANCE,
+        "header",
+        F.coalesce("raw_rows", F.lit(0)).alias("raw_rows"),
+        (F.col("too_wide") | F.coalesce("extra", F.lit(False))).alias("broken"),
+    )
 
 
-def _log_rows(cleaned: _Cleaned, names: DataFrame) -> DataFrame:
-    broken = F.col("broken")
-    sample = F.concat("output_name", F.lit("__sample.csv"))
-    saved = F.coalesce("saved_mode", F.lit("full"))
-    return cleaned.files.join(cleaned.stats, PROVENANCE, "left").join(names, PROVENANCE).select(
+def _cleaned(raw: RawFiles, cells: DataFrame, status: DataFrame, folder: str, rules: _Rules) -> list[tuple[str, DataFrame]]:
+    """Kind and stored rows of each header's readable files."""
+    broken = status.filter("broken").select(PROVENANCE)
+    if not broken.isEmpty():
+        cells = cells.join(broken, PROVENANCE, "left_anti")
+    found = []
+    for number, (header, names) in enumerate(raw.names.items()):
+        rows = cells.filter(F.col("header") == header)
+        rows = rows.select(PROVENANCE, *named_columns(names, rules.na_tokens))
+        rows, kind = basic_clean(rows, rules.match, rules.formats)
+        found.append((kind, _stored(rows, f"{folder}/rows_{number}")))
+    return found
+
+
+def _log_rows(inputs: DataFrame, status: DataFrame, kinds: DataFrame, stats: DataFrame, names: DataFrame) -> DataFrame:
+    """A row per input file: what became of it, or why nothing did."""
+    error = F.when(F.col("header").isNull(), NO_TEXT).when(F.col("broken"), TOO_MANY_CELLS)
+    log = (
+        inputs.join(status, PROVENANCE, "left")
+        .join(kinds, "header", "left")
+        .join(stats, PROVENANCE, "left")
+        .join(names, PROVENANCE)
+        .withColumn("error", error)
+    )
+    good = F.col("error").isNull()
+    return log.select(
         PROVENANCE,
-        F.when(broken, "ERROR").otherwise(cleaned.kind).alias("table_type_guess"),
-        F.when(~broken, F.col("raw_rows")).alias("raw_rows"),
-        F.when(~broken, F.coalesce("cleaned_rows", F.lit(0))).alias("cleaned_rows"),
-        F.when(~broken, sample).alias("sample_file"),
-        F.when(broken, TOO_MANY_CELLS).otherwise(saved).alias("saved_mode"),
+        F.when(good, F.col("kind")).otherwise("ERROR").alias("table_type_guess"),
+        F.when(good, F.col("raw_rows")).alias("raw_rows"),
+        F.when(good, F.coalesce("cleaned_rows", F.lit(0))).alias("cleaned_rows"),
+        F.when(good, F.concat("output_name", F.lit("__sample.csv"))).alias("sample_file"),
+        F.coalesce("error", "saved_mode", F.lit("full")).alias("saved_mode"),
     )
 
 
@@ -137,54 +109,58 @@ def clean_dataset(
     na_tokens=NA_TOKENS,
     files=None,
 ) -> DataFrame:
-    """Clean all selected CSV files below `root` into the new folder `out`; returns the log.
-
-    `out` gets `inventory`, `samples`, `cleaned` (a folder per input file), `log` and `tables`.
-    Files with one header are cleaned by one job, whatever their number. A file that cannot be
-    read gets an ERROR row in the log and the others go on. `formats` and `na_tokens` replace the
-    date formats and the cells that mean missing; `files`, paths relative to `root`, replaces the
-    selection by size and name. Input files of one name get outputs of their own
-    (`export.output_names`); the log names each file's sample.
+    """Clean all selected CSV files below `root` into `out`; returns the log.
+
+    A run writes into a folder of its own below `out`, and names it in the manifest when it is done: `inventory`,
+    `samples`, `cleaned` (a folder per input file), `log` and `tables` lie in `export.finished(spark, out)`. A run that
+    was stopped is repeated by calling this again; what it left behind is not read by anyone.
+
+    All files are parsed by one job and counted by another, whatever their headers; the rows of each header are then
+    cleaned and exported. A file that cannot be read gets an ERROR row in the log and the others go on. `formats` and
+    `na_tokens` replace the date formats and the cells that mean missing; `files`, paths relative to `root`, replaces
+    the selection by size and name. Input files of one name get outputs of their own (`export.output_names`); the log
+    names each file's sample.
     """
+    run = export.new_attempt(out)
+    tables = f"{run}/tables"
     listing = inventory(spark, root)
-    write_inventory(listing, f"{out}/inventory")
+    write_inventory(listing, f"{run}/inventory")
+    rules = _Rules(match, tuple(formats), tuple(na_tokens))
+    folder = root.rstrip("/")
     if files is None:
-        selected = select_files(listing, dataset)
+        chosen = lambda path: is_selected(below(decoded(path), root), dataset)
+        selected = listing.filter(is_selected(F.col("relative_path"), dataset))
+        paths = [folder]
     else:
+        chosen = None
         wanted = spark.createDataFrame([(f,) for f in files], "relative_path STRING")
         selected = listing.join(wanted, "relative_path", "left_semi")
-    rules = _Rules(match, tuple(formats), tuple(na_tokens))
-    folder = root.rstrip("/")
-    paths = [escape_glob(f"{folder}/{r[0]}") for r in selected.toLocalIterator()]
+        paths = [escape_glob(f"{folder}/{f}") for f in files]
     inputs = selected.select(
         F.regexp_replace("relative_path", r"(\.csv)/part-[^/]*$", "$1").alias(PROVENANCE)
     ).distinct()
-    export.output_names(inputs).write.parquet(f"{out}/tables/names")
-    names = spark.read.schema(NAMES_SCHEMA).parquet(f"{out}/tables/names")
-    logs, failed = [], []
-    for number, group in enumerate(group_files(spark, paths) if paths else []):
-        done, bad = _attempt(spark, group, root, out, f"group_{number}", rules)
-        failed += bad
-        for cleaned in done:
-            export.write_sample(cleaned.rows, f"{out}/samples", names=names)
-            export.write_full_or_chunked(cleaned.rows, f"{out}/cleaned", cleaned.stats, names=names)
-            logs.append(_log_rows(cleaned, names))
-    errors = {
-        (re.sub(r"(\.csv)/part-[^/]*$", r"\1", p[root_length(p, root) :]), reason)
-        for p, reason in failed
-    }
-    errors = [(file, "ERROR", None, None, None, reason) for file, reason in sorted(errors)]
-    log = functools.reduce(
-        DataFrame.unionByName, logs, spark.createDataFrame(errors, LOG_SCHEMA)
-    )
-    without_text = inputs.join(log.select(PROVENANCE), PROVENANCE, "left_anti")
-    empty = without_text.selectExpr(
-        PROVENANCE,
-        "'ERROR' AS table_type_guess",
-        "CAST(NULL AS BIGINT) AS raw_rows",
-        "CAST(NULL AS BIGINT) AS cleaned_rows",
-        "CAST(NULL AS STRING) AS sample_file",
-        f"'{NO_TEXT}' AS saved_mode",
-    )
-    log.unionByName(empty).write.csv(f"{out}/log", header=True)
-    return spark.read.schema(LOG_SCHEMA).csv(f"{out}/log", header=True)
+    export.output_names(inputs).write.parquet(f"{tables}/names")
+    names = spark.read.schema(NAMES_SCHEMA).parquet(f"{tables}/names")
+    inputs = names.select(PROVENANCE)
+    raw = scan_files(spark, paths, tables, chosen) if paths else None
+    if raw is None or not raw.names:
+        log = inputs.selectExpr(
+            PROVENANCE, "'ERROR'", "CAST(NULL AS BIGINT)", "CAST(NULL AS BIGINT)", "CAST(NULL AS STRING)", f"'{NO_TEXT}'"
+        )
+    else:
+        cells = store_cells(spark, raw, root, f"{tables}/cells")
+        status = _stored(_status(raw, cells, root), f"{tables}/status")
+        cleaned = _cleaned(raw, cells, status, tables, rules)
+        # Stored, so that Spark knows their size and broadcasts them or not by that.
+        stats = _stored(export.file_stats([rows for _, rows in cleaned]), f"{tables}/stats")
+        chunked = {r["table"] for r in stats.filter("saved_mode = 'chunked'").select("table").distinct().collect()}
+        for number, (_, rows) in enumerate(cleaned):
+            export.write_sample(rows, f"{run}/samples", names=names)
+            own = stats.filter(F.col("table") == number)
+            export.write_full_or_chunked(rows, f"{run}/cleaned", own, names=names, some_chunked=number in chunked)
+        kinds = [(header, kind) for header, (kind, _) in zip(raw.names, cleaned)]
+        kinds = spark.createDataFrame(kinds, "header BIGINT, kind STRING")
+        log = _log_rows(inputs, status, kinds, stats, names)
+    log.toDF(*[c.split()[0] for c in LOG_SCHEMA.split(", ")]).write.csv(f"{run}/log", header=True)
+    export.finish(spark, out, run)
+    return spark.read.schema(LOG_SCHEMA).csv(f"{run}/log", header=True)

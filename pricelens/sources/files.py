@@ -63,10 +63,14 @@ def write_inventory(listing: DataFrame, path: str) -> None:
     listing.write.csv(path, header=True)
 
 
-def select_files(listing: DataFrame, dataset: str) -> DataFrame:
-    """The CSV files of a listing; of the market dataset only those of the S&P 500."""
-    path = F.col("relative_path")
-    chosen = listing.filter(path.endswith(".csv"))
+def is_selected(path: Column, dataset: str) -> Column:
+    """Whether a file of a dataset is cleaned: CSV files, of the market dataset only those of the S&P 500."""
+    chosen = path.endswith(".csv")
     if dataset == MARKET_DATASET:
-        chosen = chosen.filter(F.lower(path).contains(MARKET_WORD))
-    return chosen.orderBy("relative_path")
+        chosen = chosen & F.lower(path).contains(MARKET_WORD)
+    return chosen
+
+
+def select_files(listing: DataFrame, dataset: str) -> DataFrame:
+    """The files of a listing that `is_selected` takes, by path."""
+    return listing.filter(is_selected(F.col("relative_path"), dataset)).orderBy("relative_path")

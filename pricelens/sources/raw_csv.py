@@ -1,105 +1,137 @@
-"""Reading CSV files whose headers differ.
+"""Reading CSV files whose headers differ, all of them in one scan.
 
-One Spark read applies the first file's header to all of them by position. So files are grouped
-by their header line, each group is one read, and groups are matched by column name.
+A first pass over the lines as text finds each file's header, which is kept as a hash, so the aggregate runs on numbers
+and each task sends one small row per file. The texts of the different headers come from one file each. Then one CSV
+read takes all files by position, as wide as the widest header, and a join by file says which position has which name.
+Files with a quoted cell that runs over a line end are left to a second branch of that read. The number of jobs is the
+same for any number of files and headers; of the files only the odd ones are known to the driver by name.
 """
 
 from __future__ import annotations
 
 import csv
-import functools
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricelens.functions.scratch import scratch
 from pricelens.functions.text import NA_TOKENS, null_if_in
 from pricelens.operators.clean import PROVENANCE
-from pricelens.sources.files import below, root_length
+from pricelens.sources.files import below
 
 CLEANED_PATTERN = "*__cleaned.csv"
 
-# Holds the first cell beyond the header; a file with such a cell counts as unreadable.
-OVERFLOW = "__overflow"
-
-# Cells of a line that are parsed; those beyond the header only make the file count as broken.
+# Cells of a line that are parsed; a file with more commas in a line is not parsed at all.
 MAX_CELLS = 200_000
 
-
-_ALL = 1 << 30
+_FILES = "path STRING, header BIGINT, multi_line BOOLEAN, too_wide BOOLEAN"
 
 
 @dataclass(frozen=True)
-class FileGroup:
-    """Files with one header; `multi_line` when a quoted cell runs over a line end."""
+class RawFiles:
+    """What the first pass found.
+
+    `files`, a stored table, has path, header (a hash), multi_line (a quoted cell runs over a line end) and too_wide
+    for each file with any text. `names` are each header's columns, in the order of the headers' first files.
+    `multi_line` and `too_wide` are the paths of the odd files.
+    """
 
-    columns: tuple[str, ...]
-    multi_line: bool
     paths: tuple[str, ...]
+    chosen: Callable[[Column], Column] | None
+    files: DataFrame
+    names: dict[int, tuple[str, ...]]
+    multi_line: tuple[str, ...]
+    too_wide: tuple[str, ...]
 
 
 def escape_glob(path: str) -> str:
     return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
 
 
-def _decoded(path) -> Column:
+def decoded(path) -> Column:
     """A metadata path without URL escapes."""
     plus_kept = F.replace(path, F.lit("+"), F.lit("%2B"))
     return F.when(path.contains("%"), F.url_decode(plus_kept)).otherwise(path)
 
 
-def input_name(root: str, example: str | None = None) -> Column:
-    """The input file below `root`; a CSV folder written by Spark counts as one file.
+def source_file(path: Column, root: str) -> Column:
+    """The input file below `root` of a full path; a CSV folder written by Spark counts as one file."""
+    inner = below(decoded(path), root)
+    part = F.regexp_replace(inner, r"(\.csv)/part-[^/]*$", "$1")
+    return F.when(inner.contains(".csv/part-"), part).otherwise(inner)
+
+
+def input_name(root: str) -> Column:
+    return source_file(F.col("_metadata.file_path"), root)
 
-    With the path of one of the files, the length of the root need not be found per row.
-    """
-    path = _decoded(F.col("_metadata.file_path"))
-    if example is None:
-        path = below(path, root)
-    else:
-        path = F.substring(path, root_length(example, root) + 1, _ALL)
-    part = F.regexp_replace(path, r"(\.csv)/part-[^/]*$", "$1")
-    return F.when(path.contains(".csv/part-"), part).otherwise(path)
 
+def _reader(spark: SparkSession):
+    return spark.read.option("recursiveFileLookup", "true")
 
-def scan_headers(spark: SparkSession, paths) -> DataFrame:
-    """path, header_hash and multi_line, one row per file with any text.
 
-    A pass over the lines as text. Only the hash of the first line is kept, so the aggregate
-    runs on numbers and each task sends one small row per file.
+def _chosen(rows: DataFrame, chosen) -> DataFrame:
+    """Rows of the chosen files. Spark drops the others when it lists them, as the rule reads nothing but the path."""
+    return rows if chosen is None else rows.filter(chosen(F.col("_metadata.file_path")))
+
+
+def scan_files(
+    spark: SparkSession, paths, folder: str, chosen: Callable[[Column], Column] | None = None
+) -> RawFiles:
+    """The pass over the lines of all files at `paths`, or of those among them whose full path meets `chosen`.
+
+    Writes the table `files` into `folder`. The driver gets one path per header and those of odd files.
     """
     value = F.col("value")
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"')))
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-            F.xxhash64(value).alias("hash"),
-            (F.trim(value) != "").alias("text"),
-            (quotes % 2 == 1).alias("open_quote"),
-        )
+    commas = F.length(value) - F.length(F.replace(value, F.lit(",")))
+    lines = _chosen(_reader(spark).text(list(paths)), chosen).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        F.xxhash64(value).alias("hash"),
+        (F.trim(value) != "").alias("text"),
+        (quotes % 2 == 1).alias("open_quote"),
+        (commas >= MAX_CELLS).alias("too_wide"),
     )
     candidate = F.when((F.col("block") == 0) & F.col("text"), F.col("line"))
-    return (
+    (
         lines.groupBy("path")
         .agg(
-            F.min_by("hash", candidate).alias("header_hash"),
+            F.min_by("hash", candidate).alias("header"),
             F.max("open_quote").alias("multi_line"),
+            F.max("too_wide").alias("too_wide"),
         )
-        .filter("header_hash is not null")
-        .withColumn("path", _decoded(F.col("path")))
+        .filter("header is not null")
+        .write.parquet(f"{folder}/files")
+    )
+    files = spark.read.schema(_FILES).parquet(f"{folder}/files")
+    first = files.groupBy("header").agg(F.min("path").alias("path")).withColumn("plain", decoded(F.col("path")))
+    examples = sorted(first.collect(), key=lambda r: r["path"])
+    odd = files.filter("multi_line or too_wide").select("path", "too_wide").collect()
+    return RawFiles(
+        tuple(paths),
+        chosen,
+        files,
+        _names(spark, examples),
+        tuple(r["path"] for r in odd if not r["too_wide"]),
+        tuple(r["path"] for r in odd if r["too_wide"]),
     )
 
 
-def header_line(spark: SparkSession, path: str) -> str:
-    """First line with text of one file; Spark reads no further than it has to."""
-    return spark.read.text(escape_glob(path)).filter(F.trim("value") != "").first()["value"]
+def _names(spark: SparkSession, examples) -> dict[int, tuple[str, ...]]:
+    """The columns of each header, whose text is looked for in its example file by the hash."""
+    if not examples:
+        return {}
+    own = F.xxhash64("value")
+    lines = spark.read.text([escape_glob(r["plain"]) for r in examples]).select(own.alias("header"), "value")
+    found = lines.filter(F.col("header").isin([r["header"] for r in examples])).distinct().collect()
+    text = {r["header"]: r["value"] for r in found}
+    return {r["header"]: header_names(text[r["header"]]) for r in examples}
 
 
 def header_names(line: str) -> tuple[str, ...]:
@@ -114,35 +146,55 @@ def header_names(line: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def group_files(spark: SparkSession, paths) -> list[FileGroup]:
-    """The files by header. Like Spark's own file index, this keeps the paths on the driver."""
-    found = defaultdict(list)
-    for row in scan_headers(spark, paths).toLocalIterator():
-        found[row["header_hash"], row["multi_line"]].append(row["path"])
-    groups = [
-        FileGroup(header_names(header_line(spark, min(files))), multi_line, tuple(sorted(files)))
-        for (_, multi_line), files in found.items()
-    ]
-    return sorted(groups, key=lambda g: g.paths)
+def _by_header(raw: RawFiles, value: Callable[[tuple[str, ...]], Column]) -> Column:
+    """A value that depends on the row's header alone."""
+    entries = [x for header, names in raw.names.items() for x in (F.lit(header), value(names))]
+    return F.element_at(F.create_map(*entries), F.col("header"))
+
+
+def read_cells(spark: SparkSession, raw: RawFiles, root: str) -> DataFrame:
+    """All rows of the files as `source_file`, `header`, the cells c0, c1, ... as text, and `extra`: whether a cell
+    beyond the file's header is not empty. Files that are too wide are left out, before they are opened."""
+    width = max(map(len, raw.names.values()))
+    cells = [f"c{i}" for i in range(width + 1)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    path = F.col("_metadata.file_path")
+
+    def read(multi_line: bool, of) -> DataFrame:
+        rows = _chosen(
+            _reader(spark)
+            .schema(schema)
+            .options(header=True, enforceSchema=True, quote='"', escape='"')
+            .options(multiLine=multi_line, maxColumns=MAX_CELLS)
+            .csv(list(raw.paths)),
+            raw.chosen,
+        )
+        return (rows if of is None else rows.filter(of)).select(path.alias("path"), *cells)
+
+    odd = [*raw.multi_line, *raw.too_wide]
+    rows = read(False, ~path.isin(odd) if odd else None)
+    if raw.multi_line:
+        rows = rows.union(read(True, path.isin(list(raw.multi_line))))
+    if len(raw.names) == 1:
+        rows = rows.withColumn("header", F.lit(next(iter(raw.names))))
+    else:
+        # Spark broadcasts the table by its stored size, or shuffles and splits large files.
+        rows = rows.join(raw.files.select("path", "header"), "path")
+    filled = F.coalesce(*(F.when(F.col(f"c{i}").isNotNull(), i + 1) for i in reversed(range(width + 1))), F.lit(0))
+    extra = filled > _by_header(raw, lambda names: F.lit(len(names)))
+    return rows.select(source_file(F.col("path"), root).alias(PROVENANCE), "header", *cells[:-1], extra.alias("extra"))
 
 
-def read_group(
-    spark: SparkSession, group: FileGroup, root: str, na_tokens=NA_TOKENS
-) -> DataFrame:
-    """One group as text columns with `source_file` in front and the overflow cell at the end."""
-    positions = [f"c{i}" for i in range(len(group.columns))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*positions, OVERFLOW]])
-    rows = (
-        spark.read.schema(schema)
-        .options(header=True, enforceSchema=True, quote='"', escape='"')
-        .options(multiLine=group.multi_line, maxColumns=MAX_CELLS)
-        .csv([escape_glob(p) for p in group.paths])
-    )
-    return rows.select(
-        input_name(root, group.paths[0]).alias(PROVENANCE),
-        *[null_if_in(p, na_tokens).alias(n) for p, n in zip(positions, group.columns)],
-        OVERFLOW,
-    )
+def named_columns(names: tuple[str, ...], na_tokens=NA_TOKENS) -> list[Column]:
+    """The cells of one header's rows under its names."""
+    return [null_if_in(f"c{i}", na_tokens).alias(n) for i, n in enumerate(names)]
+
+
+def _places(spark: SparkSession, root: str, files, pattern: str | None) -> list[str]:
+    folder = root.rstrip("/")
+    if files is not None:
+        return [escape_glob(f"{folder}/{f}") for f in files]
+    return [f"{folder}/{pattern}" if pattern else folder]
 
 
 def read_raw_groups(
@@ -150,28 +202,52 @@ def read_raw_groups(
 ) -> list[DataFrame]:
     """CSV files as one frame of text columns per header.
 
-    All files below `root`, or `files` (paths relative to it), or those matching `pattern`.
+    All files below `root`, or `files` (paths relative to it), or those matching `pattern`. The files are parsed once,
+    into a table of cells in a folder of the run; each frame reads its header's part.
     """
-    folder = root.rstrip("/")
-    if files is not None:
-        paths = [escape_glob(f"{folder}/{f}") for f in files]
-    else:
-        paths = [f"{folder}/{pattern}" if pattern else folder]
+    paths = _places(spark, root, files, pattern)
     if not paths:
         return []
+    folder = scratch(spark)
+    raw = scan_files(spark, paths, folder)
+    if not raw.names:
+        return []
+    rows = store_cells(spark, raw, root, f"{folder}/cells")
     return [
-        read_group(spark, g, root, na_tokens).drop(OVERFLOW) for g in group_files(spark, paths)
+        rows.filter(F.col("header") == header).select(PROVENANCE, *named_columns(names, na_tokens))
+        for header, names in raw.names.items()
     ]
 
 
+def store_cells(spark: SparkSession, raw: RawFiles, root: str, path: str) -> DataFrame:
+    """`read_cells` as a table with a part for each header."""
+    rows = read_cells(spark, raw, root)
+    rows.write.partitionBy("header").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).select(rows.columns)
+
+
 def read_raw_csv(
     spark: SparkSession, root: str, files=None, pattern: str | None = None, na_tokens=NA_TOKENS
 ) -> DataFrame:
-    """All rows in one frame, matched by column name; missing columns are null."""
-    groups = read_raw_groups(spark, root, files, pattern, na_tokens)
-    if not groups:
+    """All rows in one frame, matched by column name whatever its case; missing columns are null."""
+    paths = _places(spark, root, files, pattern)
+    raw = scan_files(spark, paths, scratch(spark)) if paths else None
+    if raw is None or not raw.names:
         raise ValueError(f"no CSV file with a header below {root}")
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
+    rows = read_cells(spark, raw, root)
+    if len(raw.names) == 1:
+        return rows.select(PROVENANCE, *named_columns(next(iter(raw.names.values())), na_tokens))
+    every = {n.lower(): n for names in reversed(raw.names.values()) for n in reversed(names)}
+    order = list(dict.fromkeys(n.lower() for names in raw.names.values() for n in names))
+
+    def places(names) -> Column:
+        own = {n.lower(): i for i, n in enumerate(names)}
+        return F.array(*(F.lit(own.get(n)).cast("int") for n in order))
+
+    cells = F.array(*(c for c in rows.columns if c not in (PROVENANCE, "header", "extra")))
+    placed = rows.select(PROVENANCE, cells.alias("cells"), _by_header(raw, places).alias("places"))
+    found = [null_if_in(F.get("cells", F.get("places", F.lit(i))), na_tokens).alias(every[n]) for i, n in enumerate(order)]
+    return placed.select(PROVENANCE, *found)
 
 
 def read_uniform_csv(

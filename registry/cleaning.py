@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.functions.scratch import scratch
 from pricelens.operators import clean, staging
 from pricelens.plans.cleaning import clean_dataset
 from pricelens.sources import export, files, raw_csv
 from registry.dirty import (
+    broken_prices,
     dirty_companies,
     dirty_news,
     dirty_prices,
-    scratch,
     write_raw_files,
+    write_raw_lines,
 )
 from registry.mapping import read
 
@@ -231,10 +233,18 @@ def cleaning_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.withColumn("source_file", staging.file_name(F.col("source_file")))
 
 
+def cleaning_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a run in which some of the files cannot be read."""
+    root = scratch(spark)
+    write_raw_lines(broken_prices(spark, sf_dir), f"{root}/raw")
+    log = clean_dataset(spark, "any", f"{root}/raw", f"{root}/ready")
+    return log.withColumn("source_file", staging.file_name(F.col("source_file")))
+
+
 def _combined(spark, sf_dir) -> DataFrame:
     root = _raw_prices(spark, sf_dir)
     clean_dataset(spark, MARKET, f"{root}/raw", f"{root}/ready")
-    return staging.combine_prices(raw_csv.read_cleaned_prices(spark, f"{root}/ready/cleaned"))
+    return staging.combine_prices(raw_csv.read_cleaned_prices(spark, f"{export.finished(spark, f'{root}/ready')}/cleaned"))
 
 
 def combine_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,13 +269,13 @@ def same_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     write_raw_files(rows, f"{root}/raw")
     clean_dataset(spark, "any", f"{root}/raw", f"{root}/ready")
-    combined = staging.combine_prices(raw_csv.read_cleaned_prices(spark, f"{root}/ready/cleaned"))
+    combined = staging.combine_prices(raw_csv.read_cleaned_prices(spark, f"{export.finished(spark, f'{root}/ready')}/cleaned"))
     found = combined.groupBy("source_file", "ticker").agg(
         F.count("*").alias("rows"), F.sum(F.col("close").cast("double")).alias("closes")
     )
     output = F.regexp_replace(staging.file_name(F.col("source_file")), "__sample", "__cleaned")
     samples = (
-        raw_csv.read_raw_csv(spark, f"{root}/ready/samples")
+        raw_csv.read_raw_csv(spark, f"{export.finished(spark, f'{root}/ready')}/samples")
         .groupBy(output.alias("source_file"))
         .agg(F.count("*").alias("sampled"))
     )
@@ -326,6 +336,7 @@ QUERIES = {
         sample_export,
         chunk_export,
         cleaning_log,
+        cleaning_errors,
         combine_prices,
         same_named_files,
         finalize_staging,

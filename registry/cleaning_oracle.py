@@ -227,4 +227,19 @@ SELECT count(*) AS rows_in, count(*) FILTER (trading_date >= DATE '2000-01-01')
        min(trading_date) FILTER (trading_date >= DATE '2000-01-01') AS min_date,
        max(trading_date) FILTER (trading_date >= DATE '2000-01-01') AS max_date
 FROM staged""",
+    "cleaning_errors": """
+WITH files AS (
+  SELECT o_custkey % 12 AS n, count(*) AS rows, count(DISTINCT (CAST(o_orderdate AS DATE), o_orderkey % 50)) AS kept,
+         bool_or(o_orderkey % 7 = 0) AS more, bool_or(o_orderkey % 1000 = 3) AS wide
+  FROM orders GROUP BY o_custkey % 12
+),
+judged AS (
+  SELECT *, CASE WHEN n = 5 THEN 'error: the file has no header'
+                 WHEN n = 3 AND more OR n = 8 AND wide THEN 'error: a row has more cells than the header' END AS error
+  FROM files
+)
+SELECT concat('p', n, '.csv') AS source_file, CASE WHEN error IS NULL THEN 'price' ELSE 'ERROR' END AS table_type_guess,
+       CASE WHEN error IS NULL THEN rows END AS raw_rows, CASE WHEN error IS NULL THEN kept END AS cleaned_rows,
+       CASE WHEN error IS NULL THEN concat('p', n, '__sample.csv') END AS sample_file, coalesce(error, 'full') AS saved_mode
+FROM judged""",
 }

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,16 +71,6 @@ def dirty_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
-
-
 def write_raw_files(rows: DataFrame, root: str) -> None:
     """Write untidy rows as CSV files named by their `source_file`.
 
@@ -109,3 +96,38 @@ def write_raw_files(rows: DataFrame, root: str) -> None:
             .options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
             .csv(root)
         )
+
+
+def write_raw_lines(lines: DataFrame, root: str) -> None:
+    """Write (file, place, line) rows as they are, one part per file, its lines by place."""
+    (
+        lines.repartition("file")
+        .sortWithinPartitions("file", "place")
+        .select("file", "line")
+        .write.partitionBy("file")
+        .options(quote="", sep="\x01", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .csv(root)
+    )
+
+
+def broken_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of twelve price files: one with cells beyond the header, one of blank lines, one with a line of more cells
+    than are parsed, one with its columns in another order; all the others are as they should be."""
+    orders = read(spark, sf_dir, "orders")
+    number = F.col("o_custkey") % 12
+    day = F.to_date("o_orderdate").cast("string")
+    close = (F.col("o_orderkey") % 50).cast("string")
+    extra = F.when(F.col("o_orderkey") % 7 == 0, ",more").otherwise("")
+    wide = F.when(F.col("o_orderkey") % 1000 == 3, F.repeat(F.lit(","), 250_000)).otherwise("")
+    line = (
+        F.when(number == 3, F.concat(day, F.lit(","), close, F.lit(",1"), extra))
+        .when(number == 5, F.lit("  "))
+        .when(number == 7, F.concat(F.lit("1,"), close, F.lit(","), day))
+        .when(number == 8, F.concat(day, F.lit(","), close, F.lit(",1"), wide))
+        .otherwise(F.concat(day, F.lit(","), close, F.lit(",1")))
+    )
+    rows = orders.select(number.alias("n"), F.col("o_orderkey").alias("place"), line.alias("line"))
+    header = F.when(F.col("n") == 5, "").when(F.col("n") == 7, "Volume,Close,Date").otherwise("Date,Close,Volume")
+    headers = rows.select("n").distinct().select("n", F.lit(-1).cast("long").alias("place"), header.alias("line"))
+    name = F.concat(F.lit("p"), F.col("n").cast("string"), F.lit(".csv"))
+    return headers.union(rows).select(name.alias("file"), "place", "line")

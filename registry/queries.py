@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.params import range_window
 from pricelens.operators import directory, industries, leaders, news, prices
 from pricelens.tables import listed_companies, load_tables, save_prices
-from registry.dirty import scratch
+from pricelens.functions.scratch import scratch
 from registry.mapping import LISTING, NEWS, PRICES, read, tables_c, tables_s
 
 LAST_DAY = dt.date(2024, 1, 30)
