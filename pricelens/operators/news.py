@@ -11,7 +11,7 @@ from pricelens.functions.companies import only_ids, with_ticker
 from pricelens.functions.params import optional_ticker, positive_int
 from pricelens.functions.size import MAX_ARTICLES, MAX_SECTORS, sized_join, skewed_join
 from pricelens.functions.windows import first_rows
-from pricelens.tables import Tables, listed_companies
+from pricelens.tables import NEWS_FOLDERS, Tables, listed_companies
 
 ARTICLE_COLUMNS = (
     "source",
@@ -25,14 +25,41 @@ ARTICLE_COLUMNS = (
 )
 
 
-def _recent(news: DataFrame, lookback_days: int, now: dt.datetime | None) -> DataFrame:
-    """Articles from `lookback_days` before `now` on; later ones are not cut off."""
+def _first_moment(news: DataFrame, lookback_days: int, now: dt.datetime | None) -> Column:
     if now is None:
         first = F.current_timestamp() - F.make_dt_interval(F.lit(lookback_days))
     else:
         first = F.lit((now - dt.timedelta(days=lookback_days)).isoformat(sep=" "))
-    first = first.cast(news.schema["published_at"].dataType)
-    return news.filter(F.col("published_at") >= first)
+    return first.cast(news.schema["published_at"].dataType)
+
+
+def _recent(news: DataFrame, lookback_days: int, now: dt.datetime | None) -> DataFrame:
+    """Articles from `lookback_days` before `now` on; later ones are not cut off."""
+    first = _first_moment(news, lookback_days, now)
+    return _from_day(news, first).filter(F.col("published_at") >= first)
+
+
+def _folder(rows: DataFrame) -> list[str]:
+    """The column that names the folders of a table that `store_tables` wrote."""
+    return [c for c in NEWS_FOLDERS if c in rows.columns]
+
+
+def _from_day(rows: DataFrame, first: Column) -> DataFrame:
+    """Skips the folders of days or months before, in a table that `store_tables` wrote. A day less is skipped, as the
+    table may have been written under another time zone."""
+    for column in _folder(rows):
+        day = F.date_trunc(NEWS_FOLDERS[column], F.date_sub(F.to_date(first), 1))
+        rows = rows.filter(F.col(column) >= F.to_date(day))
+    return rows
+
+
+def _seen(mentions: DataFrame, recent: DataFrame, how: str = "inner") -> DataFrame:
+    """Mentions of recent articles. Stored tables are merged bucket by bucket, where they lie; of others the articles are
+    broadcast if they are few."""
+    folder = _folder(mentions)
+    if folder and folder == _folder(recent):
+        return mentions.drop(*folder).hint("merge").join(recent.drop(*folder), "article_id", how)
+    return sized_join(mentions, recent, "article_id", recent, MAX_ARTICLES, how)
 
 
 def _newest(seen: DataFrame, recency: list, limit: int) -> DataFrame:
@@ -69,14 +96,13 @@ def company_news(
     if ticker is not None:
         mentions = only_ids(mentions, with_ticker(tables.company, ticker))
     recent = _recent(tables.news_article, lookback_days, now)
+    mentions = _from_day(mentions, _first_moment(tables.news_article, lookback_days, now))
+    folder = _folder(mentions) if _folder(mentions) == _folder(recent) else []
     recency = [F.desc("published_at"), F.desc("article_id")]
     seen = (
-        sized_join(
-            mentions.select("article_id", "company_id", "mention_confidence"),
-            recent.select("article_id", "published_at"),
-            "article_id",
-            recent,
-            MAX_ARTICLES,
+        _seen(
+            mentions.select("article_id", "company_id", "mention_confidence", *folder),
+            recent.select("article_id", "published_at", *folder),
         )
         # Equal mentions collapse here. The filter is always true; it keeps the plan below equal
         # for the counts and the newest rows, so that Spark runs it once.
@@ -140,10 +166,11 @@ def trending_news(
     lookback_days = positive_int(lookback_days, 30, "lookback_days")
     min_articles = positive_int(min_articles, 5, "min_articles")
     limit = positive_int(limit, 10, "limit")
-    recent = _recent(tables.news_article, lookback_days, now).select("article_id")
-    mentions = tables.article_mention.select("article_id", "company_id")
+    recent = _recent(tables.news_article, lookback_days, now)
+    mentions = _from_day(tables.article_mention, _first_moment(tables.news_article, lookback_days, now))
+    folder = _folder(mentions) if _folder(mentions) == _folder(recent) else []
     counts = (
-        sized_join(mentions, recent, "article_id", recent, MAX_ARTICLES, "left_semi")
+        _seen(mentions.select("article_id", "company_id", *folder), recent.select("article_id", *folder), "left_semi")
         .groupBy("company_id")
         .agg(F.count_distinct("article_id").alias("article_count"))
         .join(listed_companies(tables), "company_id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.companies import with_ticker
 from pricelens.functions.dates import between
 from pricelens.functions.params import optional_date, optional_ticker
+from pricelens.functions.scratch import scratch
 from pricelens.functions.size import at_most
 from pricelens.tables import Tables, listed_companies
 
@@ -113,6 +114,8 @@ def with_moving_average(prices: DataFrame, rows: int) -> DataFrame:
 
 # Up to this many companies their ids are broadcast, two numbers each; beyond, the join is a plain one.
 MAX_COMPANIES = 1_000_000
+# Up to this many companies their names are broadcast as well.
+MAX_NAMES = 200_000
 
 
 def _sector_ids(companies: DataFrame, max_companies: int) -> DataFrame:
@@ -130,35 +133,84 @@ def sector_benchmark(primary: DataFrame, companies: DataFrame) -> DataFrame:
     )
 
 
+_DAY = ("sector_id", "trading_date")
+
+
 def sector_position(
     prices: DataFrame, companies: DataFrame, max_companies: int = MAX_COMPANIES
 ) -> DataFrame:
     """Adds sector_id, sector_avg_close and sector_price_rank to rows of company, day and close.
 
-    `companies` holds company_id and sector_id. Prices of companies not in it are left out. Equal
-    closes of a sector and day, null ones too, are one row with a count before anything is ranked,
-    so the ranking task of a sector's day holds its different closes and not its companies.
+    `companies` holds company_id and sector_id. Prices of companies not in it are left out. Equal closes of a sector and
+    day, null ones too, are one row with a count before anything is ranked. With up to `max_companies` companies a
+    window holds a day's different closes, which are no more; beyond, they are ranked in bands (`_banded`).
     """
-    day = ["sector_id", "trading_date"]
-    rows = prices.join(_sector_ids(companies, max_companies), "company_id")
-    of_day = Window.partitionBy(*day)
-    higher = of_day.orderBy(F.col("close").desc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1
+    few = at_most(companies.select("company_id"), max_companies)
+    ids = companies.select("company_id", "sector_id")
+    rows = prices.join(F.broadcast(ids) if few else ids, "company_id")
+    closes = rows.groupBy(*_DAY, "close").agg(F.count("*").alias("rows"))
+    placed = _windowed(closes) if few else _banded(closes)
+    placed = placed.select(
+        *[F.col(c).alias(f"_{c}") for c in (*_DAY, "close")], "sector_price_rank", "sector_avg_close"
     )
+    same = [rows[c].eqNullSafe(placed[f"_{c}"]) for c in (*_DAY, "close")]
+    return rows.join(placed, same).drop(*[f"_{c}" for c in (*_DAY, "close")])
+
+
+def _before(*keys) -> Column:
+    """Rows above a close among those of the keys, 0 for the highest."""
+    higher = Window.partitionBy(*keys).orderBy(F.col("close").desc_nulls_last())
+    return F.coalesce(F.sum("rows").over(higher.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _windowed(closes: DataFrame) -> DataFrame:
+    """Rank and mean of a sector's day from its different closes, which one task holds."""
+    of_day = Window.partitionBy(*_DAY)
     known = F.sum(F.when(F.col("close").isNotNull(), F.col("rows"))).over(of_day)
-    closes = (
-        rows.groupBy(*day, "close")
-        .agg(F.count("*").alias("rows"))
-        .select(
-            *[F.col(c).alias(f"_{c}") for c in (*day, "close")],
-            (F.coalesce(F.sum("rows").over(higher), F.lit(0)) + 1)
-            .cast("int")
-            .alias("sector_price_rank"),
-            (F.sum(F.col("close") * F.col("rows")).over(of_day) / known).alias("sector_avg_close"),
-        )
+    return closes.select(
+        *_DAY,
+        "close",
+        (_before(*_DAY) + 1).cast("int").alias("sector_price_rank"),
+        (F.sum(F.col("close") * F.col("rows")).over(of_day) / known).alias("sector_avg_close"),
+    )
+
+
+def _banded(closes: DataFrame) -> DataFrame:
+    """The same with no task for a whole day.
+
+    The closes are dealt out by range of sector, day and close, so a day that is too much for one task lies in several,
+    one after the other. Each of these bands ranks its own closes and starts where the bands before it end; only the
+    bands' sums are put in order. The bands are a stored table, so that sums and ranks are of the same bands, also after
+    an executor is lost.
+    """
+    spark = closes.sparkSession
+    dealt = closes.repartitionByRange(*_DAY, F.col("close").desc_nulls_last())
+    dealt = dealt.withColumn("band", F.spark_partition_id())
+    path = f"{scratch(spark)}/closes"
+    dealt.write.parquet(path)
+    bands = spark.read.schema(dealt.schema).parquet(path)
+    sums = bands.groupBy(*_DAY, "band").agg(
+        F.sum("rows").alias("in_band"),
+        F.sum(F.col("close") * F.col("rows")).alias("total"),
+        F.sum(F.when(F.col("close").isNotNull(), F.col("rows"))).alias("known"),
+    )
+    of_day = Window.partitionBy(*_DAY)
+    earlier = of_day.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *_DAY,
+        "band",
+        F.coalesce(F.sum("in_band").over(earlier), F.lit(0)).alias("start"),
+        (F.sum("total").over(of_day) / F.sum("known").over(of_day)).alias("sector_avg_close"),
+    )
+    ranked = bands.withColumn("before", _before(*_DAY, "band"))
+    keys = (*_DAY, "band")
+    same = [ranked[c].eqNullSafe(starts[c]) for c in keys]
+    return ranked.join(starts, same).select(
+        *[ranked[c] for c in _DAY],
+        "close",
+        (F.col("start") + F.col("before") + 1).cast("int").alias("sector_price_rank"),
+        "sector_avg_close",
     )
-    same = [rows[c].eqNullSafe(closes[f"_{c}"]) for c in (*day, "close")]
-    return rows.join(closes, same).drop(*[f"_{c}" for c in (*day, "close")])
 
 
 def sector_price_rank(
@@ -186,6 +238,17 @@ SERIES_COLUMNS = (
 )
 
 
+def _with_history(prices: DataFrame) -> DataFrame:
+    """Adds what depends on a company's earlier rows."""
+    return prices.withColumns(
+        {
+            "daily_return_pct": daily_return() * 100,
+            "ma_7_day": moving_average(7),
+            "ma_30_day": moving_average(30),
+        }
+    )
+
+
 def price_series(tables: Tables, ticker=None, start=None, end=None) -> DataFrame:
     """Quotes with daily return, moving averages, sector average and rank in the sector.
 
@@ -201,22 +264,22 @@ def price_series(tables: Tables, ticker=None, start=None, end=None) -> DataFrame
         companies = with_ticker(listed, ticker)
         listed = listed.join(companies.select("sector_id"), "sector_id", "left_semi")
         daily = daily.join(_sector_ids(listed, MAX_COMPANIES), "company_id", "left_semi")
-    placed = sector_position(primary_price(daily, tables.price_source, start, end), listed)
-    if ticker is not None:
-        # An inner join stays above the choice of feeds, so ranks and quotes share one scan of the sector.
-        placed = placed.join(companies.select("company_id"), "company_id")
-    series = placed.select(
-        "company_id",
-        "trading_date",
-        *QUOTES,
-        (daily_return() * 100).alias("daily_return_pct"),
-        moving_average(7).alias("ma_7_day"),
-        moving_average(30).alias("ma_30_day"),
-        "sector_avg_close",
-        "sector_price_rank",
-    )
     names = companies.select(
         "company_id", "company_name", "ticker", "sector_name", "industry_name"
     )
-    result = series.join(names, "company_id").select(*SERIES_COLUMNS)
+    few_names = at_most(names, MAX_NAMES)
+    primary = primary_price(daily, tables.price_source, start, end)
+    if ticker is None:
+        # Before the join by sector and day, so that rows stored by company need not move for these windows.
+        primary = _with_history(primary)
+        if not few_names:
+            primary = primary.join(names, "company_id")
+        placed = sector_position(primary, listed)
+    else:
+        # An inner join stays above the choice of feeds, so ranks and quotes share one scan of the sector.
+        placed = sector_position(primary, listed).join(companies.select("company_id"), "company_id")
+        placed = _with_history(placed)
+    if few_names or ticker is not None:
+        placed = placed.join(F.broadcast(names) if few_names else names, "company_id")
+    result = placed.select(*SERIES_COLUMNS)
     return result if ticker is None else result.orderBy("trading_date")

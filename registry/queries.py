@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.functions.params import range_window
-from pricelens.operators import directory, industries, leaders, news, prices
-from pricelens.tables import listed_companies, load_tables, save_prices
 from pricelens.functions.scratch import scratch
+from pricelens.operators import directory, industries, leaders, news, prices
+from pricelens.tables import Tables, listed_companies, load_tables, store_tables
 from registry.mapping import LISTING, NEWS, PRICES, read, tables_c, tables_s
 
 LAST_DAY = dt.date(2024, 1, 30)
@@ -78,17 +78,16 @@ def price_series_1w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prices.price_series(tables_c(spark, sf_dir), start=start, end=end))
 
 
-def price_series_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A week of the series from tables stored as `load_tables` reads them, prices by month."""
+def _stored(spark, mapped: Tables, names) -> Tables:
     root = scratch(spark)
-    mapped = tables_c(spark, sf_dir)
-    for name in PRICES:
-        if name == "price_daily":
-            save_prices(mapped.price_daily, f"{root}/{name}")
-        else:
-            getattr(mapped, name).write.parquet(f"{root}/{name}")
+    store_tables(mapped, root, buckets=4)
+    return load_tables(spark, root, names)
+
+
+def price_series_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of the series from stored tables, prices by month and in buckets by company."""
     start, end = range_window(LAST_DAY, "1W")
-    return rounded(prices.price_series(load_tables(spark, root, PRICES), start=start, end=end))
+    return rounded(prices.price_series(_stored(spark, tables_c(spark, sf_dir), PRICES), start=start, end=end))
 
 
 def price_series_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +125,19 @@ def company_news_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def company_news_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From stored tables, articles and mentions by day and in buckets by article."""
+    stored = _stored(spark, tables_s(spark, sf_dir, NEWS), NEWS)
+    found = news.company_news(stored, lookback_days=30, now=NOW)
+    found = found.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+    return found.withColumn("sentiment", news.sentiment_label())
+
+
+def trending_news_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored(spark, tables_s(spark, sf_dir, NEWS), NEWS)
+    return rounded(news.trending_news(stored, lookback_days=30, min_articles=5, limit=1000, now=NOW))
+
+
 def trending_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         news.trending_news(
@@ -220,7 +232,9 @@ QUERIES = {
         source_disagreement,
         company_news,
         company_news_ticker,
+        company_news_stored,
         trending_news,
+        trending_news_stored,
         industry_rotations,
         search_companies,
         company_profile,
