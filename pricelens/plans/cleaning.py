@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from pricelens.functions.text import DATE_FORMATS, NA_TOKENS
 from pricelens.operators.clean import PROVENANCE, basic_clean
 from pricelens.sources import export
-from pricelens.sources.files import below, inventory, is_selected, write_inventory
+from pricelens.sources.files import inventory, is_selected, write_inventory
 from pricelens.sources.raw_csv import (
     RawFiles,
-    decoded,
     escape_glob,
+    every_file,
     named_columns,
     scan_files,
     source_file,
@@ -44,17 +45,15 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _status(raw: RawFiles, cells: DataFrame | None, root: str) -> DataFrame:
+def _status(raw: RawFiles, cells: DataFrame) -> DataFrame:
     """Per input file with any text: header, raw_rows and whether it is broken.
 
     Broken are files with a line of too many cells to parse, which were not opened, and files with a cell beyond their
     header. One aggregate over the parsed rows of all files; a file that fails costs the others nothing.
     """
-    files = raw.files.groupBy(source_file(F.col("path"), root).alias(PROVENANCE)).agg(
+    files = raw.files.groupBy(PROVENANCE).agg(
         F.min("header").alias("header"), F.max("too_wide").alias("too_wide")
     )
-    if cells is None:
-        return files.selectExpr(PROVENANCE, "header", "0L AS raw_rows", "too_wide AS broken")
     counts = cells.groupBy(PROVENANCE).agg(F.count("*").alias("raw_rows"), F.max("extra").alias("extra"))
     return files.join(counts, PROVENANCE, "left").select(
         PROVENANCE,
@@ -128,28 +127,26 @@ def clean_dataset(
     rules = _Rules(match, tuple(formats), tuple(na_tokens))
     folder = root.rstrip("/")
     if files is None:
-        chosen = lambda path: is_selected(below(decoded(path), root), dataset)
-        selected = listing.filter(is_selected(F.col("relative_path"), dataset))
+        chosen = functools.partial(is_selected, dataset=dataset)
+        selected = listing.filter(chosen(F.col("relative_path")))
         paths = [folder]
     else:
-        chosen = None
+        chosen = every_file
         wanted = spark.createDataFrame([(f,) for f in files], "relative_path STRING")
         selected = listing.join(wanted, "relative_path", "left_semi")
         paths = [escape_glob(f"{folder}/{f}") for f in files]
-    inputs = selected.select(
-        F.regexp_replace("relative_path", r"(\.csv)/part-[^/]*$", "$1").alias(PROVENANCE)
-    ).distinct()
+    inputs = selected.select(source_file("relative_path").alias(PROVENANCE)).distinct()
     export.output_names(inputs).write.parquet(f"{tables}/names")
     names = spark.read.schema(NAMES_SCHEMA).parquet(f"{tables}/names")
     inputs = names.select(PROVENANCE)
-    raw = scan_files(spark, paths, tables, chosen) if paths else None
+    raw = scan_files(spark, paths, tables, root, chosen) if paths else None
     if raw is None or not raw.names:
         log = inputs.selectExpr(
             PROVENANCE, "'ERROR'", "CAST(NULL AS BIGINT)", "CAST(NULL AS BIGINT)", "CAST(NULL AS STRING)", f"'{NO_TEXT}'"
         )
     else:
-        cells = store_cells(spark, raw, root, f"{tables}/cells")
-        status = _stored(_status(raw, cells, root), f"{tables}/status")
+        cells = store_cells(spark, raw, f"{tables}/cells")
+        status = _stored(_status(raw, cells), f"{tables}/status")
         cleaned = _cleaned(raw, cells, status, tables, rules)
         # Stored, so that Spark knows their size and broadcasts them or not by that.
         stats = _stored(export.file_stats([rows for _, rows in cleaned]), f"{tables}/stats")

@@ -29,20 +29,20 @@ CLEANED_PATTERN = "*__cleaned.csv"
 # Cells of a line that are parsed; a file with more commas in a line is not parsed at all.
 MAX_CELLS = 200_000
 
-_FILES = "path STRING, header BIGINT, multi_line BOOLEAN, too_wide BOOLEAN"
+_FILES = "path STRING, source_file STRING, header BIGINT, multi_line BOOLEAN, too_wide BOOLEAN"
 
 
 @dataclass(frozen=True)
 class RawFiles:
     """What the first pass found.
 
-    `files`, a stored table, has path, header (a hash), multi_line (a quoted cell runs over a line end) and too_wide
-    for each file with any text. `names` are each header's columns, in the order of the headers' first files.
+    `files`, a stored table, has path, source_file (below the root), header (a hash), multi_line (a quoted cell runs over
+    a line end) and too_wide for each chosen file with any text. `names` are each header's columns, in the order of the headers' first files.
     `multi_line` and `too_wide` are the paths of the odd files.
     """
 
     paths: tuple[str, ...]
-    chosen: Callable[[Column], Column] | None
+    chosen: Callable[[Column], Column]
     files: DataFrame
     names: dict[int, tuple[str, ...]]
     multi_line: tuple[str, ...]
@@ -59,37 +59,33 @@ def decoded(path) -> Column:
     return F.when(path.contains("%"), F.url_decode(plus_kept)).otherwise(path)
 
 
-def source_file(path: Column, root: str) -> Column:
-    """The input file below `root` of a full path; a CSV folder written by Spark counts as one file."""
-    inner = below(decoded(path), root)
-    part = F.regexp_replace(inner, r"(\.csv)/part-[^/]*$", "$1")
-    return F.when(inner.contains(".csv/part-"), part).otherwise(inner)
-
-
-def input_name(root: str) -> Column:
-    return source_file(F.col("_metadata.file_path"), root)
+def source_file(inner) -> Column:
+    """The input file of a path below the root; a CSV folder written by Spark counts as one file."""
+    column = F.col(inner) if isinstance(inner, str) else inner
+    part = F.regexp_replace(column, r"(\.csv)/part-[^/]*$", "$1")
+    return F.when(column.contains(".csv/part-"), part).otherwise(column)
 
 
 def _reader(spark: SparkSession):
     return spark.read.option("recursiveFileLookup", "true")
 
 
-def _chosen(rows: DataFrame, chosen) -> DataFrame:
-    """Rows of the chosen files. Spark drops the others when it lists them, as the rule reads nothing but the path."""
-    return rows if chosen is None else rows.filter(chosen(F.col("_metadata.file_path")))
+def every_file(path: Column) -> Column:
+    return F.lit(True)
 
 
 def scan_files(
-    spark: SparkSession, paths, folder: str, chosen: Callable[[Column], Column] | None = None
+    spark: SparkSession, paths, folder: str, root: str, chosen: Callable[[Column], Column] = every_file
 ) -> RawFiles:
-    """The pass over the lines of all files at `paths`, or of those among them whose full path meets `chosen`.
+    """The pass over the lines of the files at `paths` whose path below `root` meets `chosen`.
 
-    Writes the table `files` into `folder`. The driver gets one path per header and those of odd files.
+    The rule is first put to the full path, which must then meet it as well: Spark drops files by that when it lists
+    them. Writes the table `files` into `folder`. The driver gets one path per header and those of odd files.
     """
     value = F.col("value")
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"')))
     commas = F.length(value) - F.length(F.replace(value, F.lit(",")))
-    lines = _chosen(_reader(spark).text(list(paths)), chosen).select(
+    lines = _reader(spark).text(list(paths)).filter(chosen(F.col("_metadata.file_path"))).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
@@ -107,6 +103,9 @@ def scan_files(
             F.max("too_wide").alias("too_wide"),
         )
         .filter("header is not null")
+        .withColumn("inner", below(decoded(F.col("path")), root))
+        .filter(chosen(F.col("inner")))
+        .select("path", source_file("inner").alias(PROVENANCE), "header", "multi_line", "too_wide")
         .write.parquet(f"{folder}/files")
     )
     files = spark.read.schema(_FILES).parquet(f"{folder}/files")
@@ -152,7 +151,7 @@ def _by_header(raw: RawFiles, value: Callable[[tuple[str, ...]], Column]) -> Col
     return F.element_at(F.create_map(*entries), F.col("header"))
 
 
-def read_cells(spark: SparkSession, raw: RawFiles, root: str) -> DataFrame:
+def read_cells(spark: SparkSession, raw: RawFiles) -> DataFrame:
     """All rows of the files as `source_file`, `header`, the cells c0, c1, ... as text, and `extra`: whether a cell
     beyond the file's header is not empty. Files that are too wide are left out, before they are opened."""
     width = max(map(len, raw.names.values()))
@@ -161,13 +160,13 @@ def read_cells(spark: SparkSession, raw: RawFiles, root: str) -> DataFrame:
     path = F.col("_metadata.file_path")
 
     def read(multi_line: bool, of) -> DataFrame:
-        rows = _chosen(
+        rows = (
             _reader(spark)
             .schema(schema)
             .options(header=True, enforceSchema=True, quote='"', escape='"')
             .options(multiLine=multi_line, maxColumns=MAX_CELLS)
-            .csv(list(raw.paths)),
-            raw.chosen,
+            .csv(list(raw.paths))
+            .filter(raw.chosen(path))
         )
         return (rows if of is None else rows.filter(of)).select(path.alias("path"), *cells)
 
@@ -175,14 +174,11 @@ def read_cells(spark: SparkSession, raw: RawFiles, root: str) -> DataFrame:
     rows = read(False, ~path.isin(odd) if odd else None)
     if raw.multi_line:
         rows = rows.union(read(True, path.isin(list(raw.multi_line))))
-    if len(raw.names) == 1:
-        rows = rows.withColumn("header", F.lit(next(iter(raw.names))))
-    else:
-        # Spark broadcasts the table by its stored size, or shuffles and splits large files.
-        rows = rows.join(raw.files.select("path", "header"), "path")
+    # Spark broadcasts the table by its stored size, or shuffles and splits large files.
+    rows = rows.join(raw.files.select("path", PROVENANCE, "header"), "path")
     filled = F.coalesce(*(F.when(F.col(f"c{i}").isNotNull(), i + 1) for i in reversed(range(width + 1))), F.lit(0))
     extra = filled > _by_header(raw, lambda names: F.lit(len(names)))
-    return rows.select(source_file(F.col("path"), root).alias(PROVENANCE), "header", *cells[:-1], extra.alias("extra"))
+    return rows.select(PROVENANCE, "header", *cells[:-1], extra.alias("extra"))
 
 
 def named_columns(names: tuple[str, ...], na_tokens=NA_TOKENS) -> list[Column]:
@@ -209,19 +205,19 @@ def read_raw_groups(
     if not paths:
         return []
     folder = scratch(spark)
-    raw = scan_files(spark, paths, folder)
+    raw = scan_files(spark, paths, folder, root)
     if not raw.names:
         return []
-    rows = store_cells(spark, raw, root, f"{folder}/cells")
+    rows = store_cells(spark, raw, f"{folder}/cells")
     return [
         rows.filter(F.col("header") == header).select(PROVENANCE, *named_columns(names, na_tokens))
         for header, names in raw.names.items()
     ]
 
 
-def store_cells(spark: SparkSession, raw: RawFiles, root: str, path: str) -> DataFrame:
+def store_cells(spark: SparkSession, raw: RawFiles, path: str) -> DataFrame:
     """`read_cells` as a table with a part for each header."""
-    rows = read_cells(spark, raw, root)
+    rows = read_cells(spark, raw)
     rows.write.partitionBy("header").parquet(path)
     return spark.read.schema(rows.schema).parquet(path).select(rows.columns)
 
@@ -231,10 +227,10 @@ def read_raw_csv(
 ) -> DataFrame:
     """All rows in one frame, matched by column name whatever its case; missing columns are null."""
     paths = _places(spark, root, files, pattern)
-    raw = scan_files(spark, paths, scratch(spark)) if paths else None
+    raw = scan_files(spark, paths, scratch(spark), root) if paths else None
     if raw is None or not raw.names:
         raise ValueError(f"no CSV file with a header below {root}")
-    rows = read_cells(spark, raw, root)
+    rows = read_cells(spark, raw)
     if len(raw.names) == 1:
         return rows.select(PROVENANCE, *named_columns(next(iter(raw.names.values())), na_tokens))
     every = {n.lower(): n for names in reversed(raw.names.values()) for n in reversed(names)}
@@ -264,7 +260,7 @@ def read_uniform_csv(
     )
     names = rows.columns
     return rows.select(
-        input_name(root).alias(PROVENANCE),
+        source_file(below(decoded(F.col("_metadata.file_path")), root)).alias(PROVENANCE),
         *[null_if_in(F.col(f"`{n}`"), na_tokens).alias(n) for n in names],
     )
 
