@@ -22,20 +22,54 @@ def _starts_with(text: str) -> str:
     )
 
 
+def _beginning(pattern: str) -> str:
+    """What a pattern starts with before its first wildcard, without escapes."""
+    found = re.match(r"(?:[^\\%_]|\\.)*", pattern, flags=re.DOTALL)[0]
+    return re.sub(r"\\(.)", r"\1", found, flags=re.DOTALL)
+
+
+def _looked_up(lookup: DataFrame, text: str, limit: int) -> DataFrame:
+    """company_id and place of the first `limit` companies whose ticker or name starts with `text`.
+
+    The keys lie in order and the beginning reaches the scan, so only the parts of the files that hold it are read.
+    """
+    pattern = _starts_with(text).lower()
+    key = F.col("key")
+    place = F.when(F.col("is_name"), 2).when(F.col("ticker") == F.lit(text.upper()), 0).otherwise(1)
+    found = lookup.filter(key.startswith(_beginning(pattern))).filter(key.like(pattern))
+    return (
+        found.select("company_id", "ticker", place.alias("place"))
+        .groupBy("company_id", "ticker")
+        .agg(F.min("place").alias("place"))
+        .orderBy("place", F.col("ticker").asc_nulls_last(), "company_id")
+        .limit(limit)
+        .select("company_id", "place")
+    )
+
+
 def search_companies(tables: Tables, q, limit=20) -> DataFrame:
-    """Companies whose ticker or name starts with `q`: exact ticker, ticker prefix, name prefix."""
+    """Companies whose ticker or name starts with `q`: exact ticker, ticker prefix, name prefix.
+
+    Tables that `store_tables` wrote are looked up by the beginning; of others every company is compared.
+    """
     required_text(q, "q")
     limit = positive_int(limit, 20, "limit")
     text = q.strip(" ")
-    by_ticker = F.col("ticker").ilike(_starts_with(text.upper()))
-    by_name = F.col("company_name").ilike(_starts_with(text))
-    place = (
-        F.when(F.col("ticker") == F.lit(text.upper()), 0).when(by_ticker, 1).otherwise(2)
-    )
+    if tables.company_lookup is not None:
+        found = _looked_up(tables.company_lookup, text, limit)
+        places = {r["company_id"]: r["place"] for r in found.collect()}  # at most `limit`
+        ids = [F.lit(x) for item in places.items() for x in item]
+        place = F.element_at(F.create_map(*ids), F.col("company_id")) if ids else F.lit(0)
+        listed = listed_companies(tables, "left").filter(F.col("company_id").isin(list(places)))
+    else:
+        by_ticker = F.col("ticker").ilike(_starts_with(text.upper()))
+        by_name = F.col("company_name").ilike(_starts_with(text))
+        place = (
+            F.when(F.col("ticker") == F.lit(text.upper()), 0).when(by_ticker, 1).otherwise(2)
+        )
+        listed = listed_companies(tables, "left").filter(by_ticker | by_name)
     return (
-        listed_companies(tables, "left")
-        .filter(by_ticker | by_name)
-        .withColumn("place", place)
+        listed.withColumn("place", place)
         .orderBy("place", F.col("ticker").asc_nulls_last(), "company_id")
         .limit(limit)
         .select(*LISTING_COLUMNS)

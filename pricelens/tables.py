@@ -54,6 +54,8 @@ class Tables:
     price_daily: DataFrame | None = None
     news_article: DataFrame | None = None
     article_mention: DataFrame | None = None
+    # Written by `store_tables`: lower-case tickers and names in order, for look-ups by their beginnings.
+    company_lookup: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,8 @@ LAYOUTS = {
 ROWS_PER_BUCKET = 4_000_000
 # With fewer articles a day than this, news lie by month, as most files would be tiny.
 ARTICLES_PER_DAY = 100_000
+LOOKUP = "company_lookup"
+_LOOKUP_SCHEMA = "key STRING, is_name BOOLEAN, ticker STRING, company_id BIGINT"
 _LAYOUT_SCHEMA = "name STRING, folder STRING, buckets INT"
 
 
@@ -86,13 +90,17 @@ def load_tables(spark, root: str, names=tuple(SCHEMAS)) -> Tables:
     What `store_tables` wrote is opened with its folders and buckets.
     """
     layouts = _stored_layouts(spark, root)
+    lookup = None
+    if LOOKUP in layouts and "company" in names:
+        lookup = spark.read.schema(_LOOKUP_SCHEMA).parquet(f"{root}/{LOOKUP}")
     return Tables(
+        company_lookup=lookup,
         **{
             n: _open_buckets(spark, root, n, *layouts[n])
             if n in layouts
             else spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}")
             for n in names
-        }
+        },
     )
 
 
@@ -138,6 +146,7 @@ def store_tables(tables: Tables, root: str, buckets: int | None = None, news_fol
     rows, and is the same for articles and mentions.
     """
     stored = {f.name: getattr(tables, f.name) for f in fields(tables) if getattr(tables, f.name) is not None}
+    stored.pop(LOOKUP, None)
     session = next(iter(stored.values())).sparkSession
     folders = {}
     if "price_daily" in stored:
@@ -179,9 +188,24 @@ def store_tables(tables: Tables, root: str, buckets: int | None = None, news_fol
         session.sql(f"DROP TABLE {written}")
         found[name] = n
     rows = [(name, folders[name], n) for name, n in found.items()]
+    if "company" in stored:
+        # In ranges of the key, so a beginning is in few files and in few parts of them.
+        lookup_keys(stored["company"]).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{root}/{LOOKUP}")
+        rows.append((LOOKUP, None, 0))
     session.createDataFrame(rows, _LAYOUT_SCHEMA).coalesce(1).write.parquet(f"{root}/layout")
 
 
+def lookup_keys(company: DataFrame) -> DataFrame:
+    """A row for each company's ticker and for its name, in lower case."""
+    kinds = [("ticker", False), ("company_name", True)]
+    ticker = F.col("ticker").alias("ticker")
+    parts = [
+        company.select(F.lower(c).alias("key"), F.lit(is_name).alias("is_name"), ticker, F.col("company_id").cast("bigint").alias("company_id"))
+        for c, is_name in kinds
+    ]
+    return parts[0].union(parts[1]).filter("key is not null")
+
+
 def save_prices(price_daily: DataFrame, path: str) -> None:
     """Store prices by month of the trading day, clustered by company inside a month.
 

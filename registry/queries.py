@@ -158,6 +158,12 @@ def search_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory.search_companies(tables_c(spark, sf_dir, LISTING), "c00001", limit=20)
 
 
+def search_companies_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Looked up by the beginning of stored keys."""
+    stored = _stored(spark, tables_c(spark, sf_dir, LISTING), LISTING)
+    return directory.search_companies(stored, "c00001", limit=20)
+
+
 def company_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = directory.company_profile(
         tables_c(spark, sf_dir, (*PRICES, "company_profile", "company_financial_snapshot"))
@@ -237,6 +243,7 @@ QUERIES = {
         trending_news_stored,
         industry_rotations,
         search_companies,
+        search_companies_stored,
         company_profile,
         list_sectors,
         sector_companies,

@@ -7,6 +7,7 @@ from star import company, dicts, price, tables
 
 from pricelens.functions.params import optional_date, positive_int
 from pricelens.operators import directory, news
+from pricelens.tables import load_tables, store_tables
 
 NOW = dt.datetime(2024, 2, 1, 12)
 
@@ -100,6 +101,9 @@ def test_now_defaults_to_the_clock(spark):
     assert [r["title"] for r in dicts(news.company_news(t))] == ["title 1"]
 
 
+_DIRECTORY = ("sector", "industry", "company")
+
+
 def _directory(spark):
     return tables(
         spark,
@@ -120,8 +124,13 @@ def _directory(spark):
     )
 
 
-def test_search_order_and_wildcards(spark):
+@pytest.mark.parametrize("stored", [False, True])
+def test_search_order_and_wildcards(spark, folder, stored):
     t = _directory(spark)
+    if stored:
+        store_tables(t, folder)
+        t = load_tables(spark, folder, _DIRECTORY)
+        assert t.company_lookup.count() == 8
     find = lambda q, **k: [r["ticker"] for r in dicts(directory.search_companies(t, q, **k))]
     assert find(" ab ") == ["AB", "ABC", "ZZ"]
     assert find("ab", limit=1) == ["AB"]
@@ -129,11 +138,22 @@ def test_search_order_and_wildcards(spark):
     assert find("a\\_c") == ["A_C"]
     assert find("\\a\\b\\c") == ["ABC"]
     assert find("abac") == ["ZZ"]
+    assert find("nothing") == [] and find("%")[0] == "AB"
     for blank in ("", "  ", None):
         with pytest.raises(ValueError):
             directory.search_companies(t, blank)
 
 
+def test_looked_up_beginnings_reach_the_scan(spark, folder):
+    store_tables(_directory(spark), folder)
+    t = load_tables(spark, folder, _DIRECTORY)
+    for text, pushed in (("ab", "StringStartsWith(key,ab)"), ("a_c", "StringStartsWith(key,a)"), ("a\\_c", "StringStartsWith(key,a_c)")):
+        plan = directory._looked_up(t.company_lookup, text, 5)._jdf.queryExecution().executedPlan().toString()
+        assert pushed in plan.split("PushedFilters: [")[1].split("]")[0]
+    keys = [r["key"] for r in t.company_lookup.collect()]
+    assert keys == sorted(keys)
+
+
 def test_listings(spark):
     t = _directory(spark)
     assert [r["ticker"] for r in dicts(directory.list_companies(t))] == ["AB", "ABC", "A_C", "ZZ"]
