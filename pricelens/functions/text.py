@@ -101,7 +101,6 @@ def normalize_ticker(text) -> Column:
 # Only cells of these shapes are parsed. Others are null at once: a failed parse costs an
 # exception per cell, which on untidy files would be most of the run.
 _NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_DIGITS_FIRST = r"^\d{1,4}[^\d-]\d|^\d{1,2}-\d|^\d{8}$"
 _ZONED = r"\d:\d\d(:\d\d(\.\d+)?)?\s?(Z|UTC|GMT|[+-]\d\d:?\d\d)$"
 _WEEKDAY = "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*, "
 _NAME_SHAPES = {"MMM": "[A-Za-z]{3}", "MMMM": "[A-Za-z]+", "a": "[AaPp][Mm]"}
@@ -158,34 +157,41 @@ def parse_timestamp(text, formats=DATE_FORMATS) -> Column:
     A time with an offset, `Z` or `GMT` is brought to UTC. A day of the week in front is passed
     over. Two-digit years are 1969 to 2068.
 
-    Formats of numbers only are rewritten to ISO text and then cast, which fails without an
-    exception; formats with names go through the format parser.
+    A cell is told apart first and then read once: with a year and a dash in front it is cast as it is; in the shape of
+    a format of numbers it is rewritten to ISO text and cast, as that fails without an exception; with letters and
+    digits it goes through the format parser. Others are null.
     """
     column = F.col(text) if isinstance(text, str) else text
-    zoned = column.rlike(_ZONED)
-    # A zone without an offset from UTC changes nothing and is cut off, as is a day's name.
-    spelled = F.when(column.rlike("^[A-Z]"), F.regexp_replace(column, _WEEKDAY, "")).otherwise(column)
-    spelled = F.regexp_replace(spelled, r" (GMT|UTC)$", "")
     templates = {f: _iso_template(f) for f in formats}
-    iso = column
-    for date_format, template in templates.items():
-        if template:
-            iso = F.regexp_replace(iso, date_shape(date_format), template)
-    # A bare number or a time of day would cast as well; neither is a date here.
     in_utc = F.convert_timezone(
         F.current_timezone(), F.lit("UTC"), column.try_cast("timestamp").cast("timestamp_ntz")
     )
-    as_iso = F.when(
-        F.substring(column, 5, 1) == "-",
-        F.when(zoned, in_utc).otherwise(column.try_cast("timestamp_ntz")),
-    )
-    rewritten = F.when(column.rlike(_DIGITS_FIRST), iso.try_cast("timestamp_ntz"))
-    named = [
-        F.when(spelled.rlike(date_shape(f)), _named(spelled, f))
-        for f, template in templates.items()
-        if not template
-    ]
-    return F.coalesce(as_iso, rewritten, *named)
+    # A bare number or a time of day would cast as well; neither is a date here.
+    zoned = (F.length(column) > 10) & column.rlike(_ZONED)
+    as_iso = F.when(zoned, in_utc).otherwise(column.try_cast("timestamp_ntz"))
+    year_first = (F.substring(column, 5, 1) == "-") & ~F.substring(column, 1, 4).contains("-")
+    named = [f for f, template in templates.items() if not template]
+    # Without a letter only formats of numbers are left.
+    plain = [f for f in formats if not _NAME_SHAPES.keys() & {field for field, _ in _fields(f)}]
+    shaped = {f: column.rlike(date_shape(f)) for f in plain}
+    values = {
+        f: F.regexp_replace(column, date_shape(f), templates[f]).try_cast("timestamp_ntz") if templates[f] else _named(column, f)
+        for f in plain
+    }
+    # A format that starts like ISO but goes on in another order gets what ISO cannot read.
+    like_iso = [F.when(shaped[f], values[f]) for f in plain if f.startswith("yyyy-")]
+    found = F.when(year_first, F.coalesce(as_iso, *like_iso))
+    for date_format in plain:
+        found = found.when(shaped[date_format], values[date_format])
+    if not named:
+        return found
+    # A zone without an offset from UTC changes nothing and is cut off, as is a day's name.
+    spelled = F.when(column.rlike("^[A-Z]"), F.regexp_replace(column, _WEEKDAY, "")).otherwise(column)
+    spelled = F.regexp_replace(spelled, r" (GMT|UTC)$", "")
+    read = F
+    for date_format in named:
+        read = read.when(spelled.rlike(date_shape(date_format)), _named(spelled, date_format))
+    return found.when(column.rlike("[0-9]"), read)
 
 
 def parse_number(text) -> Column:

@@ -410,6 +410,17 @@ def test_date_spellings(spark, text, expected):
     assert (None if row["d"] is None else str(row["d"])) == expected
 
 
+def test_formats_in_another_order_after_the_year(spark):
+    from pyspark.sql import functions as F
+
+    from pricelens.functions.text import parse_timestamp
+
+    cells = ["2020-03-04", "2020-31-01", "31|1|2020", "1-20-2016", "2020-99-99"]
+    rows = spark.createDataFrame([(c,) for c in cells], "t string")
+    found = rows.select(F.to_date(parse_timestamp("t", ("yyyy-dd-MM", "d|M|yyyy", "M-d-yyyy"))).cast("string").alias("d"))
+    assert [r["d"] for r in found.collect()] == ["2020-03-04", "2020-01-31", "2020-01-31", "2016-01-20", None]
+
+
 def test_missing_cells_and_quotes(spark, folder):
     write(folder, "raw/a.csv", 'x,y,\n"p ""q"", r",N/A,1\n<NA>,None,\n-nan,z\n')
     rows = raw_csv.read_raw_csv(spark, f"{folder}/raw")
