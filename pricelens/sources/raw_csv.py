@@ -85,14 +85,17 @@ def scan_files(
     value = F.col("value")
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"')))
     commas = F.length(value) - F.length(F.replace(value, F.lit(",")))
+    # Most lines have no quote and are short, so nothing is replaced in them.
+    open_quote = value.contains('"') & (quotes % 2 == 1)
+    too_wide = (F.octet_length(value) >= MAX_CELLS) & (commas >= MAX_CELLS)
     lines = _reader(spark).text(list(paths)).filter(chosen(F.col("_metadata.file_path"))).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         F.xxhash64(value).alias("hash"),
         (F.trim(value) != "").alias("text"),
-        (quotes % 2 == 1).alias("open_quote"),
-        (commas >= MAX_CELLS).alias("too_wide"),
+        open_quote.alias("open_quote"),
+        too_wide.alias("too_wide"),
     )
     candidate = F.when((F.col("block") == 0) & F.col("text"), F.col("line"))
     (
