@@ -19,7 +19,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField
 from pricelens.llm.common import append, texts
 
 SPACE = "▁"
-#: Words, or pairs of tokens, whose answers a task remembers: as many again that were used before them.
+#: Words, and prefixes or pairs of tokens, whose answers a task remembers: as many again that were used before them.
+WORDS = 600_000
 REMEMBERED = 250_000
 #: A longer run without a space is computed each time, so that what is remembered stays small.
 LONGEST_REMEMBERED = 48
@@ -61,7 +62,7 @@ class PrefixCounter:
             raise ValueError("a piece holds a space after other characters, or a line end")
         self.tokens = {p for p in self.rank if len(p) == 1 or self.merged(p) == [p]}
         self.longest = max(map(len, self.rank))
-        self.words = Recent(REMEMBERED, self.word)
+        self.words = Recent(WORDS, self.word)
         self.states = Recent(REMEMBERED)  # a prefix's count, last token and the state before: for all words that begin so
         self.pairs = Recent(REMEMBERED)
 
