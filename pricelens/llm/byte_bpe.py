@@ -112,6 +112,27 @@ def decode(df: DataFrame, rank_file: bytes, pattern: str, *, ids: str = "ids", d
     return _by_ids(sized, size, decoded, make).drop(size)
 
 
+def encode_and_decode(
+    df: DataFrame, rank_file: bytes, pattern: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """`decode(encode(df))` with one Python worker for both: adds `ids` and `decoded`."""
+    ranks = df.sparkSession.sparkContext.broadcast(rank_file)
+
+    def make():
+        enc = encoding(ranks.value, pattern)
+
+        def work(part: pa.RecordBatch) -> list[pa.Array]:
+            found = [encode_text(enc, t) for t in texts(part, text)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            values = np.concatenate(found) if found else np.zeros(0, np.int32)
+            back = pa.array([enc.decode_bytes(x.tolist()) for x in found], pa.binary())
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), back]
+
+        return work
+
+    return append(df, text, [StructField(ids, ArrayType(IntegerType())), StructField(decoded, BinaryType())], make)
+
+
 def _by_ids(df: DataFrame, ids: str, decoded: str, make) -> DataFrame:
     """Like common.append, in parts of a bounded number of ids."""
     from pyspark.sql.types import StructType

@@ -636,6 +636,15 @@ def test_byte_bpe_on_the_table(spark, docs, empty, enc, sf_texts):
     assert byte_bpe.encode(empty, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_encode_and_decode_is_both(spark, docs, empty, enc):
+    ranks, pattern = queries.vocabulary(queries.RANKS), public_tokenizers.PATTERN
+    two = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks, pattern)
+    one = byte_bpe.encode_and_decode(docs, ranks, pattern)
+    assert sorted(one.columns) == sorted(two.columns)
+    assert Counter(map(str, one.select(two.columns).collect())) == Counter(map(str, two.collect()))
+    assert byte_bpe.encode_and_decode(empty, ranks, pattern).count() == 0
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
