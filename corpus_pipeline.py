@@ -52,7 +52,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' own columns, token ids, their number, and whether the ids decode to the text. Own columns named
     like one of these three are replaced."""
     ranks, pattern = vocabulary(RANKS), public_tokenizers.PATTERN
-    out = byte_bpe.decode(byte_bpe.encode(_narrow(docs), ranks, pattern), ranks, pattern)
+    out = byte_bpe.encode_and_decode(_narrow(docs), ranks, pattern)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     new = [F.col("ids"), F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip")]
     own = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
