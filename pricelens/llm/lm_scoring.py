@@ -5,9 +5,9 @@ escape's estimate is the number of distinct symbols against all counts, method C
 context are excluded there. Symbols that a context has seen are a subset of those of its suffix, so what is excluded depends
 on the longer context alone, and each context keeps its escape and its exclusions as sums of logarithms.
 
-Counts are made by Spark over all training texts and no node is dropped. Nodes and contexts are tables sharded by path; the
-paths of the texts, added up per text, meet their logarithms in a join. Only paths that are at least one in HOT_SHARE of all
-symbols are sent to the tasks, which looks them up without a join and changes no result."""
+Counts are made by Spark over all training texts and no node is dropped. Nodes and contexts are tables sharded by path. Each
+path of a block of texts meets its logarithm once in a join, with the texts that hold it as an array. Only paths that are at
+least one in HOT_SHARE of all symbols are sent to the tasks, which looks them up without a join and changes no result."""
 
 from __future__ import annotations
 
@@ -17,20 +17,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from pricelens.llm.byte_paths import SLAB, Table, counted, key, slabs
 from pricelens.llm.common import raw_texts, remainder, slices, written
 
 #: Bytes of a trie path: a context of up to five and the symbol after it.
 DEPTH = 6
-#: Where it is set, a node stays only if at least one in so many symbols is it. None keeps all.
-NODE_SHARE = None
 #: A path that is looked up in the tasks, or a frequent word, is at least one in so many symbols or words.
 HOT_SHARE = 1 << 20
 WORD_SHARE = 1 << 19
 #: Longer words go the way of rare ones, so that the frequent ones' table is bounded in bytes too.
 LONGEST_FREQUENT = 64
+#: Bytes of neighbouring texts whose equal paths and rare words go into the join as one row, and uses that such rows hold
+#: before they are sent on; a longer text is a block of its own.
+BLOCK = 8 << 20
+MOST_USES = 1 << 22
+#: Rows of one Arrow batch on the way to the join.
+ROWS = 1 << 16
 
 #: The end token's key; no word holds a space.
 END = b" "
@@ -88,16 +92,15 @@ def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
     for d in range(DEPTH - 1, 0, -1):
         sums.insert(0, written(sums[0].groupBy(_last("path", d).alias("path")).agg(F.sum("n").alias("n")), "nodes"))
     size = sums[0].agg(F.sum("n")).first()[0] or 0
-    nodes = [x.where(F.col("n") >= size / NODE_SHARE) for x in sums] if NODE_SHARE else sums
     contexts: list[DataFrame] = []
-    for length, own in enumerate(nodes):
+    for length, own in enumerate(sums):
         own = own.withColumn("context", F.shiftright("path", 8))
         sizes = [F.sum("n").cast("double").alias("total"), F.count("*").cast("double").alias("distinct")]
         if not length:
             found = own.groupBy("context").agg(*sizes).withColumns({"gone": F.lit(0.0), "divided": F.lit(0.0)})
         else:
             # the suffix context's counts of the symbols seen here, and what is left of it without them
-            below = nodes[length - 1].toDF("suffix", "below")
+            below = sums[length - 1].toDF("suffix", "below")
             up = contexts[-1].select(*[F.col(c).alias(f"up_{c}") for c in ("context", "total", "distinct", "gone")])
             found = own.withColumn("suffix", _last("path", length)).join(below, "suffix")
             found = found.groupBy("context").agg(*sizes, F.sum("below").alias("excluded"))
@@ -113,7 +116,7 @@ def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
             (F.log10("distinct") - den + F.col("gone")).alias("fall"), (F.col("divided") + F.col("gone")).alias("skip"),
         )
         contexts.append(written(found, "contexts"))
-    return nodes, contexts, size
+    return sums, contexts, size
 
 
 def unseen_paths(paths: DataFrame, nodes: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
@@ -163,21 +166,35 @@ class Hot:
     def __init__(self, paths: np.ndarray, values: np.ndarray):
         self.table, self.values = Table(key(paths.astype(np.uint64), DEPTH)), np.append(values, 0.0)
 
-    def texts(self, raws: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """The sum for each text over its paths that are here; (text, path, times) of all others."""
-        totals, others = np.zeros(len(raws)), []
+    def texts(self, raws: list[bytes], most: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The sum for each text over its paths that are here; all others as groups of about `most` `uses`."""
+        totals, groups, held, n = np.zeros(len(raws)), [], [], 0
         for found, starts, of in slabs(raws, DEPTH):
             at = self.table.find(key(found, DEPTH))
             np.add.at(totals, of, np.add.reduceat(self.values[at], starts))  # -1 is the 0 at the end
             left = np.flatnonzero(at < 0)
-            if not len(left):
-                continue
-            text, path = np.repeat(of, np.diff(np.append(starts, len(found))))[left], found[left]
-            order = np.lexsort((path, text))
-            text, path = text[order], path[order]
-            first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (path[1:] != path[:-1])))
-            others.append((text[first], path[first].view(np.int64), np.diff(np.append(first, len(text)))))
-        return totals, others
+            text = np.repeat(np.array(of, np.int64), np.diff(np.append(starts, len(found))))
+            held.append((found[left], text[left]))
+            n += len(left)
+            if n >= most:
+                groups.append(uses(held))
+                held, n = [], 0
+        if n:
+            groups.append(uses(held))
+        return totals, groups
+
+
+def uses(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From parts of paths and the rising numbers of their texts: distinct paths, where the uses of each start (and the end),
+    and the uses, each a text's number above 32 bits that say how often the path is in it."""
+    path, text = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(path, kind="stable")  # leaves the texts of a path in order
+    path, text = path[order], text[order]
+    other = np.append(True, path[1:] != path[:-1])
+    first = np.flatnonzero(other | np.append(True, text[1:] != text[:-1]))
+    times = np.diff(np.append(first, len(path)))
+    starts = np.flatnonzero(other[first])
+    return path[first][starts].view(np.int64), np.append(starts, len(first)), (text[first] << 32) | times
 
 
 def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: int = 1) -> DataFrame:
@@ -208,72 +225,90 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_
     near_path = F.col("n") >= n_symbols / HOT_SHARE
     kept = direct.where(near_path).select("path", "value").toArrow()  # at most HOT_SHARE rows
     hot = spark.sparkContext.broadcast((kept["path"].to_numpy(), kept["value"].to_numpy()))
-    least = n_symbols / NODE_SHARE if NODE_SHARE else 0
-    novel = counts.where("path is not null").where((F.col("n") == 0) | (F.col("n") < least)).select("path")
+    novel = counts.where("path is not null and n = 0").select("path")
     paths = direct.where(~near_path).select("path", "value").union(unseen_paths(novel, nodes, contexts))
 
+    facts = StructType([
+        docs.schema["doc"], docs.schema["held_out"], StructField("n_tokens", LongType()), StructField("known", LongType()),
+        StructField("base", DoubleType()), StructField("score", DoubleType()),
+    ])
     fields = [
-        StructField("key", LongType()), StructField("word", BinaryType()), StructField("path", LongType()),
-        StructField("times", LongType()), docs.schema["doc"], docs.schema["held_out"], StructField("n_tokens", LongType()),
-        StructField("known", LongType()), StructField("base", DoubleType()), StructField("score", DoubleType()),
+        StructField("path", LongType()), StructField("word", BinaryType()), StructField("block", LongType()),
+        StructField("uses", ArrayType(LongType())), StructField("facts", facts),
     ]
     docs = docs.withColumn("key", F.monotonically_increasing_id())
 
     def run(batches):
         ppm, values = Hot(*hot.value), frequent.value
         for batch in batches:
-            for part in slices(batch, "text", SLAB):
+            for part in slices(batch, "text", BLOCK):
+                own = part.column("key").to_numpy()  # one after another, as they are of one partition
                 raws = raw_texts(part, "text")
-                total, others = ppm.texts(raws)
-                row, word, times, n_tokens, known, base = [], [], [], [], [], []
+                total, groups = ppm.texts(raws, MOST_USES)
+                rare: dict[bytes, list[int]] = {}
+                n_tokens, known, base = [], [], []
                 for i, raw in enumerate(raws):
                     found = raw.lower().split()
                     found.append(END)
                     logs = [values.get(w) for w in found]
-                    rare = Counter(w for w, x in zip(found, logs) if x is None)
                     seen = [x for x in logs if x is not None]
                     n_tokens.append(len(found))
                     known.append(len(seen))
                     base.append(sum(seen))
-                    row += [i] * len(rare)
-                    word += rare
-                    times += rare.values()
-                own, names = part.column("key"), [f.name for f in fields]
-
-                def rows(key, word, path, times, *rest):
-                    rest = rest or [pa.nulls(len(key), part.column(c).type) for c in ("doc", "held_out")] + [
-                        pa.nulls(len(key), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                    ]
-                    return pa.RecordBatch.from_arrays([key, word, path, times, *rest], names=names)
-
-                # one row for the document, under a path that nothing has, one for each rare word and for each other path
-                n, m = len(raws), len(row)
-                yield rows(
-                    own, pa.array([b""] * n, pa.binary()), pa.array(-2 - own.to_numpy()), pa.array([0] * n, pa.int64()),
+                    if len(seen) < len(found):
+                        for word, times in Counter(w for w, x in zip(found, logs) if x is None).items():
+                            rare.setdefault(word, []).append(i << 32 | times)
+
+                def rows(path, word, starts, uses, facts_=None):
+                    for at in range(0, len(path), ROWS):
+                        to = min(at + ROWS, len(path))
+                        own_uses = uses[starts[at] : starts[to]]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(path[at:to]),
+                                pa.array(word[at:to], pa.binary()) if word else pa.repeat(pa.scalar(b"", pa.binary()), to - at),
+                                pa.repeat(pa.scalar(int(own[0]), pa.int64()), to - at),
+                                pa.ListArray.from_arrays(pa.array((starts[at : to + 1] - starts[at]).astype(np.int32)), pa.array(own_uses)),
+                                facts_.slice(at, to - at) if facts_ else pa.nulls(to - at, facts_type),
+                            ],
+                            names=[f.name for f in fields],
+                        )
+
+                arrays = [
                     part.column("doc"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()),
                     pa.array(base, pa.float64()), pa.array(total),
-                )
-                yield rows(
-                    own.take(pa.array(row, pa.int64())), pa.array(word, pa.binary()), pa.array([-1] * m, pa.int64()), pa.array(times, pa.int64())
-                )
-                for at, path, times in others:
-                    yield rows(own.take(pa.array(at)), pa.repeat(pa.scalar(b"", pa.binary()), len(at)), pa.array(path), pa.array(times))
+                ]
+                of_docs = pa.StructArray.from_arrays(arrays, names=[f.name for f in facts])
+                facts_type = of_docs.type
+                # one row for each document, under a path that nothing has, for each rare word and for each other path
+                n = np.arange(len(raws) + 1)
+                yield from rows(-2 - own, None, n, n[:-1] << 32, of_docs)
+                sizes = np.cumsum([0] + [len(x) for x in rare.values()])
+                every = np.array([use for x in rare.values() for use in x], np.int64)
+                yield from rows(np.full(len(rare), -1), list(rare), sizes, every)
+                for path, starts, found in groups:
+                    yield from rows(path, None, starts, found)
 
     rows = docs.mapInArrow(run, StructType(fields))
-    table = words.where(~near).select("word", F.lit(-1).cast("long").alias("path"), F.col("n").cast("double").alias("x"))
-    table = table.union(paths.select(F.lit(b""), "path", "value"))
-    joined = rows.join(table, ["word", "path"], "left")
+    table = words.where(~near).select(F.lit(-1).cast("long").alias("path"), "word", F.col("n").cast("double").alias("x"))
+    table = table.union(paths.select("path", F.lit(b""), "value"))
+    # by path first: the word is empty but for rare words, and sorts compare the first key fastest
+    joined = rows.join(table, ["path", "word"], "left")
+    used = joined.select(
+        "path", "x", "block", F.explode("uses").alias("use"), *[F.col("facts")[f.name].alias(f.name) for f in facts]
+    )
+    times = F.col("use").bitwiseAND(F.lit((1 << 32) - 1))
     each = F.log10((F.coalesce("x", F.lit(0.0)) + 0.5) / F.lit(float(divided)))
     is_word, is_path = F.col("path") == -1, F.col("path") >= 0
     return (
-        joined.groupBy("key")
+        used.groupBy((F.col("block") + F.shiftright("use", 32)).alias("key"))
         .agg(
             F.first("doc", ignorenulls=True).alias(doc_id),
             F.first("held_out", ignorenulls=True).alias("held_out"),
             F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.when(is_word, F.when(F.col("x") > 0, F.col("times")).otherwise(0)).otherwise(F.coalesce("known", F.lit(0)))).alias("n_known"),
-            F.sum(F.when(is_word, F.col("times") * each).otherwise(F.coalesce("base", F.lit(0.0)))).alias("base_score"),
-            F.sum(F.when(is_path, F.col("times") * F.col("x")).otherwise(F.coalesce("score", F.lit(0.0)))).alias("score"),
+            F.sum(F.when(is_word, F.when(F.col("x") > 0, times).otherwise(0)).otherwise(F.coalesce("known", F.lit(0)))).alias("n_known"),
+            F.sum(F.when(is_word, times * each).otherwise(F.coalesce("base", F.lit(0.0)))).alias("base_score"),
+            F.sum(F.when(is_path, times * F.col("x")).otherwise(F.coalesce("score", F.lit(0.0)))).alias("score"),
         )
         .select(doc_id, "held_out", "n_tokens", "n_known", F.lit(size).cast("long").alias("train_tokens"), "base_score", "score")
     )

@@ -159,19 +159,13 @@ def test_wu_manber_finds_what_comparison_finds(doc, items):
 class PlainPpm:
     """Prediction by partial matching with sets, symbol by symbol."""
 
-    def __init__(self, raws, share=None):
+    def __init__(self, raws):
         self.after = defaultdict(Counter)
         for raw in raws:
             whole = b"\xff" * (lm_scoring.DEPTH - 1) + raw + b"\xff"
             for i in range(lm_scoring.DEPTH - 1, len(whole)):
                 for n in range(lm_scoring.DEPTH):
                     self.after[whole[i - n : i]][whole[i]] += 1
-        if share:
-            size = sum(self.after[b""].values())
-            for context, seen in list(self.after.items()):
-                self.after[context] = Counter({s: n for s, n in seen.items() if n >= size / share})
-                if not self.after[context]:
-                    del self.after[context]
 
     def symbol(self, history, symbol):
         p, excluded = 1.0, set()
@@ -198,7 +192,7 @@ class PlainPpm:
 
 def plain_scores(rows):
     training = [(t or "").encode() for d, t in rows if crc(d) != 1]
-    ppm = PlainPpm(training, lm_scoring.NODE_SHARE)
+    ppm = PlainPpm(training)
     counts = Counter(w for raw in training for w in raw.lower().split())
     counts[None] += len(training)
     if not training:
@@ -210,10 +204,10 @@ def plain_scores(rows):
         yield d, crc(d) == 1, len(words), sum(counts[w] > 0 for w in words), n, base, ppm.text((t or "").encode())
 
 
-@pytest.mark.parametrize("shares", [(1 << 20, 1 << 19), (200, 20)])
-def test_lm_scores_equal_plain_ppm(spark, docs, monkeypatch, shares):
-    monkeypatch.setattr(lm_scoring, "NODE_SHARE", shares[0])
-    monkeypatch.setattr(lm_scoring, "WORD_SHARE", shares[1])
+@pytest.mark.parametrize("share, block, uses, rows", [(1 << 19, 8 << 20, 1 << 22, 1 << 16), (20, 4000, 50, 7)])
+def test_lm_scores_equal_plain_ppm(spark, docs, monkeypatch, share, block, uses, rows):
+    for name, value in (("WORD_SHARE", share), ("HOT_SHARE", share), ("BLOCK", block), ("MOST_USES", uses), ("ROWS", rows)):
+        monkeypatch.setattr(lm_scoring, name, value)
     rows = [(r[0], r[1][:3000] if r[1] else r[1]) for r in EDGE_DOCS]
     out = lm_scoring.scores(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")).collect()
     order = lambda r: tuple(str(x) for x in r[:4]) + (round(r[6], 6),)
