@@ -416,23 +416,69 @@ def test_quality_on_held_out_labels(spark):
 # -- 5 exact duplicates -----------------------------------------------------------------------------------------------
 
 
-def test_exact_dedup_edges(spark, docs, empty):
-    index = exact_dedup.DigestIndex(spark, f"digest_test_{uuid4().hex}", buckets=2)
+def plain_groups(rows):
     groups = defaultdict(list)
-    for d, t, *_ in EDGE_DOCS:
+    for d, t in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((d, t or ""))
-    expected = Counter()
-    for text, rows in groups.items():
-        keep = min(rows, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0))[0]
-        for d, _ in rows:
-            expected[d, keep, len(rows), d == keep, hashlib.sha256(text.encode()).hexdigest()] += 1
+    for text, of in groups.items():
+        keep = min(of, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0))[0]
+        for d, _ in of:
+            yield d, keep, len(of), d == keep, hashlib.sha256(text.encode()).hexdigest()
+
+
+def digest_index(spark, buckets=2):
+    return exact_dedup.DigestIndex(spark, f"digest_test_{uuid4().hex}", buckets=buckets)
+
+
+def test_exact_dedup_edges(spark, docs, empty):
+    index = digest_index(spark)
+    expected = Counter(plain_groups([r[:2] for r in EDGE_DOCS]))
     assert Counter(map(tuple, index.add(docs).collect())) == expected
     again = index.add(docs.where("doc_id in (1, 8)")).collect()
     assert len(again) == 3 and not any(r["kept"] for r in again)
     new = index.add(spark.createDataFrame([(50, "something new"), (51, "quick brown fox")], "doc_id long, text string"))
     assert [r["kept"] for r in new.collect()] == [True, True]
-    assert index.rows().count() == len(groups) + 2
-    assert exact_dedup.DigestIndex(spark, f"digest_test_{uuid4().hex}", buckets=2).add(empty).count() == 0
+    assert index.rows().count() == len({r[4] for r in expected}) + 2
+    assert digest_index(spark).add(empty).count() == 0
+
+
+#: Copies that differ in white space, so that they come in different parts, and one text of a third of all rows.
+SPACED = [(d, "same text" + " " * (d % 7)) for d in range(40)] + [(100 + d, f"text {d // 2}" + "\t" * (d % 2)) for d in range(60)] + [
+    (None, "same text" + " " * 6), (3, "same text   "), (200, None), (201, " \n"), (202, "")
+]
+
+
+@pytest.mark.parametrize("parts, hot", [(1, 1000), (5, 1000), (5, 4)])
+def test_copies_in_later_parts_are_met_by_the_anti_join(spark, monkeypatch, parts, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    index, frame = digest_index(spark), spark.createDataFrame(SPACED, "doc_id long, text string")
+    expected = Counter(plain_groups(SPACED))
+    assert Counter(map(tuple, index.add(frame, parts=parts).collect())) == expected
+    # without the anti-join a digest would be there once for each part that has it
+    assert index.rows().count() == len({r[4] for r in expected})
+
+
+def test_a_stopped_batch_can_be_repeated(spark, monkeypatch):
+    index, frame = digest_index(spark, None), spark.createDataFrame(SPACED, "doc_id long, text string")
+    index.add(spark.createDataFrame([(900, "text 7")], "doc_id long, text string"), batch="first")
+    append, calls = exact_dedup.DigestIndex._append, []
+
+    def stops(self, rows, buckets):
+        calls.append(buckets)
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        append(self, rows, buckets)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(exact_dedup.DigestIndex, "_append", stops)
+        with pytest.raises(RuntimeError, match="stopped"):
+            index.add(frame, batch="second")
+    assert index.rows().where("batch = 'second'").count() > 0 and set(calls) == {exact_dedup.BUCKETS}
+    seven = hashlib.sha256(b"text7").hexdigest()
+    expected = Counter((d, 900 if x == seven else k, n, kept and x != seven, x) for d, k, n, kept, x in plain_groups(SPACED))
+    for _ in range(2):  # and once more when it is done
+        assert Counter(map(tuple, index.add(frame, batch="second").collect())) == expected
+    assert index.rows().count() == len({r[4] for r in expected})
 
 
 def test_exact_dedup_runs_no_python(spark):
