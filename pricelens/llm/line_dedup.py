@@ -1,8 +1,9 @@
 """Lines repeated across documents, over levelled sorted runs of line hashes.
 
-A run is a table sorted by hash with, for each key of its batch, the number of documents and the last document. A new batch is
-anti-joined by merge with the runs, which marks the keys not seen before, and becomes a run itself. Where a level has
-enough runs they are merged into one run of the next level."""
+A run is a table sorted by hash with, for each of its keys, the number of documents and the last document. A new batch is
+anti-joined by merge with the runs: the keys that none of them has become a run themselves, so a key is in one run only. Keys
+that a run has already are kept apart, as further documents of that run's row. Where a level has enough runs they are merged
+into one run of the next level."""
 
 from __future__ import annotations
 
@@ -36,27 +37,26 @@ def line_key(line: bytes) -> bytes | None:
 
 
 class LineRuns:
-    """Runs hold hi, lo (the hash), n_docs, last_doc and is_new. Batches hold disjoint documents."""
+    """Runs hold hi, lo (the hash), n_docs and last_doc of the batch that first had the key, and `further` the same of later
+    batches. Batches hold disjoint documents."""
 
     def __init__(self, fanout: int = FANOUT):
         self.fanout = fanout
         self.levels: list[list[DataFrame]] = [[]]
+        self.further: list[DataFrame] = []
 
     def _runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Adds a batch of distinct (hi, lo, doc). Returns its run; is_new marks keys in no earlier run."""
+        """Adds a batch of distinct (hi, lo, doc). Returns its run: the keys that no earlier batch had."""
         batch = keys.groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
         seen = self._runs()
         if seen:
             batch = written(batch, "batch")
-            known = _union(seen).select(*_KEY)
-            new = batch.join(known.hint("merge"), list(_KEY), "left_anti").withColumn("is_new", F.lit(True))
-            old = batch.join(known.hint("merge"), list(_KEY), "left_semi").withColumn("is_new", F.lit(False))
-            batch = new.unionByName(old)
-        else:
-            batch = batch.withColumn("is_new", F.lit(True))
+            known = _union(seen).select(*_KEY).hint("merge")
+            self.further.append(written(batch.join(known, list(_KEY), "left_semi"), "further"))
+            batch = batch.join(known, list(_KEY), "left_anti")
         run = written(batch.sortWithinPartitions(*_KEY), "run")
         self.levels[0].append(run)
         self._compact()
@@ -67,12 +67,21 @@ class LineRuns:
             if len(runs) >= self.fanout:
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(written(_merged(runs).sortWithinPartitions(*_KEY), "run"))
+                one = _union(runs).repartition(*_KEY).sortWithinPartitions(*_KEY)
+                self.levels[level + 1].append(written(one, "run"))
                 self.levels[level] = []
 
-    def merged(self) -> DataFrame:
-        """One row per key: hi, lo, n_docs, last_doc, is_new."""
-        return _merged(self._runs())
+    def held_by(self, least: int) -> DataFrame:
+        """One row per key that at least so many documents hold: hi, lo, n_docs, last_doc."""
+        rows = _union(self._runs())
+        if self.further:
+            more = _union(self.further).groupBy(*_KEY).agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
+            rows = rows.join(more, list(_KEY), "left").select(
+                *_KEY,
+                (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"),
+                F.greatest("last_doc", "later").alias("last_doc"),
+            )
+        return rows.where(F.col("n_docs") >= least)
 
 
 def _union(runs: list[DataFrame]) -> DataFrame:
@@ -82,16 +91,6 @@ def _union(runs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _merged(runs: list[DataFrame]) -> DataFrame:
-    if len(runs) == 1:
-        return runs[0]
-    return (
-        _union(runs)
-        .groupBy(*_KEY)
-        .agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("is_new").alias("is_new"))
-    )
-
-
 def line_keys(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct (hi, lo, doc) of all lines whose keys are long enough."""
     docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
@@ -137,7 +136,7 @@ def without_repeated_lines(
     runs = LineRuns()
     for i in range(batches):
         runs.add(keys.where(F.col("batch") == i).drop("batch"))
-    repeated = runs.merged().where(F.col("n_docs") >= least_documents).select(*_KEY, "last_doc")
+    repeated = runs.held_by(least_documents).select(*_KEY, "last_doc")
     gone = (
         keys.join(repeated, list(_KEY))
         .where(~F.col("doc").eqNullSafe(F.col("last_doc")))
