@@ -386,19 +386,45 @@ def plain_kneser_ney(raws):
     return p
 
 
-def test_quality_model_equals_plain_kneser_ney(spark, sf_texts):
+@pytest.mark.parametrize("share, block, held, rows", [(1 << 21, 32 << 20, 1 << 22, 1 << 16), (1, 500, 40, 7), (1 << 10, 2000, 300, 50)])
+def test_quality_model_equals_plain_kneser_ney(spark, sf_texts, monkeypatch, share, block, held, rows):
+    """Whatever is looked up in the tasks, and however the rest is cut on its way to the join."""
+    for name, value in (("HOT_SHARE", share), ("BLOCK", block), ("MOST_HELD", held), ("ROWS", rows)):
+        monkeypatch.setattr(quality, name, value)
     texts = [t[:400] for _, t in sorted(sf_texts.items())[:30]]
     p = plain_kneser_ney([t.encode() for t in texts])
     model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    tried = [b"", "größe Äx".encode(), texts[0].encode(), sorted(sf_texts.items())[40][1][:300].encode()]
-    n, found = quality.Scorer(model).texts(tried)
-    for raw, perplexity in zip(tried, found):
+    tried = [None, "", "größe Äx", texts[0], texts[0], "\x00 漢字 🙂", sorted(sf_texts.items())[40][1][:300]]
+    rows = [(i, t, "own", i) for i, t in enumerate(tried)]
+    docs = spark.createDataFrame(rows, "id long, text string, own string, perplexity long").coalesce(1)
+    out = quality.perplexities(docs, model)
+    assert out.columns == ["id", "own", "n_symbols", "perplexity"]
+    found = {r["id"]: r for r in out.collect()}
+    assert len(found) == len(tried) and {r["own"] for r in found.values()} == {"own"}
+    for i, text in enumerate(tried):
+        raw = (text or "").encode()
         whole = b"\xff" * (quality.ORDER - 1) + raw + b"\xff"
         logs = [math.log10(p(whole[:i], whole[i])) for i in range(quality.ORDER - 1, len(whole))]
-        assert perplexity == pytest.approx(10 ** (-sum(logs) / len(logs)), rel=1e-9)
+        assert found[i]["n_symbols"] == len(raw) + 1
+        assert found[i]["perplexity"] == pytest.approx(10 ** (-sum(logs) / len(logs)), rel=1e-9)
     assert sum(p(b"\xff" * 4, s) for s in range(256)) == pytest.approx(1)
 
 
+def test_quality_keeps_what_is_rare(spark):
+    """An n-gram that training holds once among over two million is joined with its own probability."""
+    texts, tried = ["abcdefgh " * 250_000, "wxyzv"], ["wxyzv", "vzyxw", "abcdefghi"]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert model.grams[-1].count() > len(model.hot[0]) > 0
+    p = plain_kneser_ney([t.encode() for t in texts])
+    docs = spark.createDataFrame(list(enumerate(tried)), "id long, text string")
+    found = [r["perplexity"] for r in quality.perplexities(docs, model).orderBy("id").collect()]
+    for text, perplexity in zip(tried, found):
+        whole = b"\xff" * (quality.ORDER - 1) + text.encode() + b"\xff"
+        logs = [math.log10(p(whole[:i], whole[i])) for i in range(quality.ORDER - 1, len(whole))]
+        assert perplexity == pytest.approx(10 ** (-sum(logs) / len(logs)), rel=1e-9)
+    assert found[0] < found[1]
+
+
 def test_quality_edges(docs, empty, labels):
     out = quality.classified(docs, labels).collect()
     assert len(out) == len(EDGE_DOCS) and all(r["perplexity"] > 0 for r in out)
