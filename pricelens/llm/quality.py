@@ -29,8 +29,9 @@ MOST_TRUSTED = 40_000
 QUANTILE, RANKS = 0.99, 10_000
 #: Remainders of crc32(id as text) modulo 5: held out, for the thresholds; the others train.
 HELD_OUT, CALIBRATION = 0, 1
-#: Bytes of neighbouring texts whose equal n-grams go into the join as one row, and n-grams or uses that a task holds.
-BLOCK, MOST_HELD = 32 << 20, 1 << 22
+#: Bytes of neighbouring texts whose equal n-grams go into the join as one row; uses and distinct n-grams that a task holds
+#: before it sends them on.
+BLOCK, MOST_USES, MOST_HELD = 16 << 20, 1 << 20, 1 << 21
 #: Rows of one Arrow batch on the way to the join.
 ROWS = 1 << 16
 
@@ -206,7 +207,7 @@ def perplexities(docs: DataFrame, model: Model, *, text: str = "text") -> DataFr
                     left = np.flatnonzero(at < 0)
                     held.append((found[left], np.repeat(np.array(of, np.int64), np.diff(np.append(starts, len(found))))[left]))
                     n += len(left)
-                    if n >= MOST_HELD:
+                    if n >= MOST_USES:
                         yield from rows(block, *uses(held))
                         held, n = [], 0
                 if n:

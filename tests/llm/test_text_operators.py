@@ -389,7 +389,7 @@ def plain_kneser_ney(raws):
 @pytest.mark.parametrize("share, block, held, rows", [(1 << 21, 32 << 20, 1 << 22, 1 << 16), (1, 500, 40, 7), (1 << 10, 2000, 300, 50)])
 def test_quality_model_equals_plain_kneser_ney(spark, sf_texts, monkeypatch, share, block, held, rows):
     """Whatever is looked up in the tasks, and however the rest is cut on its way to the join."""
-    for name, value in (("HOT_SHARE", share), ("BLOCK", block), ("MOST_HELD", held), ("ROWS", rows)):
+    for name, value in (("HOT_SHARE", share), ("BLOCK", block), ("MOST_USES", held), ("MOST_HELD", held), ("ROWS", rows)):
         monkeypatch.setattr(quality, name, value)
     texts = [t[:400] for _, t in sorted(sf_texts.items())[:30]]
     p = plain_kneser_ney([t.encode() for t in texts])
