@@ -1,10 +1,11 @@
 """Toxic clauses by a weighted finite-state grammar.
 
-A lexical transducer tags the words of a clause: insult, threat, target, negation, report, or none of them. Four small
-transducers over tags are composed into one: a negation, a reporting word or a target changes how the insult or threat
-after it counts, and a threat counts where a target follows. The composed machine runs over each clause; its matches add
-up by kind with the weights of their words, and the kinds' weights make the score. Insults and their weights are
-learned, as whole words and as word beginnings."""
+A lexical transducer tags the words of a clause: insult, threat, target, negation, report, or none of them. A transducer
+that reads the clause from its end marks insults and threats with a target after them; three that read it from its
+beginning are composed into one, which says what is negated, reported or has a target before it. Matches add up by kind with
+the weights of their words, and the kinds' weights make the score: a threat counts only with a target after it, and what is
+negated or reported never counts more than half of a plain insult, nor a directed one less than it. Insults and their weights
+are learned, as whole words and as word beginnings."""
 
 from __future__ import annotations
 
@@ -48,8 +49,13 @@ KINDS = ("insult", "directed", "negated", "reported", "threat")
 MOST, STEP = 12.0, 0.25
 #: Words that a cue reaches.
 REACH = 3
-#: Weights before any label is seen, with the intercept last.
-PRIOR = np.array([1.0, 1.2, 0.5, 0.5, 1.0, -3.0])
+#: From parts, of which all but the last are 0 or more, to the kinds' weights with the intercept last: an insult's weight, what
+#: a target adds to it, what a negation and a report take from its half, and what a threat has beyond it.
+PARTS = np.array([
+    [1.0, 0, 0, 0, 0, 0], [1.0, 1, 0, 0, 0, 0], [0.5, 0, -1, 0, 0, 0], [0.5, 0, 0, -1, 0, 0], [1.0, 0, 0, 0, 1, 0], [0, 0, 0, 0, 0, 1],
+])
+#: The parts before any label is seen.
+PRIOR = np.array([1.0, 0.2, 0.0, 0.0, 0.0, -3.0])
 #: The weight of a fixed insult that no label speaks of, and of a threat.
 FIXED_WEIGHT = 3.0
 #: How many times more often than others toxic texts hold a term that is learned, and the likelihood ratio it needs (both as logarithms).
@@ -58,7 +64,7 @@ LEAST_WEIGHT, LEAST_EVIDENCE = 1.0, 14.0
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that can be learned.
-BEGINNINGS = range(4, 9)
+BEGINNINGS = range(6, 9)
 
 
 @dataclass
@@ -69,16 +75,23 @@ class Machine:
     step: object
 
 
+def _ahead(state, tag):
+    """Read from the clause's end: a target's reach backwards."""
+    if tag == TARGET:
+        return REACH, tag
+    return max(0, state - 1), f"t{tag}" if state and tag in (INSULT, THREAT) else tag
+
+
 def _negation(state, tag):
     if tag == NEGATION:
         return REACH, tag
-    return max(0, state - 1), f"n{tag}" if state and tag in (INSULT, THREAT) else tag
+    return max(0, state - 1), f"n{tag}" if state and tag[-1] in (INSULT, THREAT) else tag
 
 
 def _report(state, tag):
     if tag == REPORT:
         return 1, tag
-    return state, f"r{tag[-1]}" if state and tag[-1] in (INSULT, THREAT) else tag
+    return state, f"r{tag.removeprefix('n')}" if state and tag[-1] in (INSULT, THREAT) else tag
 
 
 def _target(state, tag):
@@ -87,15 +100,6 @@ def _target(state, tag):
     return max(0, state - 1), f"t{tag}" if state and tag == INSULT else tag
 
 
-def _threat(state, tag):
-    """A threat waits for a target; state counts the words it still waits."""
-    if tag in (THREAT, f"t{THREAT}"):
-        return REACH, OTHER
-    if state and tag == TARGET:
-        return 0, "threat"
-    return max(0, state - 1), tag
-
-
 def compose(machines: list[Machine], tags: list[str]) -> tuple[list[dict[str, tuple[int, str]]], list[str]]:
     """The transducer that runs the machines one on the other's output: a table of states, state 0 first."""
     first = tuple(m.start for m in machines)
@@ -116,12 +120,13 @@ def compose(machines: list[Machine], tags: list[str]) -> tuple[list[dict[str, tu
     return table, todo
 
 
-GRAMMAR = compose(
-    [Machine(0, _negation), Machine(0, _report), Machine(0, _target), Machine(0, _threat)],
-    [INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER],
-)[0]
+TAGS = [INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER]
+#: From the end of a clause, and then from its beginning.
+BACKWARD = compose([Machine(0, _ahead)], TAGS)[0]
+FORWARD = compose([Machine(0, _negation), Machine(0, _report), Machine(0, _target)], [*TAGS, f"t{INSULT}", f"t{THREAT}"])[0]
 
-_KIND = {"I": 0, "tI": 1, "nI": 2, "nX": 2, "rI": 3, "rX": 3, "threat": 4}
+#: The kinds of matches; a threat without a target after it is none.
+_KIND = {"I": 0, "tI": 1, "nI": 2, "ntI": 2, "ntX": 2, "rI": 3, "rtI": 3, "rtX": 3, "tX": 4}
 
 
 @dataclass
@@ -165,14 +170,17 @@ def matches(text: str, lexicon: Lexicon) -> list[float]:
         found = _WORD.findall(clause)
         if cues.isdisjoint(found):
             continue
+        marks, state = [], 0
+        for word in reversed(found):
+            state, out = BACKWARD[state][tag(word)[0]]
+            marks.append(out)
         state = 0
-        for word in found:
-            own, weight = tag(word)
-            state, out = GRAMMAR[state][own]
+        for word, mark in zip(found, reversed(marks)):
+            state, out = FORWARD[state][mark]
             kind = _KIND.get(out)
             if kind is not None and (kind, word) not in seen:
                 seen.add((kind, word))
-                sums[kind] += weight or FIXED_WEIGHT  # a threat ends with its target, which has no weight
+                sums[kind] += tag(word)[1]
     return [min(x, MOST) // STEP * STEP for x in sums]
 
 
@@ -190,8 +198,8 @@ class Model:
 _HELD = 400_000
 #: Labelled documents of each label that the model learns from, at most; taken by the order of the ids' hash.
 MOST_LABELLED = 40_000
-#: Most entries of each part of the learned lexicon: the classifier's size bound.
-MOST_TERMS = 20_000
+#: Tasks that the sample, which is bounded, is dealt to.
+_TASKS = 64
 
 
 def _term_counts(labelled: DataFrame) -> DataFrame:
@@ -246,15 +254,16 @@ def fit(
     """Learns from labelled documents whose crc32(id as text) modulo 5 is not `held_out`, at most `most` of each label.
 
     Of texts that are equal one counts, so that copies lend a word no weight. A term is learned as an insult if toxic
-    texts hold it clearly more often (LEAST_WEIGHT, LEAST_EVIDENCE); the `MOST_TERMS` words and beginnings with the most evidence
-    are kept. The kinds' weights are a ridge regression around PRIOR, its intercept moved to the share of toxic labels
-    before the bound. Rows without a label, with a null id or without a text teach nothing. An id labelled twice is
+    texts hold it clearly more often (LEAST_WEIGHT, LEAST_EVIDENCE); all such terms are kept, and as each stands in many toxic texts
+    of the sample, the sample's bound bounds them. The kinds' weights are a ridge regression around PRIOR in the order that
+    PARTS sets, its intercept moved to the share of toxic labels before the bound; a kind that no labelled text holds
+    keeps what PRIOR and the insult's weight give it. Threats, targets, negations and reports are fixed lists. Rows without a label, with a null id or without a text teach nothing. An id labelled twice is
     toxic if one label says so. Without labels the fixed words and PRIOR are the model."""
     others = tuple(r for r in range(5) if r != held_out)
     labelled = written(
         labelled_sample(docs, labels, label, doc_id=doc_id, text=text, remainders=others, most=most).withColumnRenamed(
             "label", "toxic"
-        ),
+        ).repartition(_TASKS),
         "labelled",
     )
     n, toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -271,8 +280,6 @@ def fit(
             .where("toxic > 0")
             .select("term", "beginning", F.log(here / there).alias("weight"), evidence.alias("evidence"))
             .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE))
-            .orderBy(F.desc("evidence"), "term", "beginning")
-            .limit(MOST_TERMS)
             .collect()
         )
         for t in terms:
@@ -290,20 +297,25 @@ def fit(
 
 
 def _weights(table: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic weights by Newton steps; rows of sums by kind, then texts and toxic texts."""
-    w = PRIOR.copy()
+    """Logistic weights; rows of sums by kind, then texts and toxic texts. Newton steps over the parts that are free: one at 0
+    that would fall below stays."""
+    parts = PRIOR.copy()
     if not len(table):
-        return w
-    x = np.column_stack([table[:, :-2], np.ones(len(table))])
+        return PARTS @ parts
+    x = np.column_stack([table[:, :-2], np.ones(len(table))]) @ PARTS
     n, toxic = table[:, -2], table[:, -1]
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        gradient = x.T @ (toxic - n * p) - ridge * (w - PRIOR)
-        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + ridge * np.eye(len(w)), gradient)
-        w += np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-9:
+    least = np.append(np.zeros(len(parts) - 1), -np.inf)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ parts, -50, 50)))
+        gradient = x.T @ (toxic - n * p) - ridge * (parts - PRIOR)
+        free = (parts > least) | (gradient > 0)
+        curve = (x.T * (n * p * (1 - p))) @ x + ridge * np.eye(len(parts))
+        step = np.zeros(len(parts))
+        step[free] = np.linalg.solve(curve[np.ix_(free, free)], gradient[free])
+        before, parts = parts, np.maximum(parts + np.clip(step, -1, 1), least)
+        if np.abs(parts - before).max() < 1e-9:
             break
-    return w
+    return PARTS @ parts
 
 
 #: The matches column.
@@ -327,8 +339,8 @@ def scores(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """Adds score (double, 0 to 1), predicted (int, 1 from 0.5 on) and matches (map from kind to its sum of weights).
 
     A null or empty text matches nothing and gets the score of that. Scores come from the text alone, whole. Repeated
-    rows stay. Other columns stay; one named like a new one is replaced. The model's lexicon is bounded by MOST_TERMS
-    and is sent to the tasks."""
+    rows stay. Other columns stay; one named like a new one is replaced. The model's lexicon is bounded by the sample it is
+    learned from (MOST_LABELLED) and is sent to the tasks."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

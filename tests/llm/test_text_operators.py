@@ -515,18 +515,72 @@ def test_exact_dedup_runs_no_python(spark):
 # -- 6 toxicity -------------------------------------------------------------------------------------------------------
 
 
+LEXICON = toxicity.Lexicon({"idiot": 1.0, "clown": 2.25}, {"moroni": 2.0, "moronica": 9.0})
+
+
+def plain_matches(text):
+    """Kinds by looking at the words around each insult and threat."""
+    sums = Counter()
+    for kind, word, weight in {m for clause in re.split(r"[.!?;:\n]", text.lower()) for m in plain_clause(re.findall(r"[^\W\d_]+", clause))}:
+        sums[kind] += weight
+    return [min(sums[k], toxicity.MOST) // toxicity.STEP * toxicity.STEP for k in toxicity.KINDS]
+
+
+def plain_clause(words):
+    def weight(w):
+        return LEXICON.words.get(w) or (9.0 if w.startswith("moronica") and len(w) > 8 else 2.0 if w.startswith("moroni") and len(w) > 6 else None)
+
+    for i, w in enumerate(words):
+        before, after = words[max(0, i - 3) : i], words[i + 1 : i + 4]
+        insult, threat = weight(w), w in toxicity.THREATS and any(x in toxicity.TARGETS for x in after)
+        if insult or threat:
+            if any(x in toxicity.REPORTS for x in words[:i]):
+                kind = "reported"
+            elif any(x in toxicity.NEGATIONS for x in before):
+                kind = "negated"
+            elif threat and not insult:
+                kind = "threat"
+            else:
+                kind = "directed" if any(x in toxicity.TARGETS for x in before + after) else "insult"
+            yield kind, w, insult or toxicity.FIXED_WEIGHT
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from("idiot clown moronic moronically moroni kill hurt you er not nie said dijo the a big . ! \n 7".split(" ")), max_size=25))
+@example("kill the lights you see".split())
+@example("you kill not you idiot you said kill you".split())
+def test_grammar_equals_plain(words):
+    text = " ".join(words)
+    assert toxicity.matches(text, LEXICON) == plain_matches(text)
+
+
 def test_toxic_clauses():
-    lexicon = toxicity.Lexicon({"idiot": 1.0}, {"moro": 2.0, "mor": 9.0})
-    count = lambda t: dict(zip(toxicity.KINDS, toxicity.matches(t, lexicon)))
-    none = dict.fromkeys(toxicity.KINDS, 0)
-    assert count("An IDIOT. What moronic weather") == none | {"insult": 3}
-    assert count("you are an idiot") == none | {"directed": 1}
-    assert count("you are not an idiot") == none | {"negated": 1}
-    assert count("he said you idiot") == none | {"reported": 1}
-    assert count("he said so. idiot") == none | {"insult": 1}
-    assert count("we will kill you") == none | {"threat": toxicity.FIXED_WEIGHT}
-    assert count("kill the lights") == none
-    assert count("") == none
+    count = lambda t: {k: x for k, x in zip(toxicity.KINDS, toxicity.matches(t, LEXICON)) if x}
+    assert count("An IDIOT. What moronic weather, a path, moroni") == {"insult": 3}
+    assert count("you are an idiot") == {"directed": 1} == count("what an idiot you are")
+    assert count("you are not an idiot") == {"negated": 1}
+    assert count("he said you idiot") == {"reported": 1}
+    assert count("he said so. idiot") == {"insult": 1}
+    assert count("we will kill you") == {"threat": toxicity.FIXED_WEIGHT}
+    assert count("we will not hurt you") == {"negated": toxicity.FIXED_WEIGHT}
+    assert count("kill the lights, never kill the lights") == {} == count("")
+
+
+def test_clauses_decide_where_words_do_not(spark):
+    """The same insults, directed in toxic texts, negated or reported in others: no sum over toxic words tells them apart."""
+    insults, rows = ["idiot", "moron", "loser", "scum"], []
+    forms = [("you are such a {}", 1), ("what a {} you are", 1), ("you are not such a {}", 0), ("they wrote what a {} you are", 0)]
+    for i in range(400):
+        form, toxic = forms[i % 4]
+        rows.append((i, f"on day {'abcdefghij'[i // 40]} {form.format(insults[i // 4 % 4])} {'xyzuvw'[i % 6]}", toxic))
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    insult, directed, negated, reported, threat, _ = model.weights
+    assert directed >= insult > 0 and threat >= insult and max(negated, reported) <= insult / 2
+    out = toxicity.scores(rows, model).collect()
+    held = [r for r in out if crc(r["doc_id"]) == 0]
+    assert len(held) > 50 and [r for r in held if r["predicted"] != r["toxic"]] == []
+    assert {sum(r["matches"].values()) for r in held if "idiot" in r["text"]} == {toxicity.FIXED_WEIGHT}
 
 
 def test_toxicity_edges(docs, empty, labels):
