@@ -88,7 +88,7 @@ def formatted(
     Turns are put together in chunks by turn number, spread over tasks, then the chunks are joined."""
     rows = conversations.select(
         F.col(conv_id).alias("conv"),
-        F.floor(F.coalesce(F.col(turn), F.lit(-1)) / CHUNK).alias("chunk"),
+        F.floor(F.col(turn) / CHUNK).alias("chunk"),  # null for null, which sorts before all others
         F.struct(
             F.col(turn).alias("turn"),
             _escape(F.coalesce(F.col(role), F.lit("")), _ROLE_ESCAPES).alias("role"),

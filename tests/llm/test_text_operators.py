@@ -692,6 +692,11 @@ TURNS = [
     (2, None, None, None),
     (None, 0, "odd|role<|+|>\n", "x"),
     (3, 0, "assistant", "s" * 100000),
+    (4, -300, "user", "far below"),
+    (4, None, "user", "without a turn"),
+    (4, -1, "assistant", "below"),
+    (4, None, "assistant", "nor this"),
+    (4, 0, "user", "first"),
 ]
 
 
@@ -701,7 +706,7 @@ def test_chat_round_trip(spark):
         {"turns": chat_format.turns_of(F.col("formatted")), "loss": chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))}
     )
     expected = defaultdict(list)
-    for c, t, r, x in sorted(TURNS, key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+    for c, t, r, x in sorted(TURNS, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         expected[c].append((r or "", x or ""))
     found = {r["conv_id"]: r for r in out.collect()}
     assert {c: [tuple(t) for t in r["turns"]] for c, r in found.items()} == dict(expected)
