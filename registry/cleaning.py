@@ -16,6 +16,7 @@ from registry.dirty import (
     dirty_prices,
     write_raw_files,
     write_raw_lines,
+    write_whole_files,
 )
 from registry.mapping import read
 
@@ -142,13 +143,10 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(
         ",", "l_orderkey", "l_partkey", "l_suppkey", F.to_date("l_shipdate").cast("string")
     )
-    (
-        read(spark, sf_dir, "lineitem")
-        .select(F.concat("l_returnflag", F.lit(".csv")).alias("file"), line.alias("value"))
-        .repartition("file")  # so that a file is one part and its size no matter of chance
-        .write.partitionBy("file")
-        .text(f"{root}/raw")
+    lines = read(spark, sf_dir, "lineitem").select(
+        F.concat("l_returnflag", F.lit(".csv")).alias("file"), line.alias("value")
     )
+    write_whole_files(lines, f"{root}/raw")
     files.write_inventory(files.inventory(spark, f"{root}/raw"), f"{root}/inventory")
     listing = spark.read.schema("relative_path STRING, size_mb DOUBLE").csv(
         f"{root}/inventory", header=True

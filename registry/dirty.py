@@ -98,6 +98,29 @@ def write_raw_files(rows: DataFrame, root: str) -> None:
         )
 
 
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+# Files that a task has open at once; beyond, it sorts its rows by file.
+MAX_OPEN = 100
+
+
+def write_whole_files(lines: DataFrame, root: str) -> None:
+    """Write (file, value) rows as text files of one part each, so that a file's size is no matter of chance.
+
+    All rows of a file are written by one task, which passes them on as they come: Spark would sort them by file first,
+    and hold them all, unless a task may have several files open.
+    """
+    conf = lines.sparkSession.conf
+    before = conf.get(_WRITERS, None)
+    conf.set(_WRITERS, MAX_OPEN)
+    try:
+        lines.repartition("file").write.partitionBy("file").text(root)
+    finally:
+        if before is None:
+            conf.unset(_WRITERS)
+        else:
+            conf.set(_WRITERS, before)
+
+
 def write_raw_lines(lines: DataFrame, root: str) -> None:
     """Write (file, place, line) rows as they are, one part per file, its lines by place."""
     (
