@@ -18,6 +18,8 @@ from pricelens.functions.size import at_most
 from pricelens.tables import Tables, listed_companies
 
 QUOTES = ("open", "high", "low", "close", "adj_close", "volume")
+# Up to this many feeds their places are broadcast, two numbers each.
+MAX_FEEDS = 1_000_000
 
 def ordered_feeds(price_source: DataFrame) -> DataFrame:
     """source_id with its place in the priority order, 1 = best, unranked feeds last.
@@ -28,6 +30,16 @@ def ordered_feeds(price_source: DataFrame) -> DataFrame:
     return price_source.select("source_id", F.row_number().over(place).alias("feed_order"))
 
 
+def _with_feeds(prices: DataFrame, price_source: DataFrame) -> DataFrame:
+    """Prices with their feed's place, feeds broadcast if they are few.
+
+    There are few different feeds, so a shuffle by feed would bring most prices into a few tasks. Spark does not know
+    the size of every table that is handed in, so it is checked.
+    """
+    feeds = ordered_feeds(price_source)
+    return prices.join(F.broadcast(feeds) if at_most(price_source, MAX_FEEDS) else feeds, "source_id")
+
+
 def choice(columns) -> Column:
     """What is smallest for the row to take: its feed's place, then its quotes, whatever else is asked for.
 
@@ -51,7 +63,7 @@ def primary_price(
     """
     prices = between(price_daily, optional_date(start, "start"), optional_date(end, "end"))
     return (
-        prices.join(ordered_feeds(price_source), "source_id")
+        _with_feeds(prices, price_source)
         .groupBy("company_id", "trading_date")
         .agg(F.min(choice(prices.columns)).alias("best"))
         .select(
@@ -80,7 +92,7 @@ def latest_primary_trade(price_daily: DataFrame, price_source: DataFrame) -> Dat
     newest_first = (-F.unix_date("trading_date")).alias("age")
     first = F.struct(newest_first, choice(price_daily.columns).alias("row"), "trading_date")
     return (
-        price_daily.join(ordered_feeds(price_source), "source_id")
+        _with_feeds(price_daily, price_source)
         .groupBy("company_id")
         .agg(F.min(first).alias("newest"))
         .select(

@@ -63,6 +63,26 @@ def test_differing_copies_of_one_feed_give_one_row_whatever_the_order(spark):
     assert len(seen) == 1
 
 
+def test_prices_are_not_shuffled_by_their_few_feeds(spark, capsys):
+    """Also where Spark does not know how small the table of feeds is."""
+    daily = tables(spark, price_daily=[price(1, "2024-01-02", 9.0, 1), price(1, "2024-01-02", 8.0, 2), price(2, "2024-01-02", 1.0, 7)]).price_daily
+    feeds = spark.createDataFrame([(1, 2), (2, None), (3, 1)], "source_id long, priority_rank int")
+    for found in (prices.primary_price(daily, feeds), prices.latest_primary_trade(daily, feeds)):
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(source_id" not in plan
+        assert [r["company_id"] for r in found.collect()] == [1]
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_any_number_of_feeds_gives_the_same_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(prices, "MAX_FEEDS", most)
+    daily = tables(spark, price_daily=[price(1, "2024-01-02", 9.0, 1), price(1, "2024-01-02", 8.0, 2), price(2, "2024-01-02", 1.0, 7)]).price_daily
+    feeds = spark.createDataFrame([(1, 2), (2, None), (3, 1)], "source_id long, priority_rank int")
+    assert [r["close"] for r in prices.primary_price(daily, feeds).collect()] == [9.0]
+    assert [r["latest_close"] for r in prices.latest_primary_trade(daily, feeds).collect()] == [9.0]
+
+
 def test_a_worse_feed_never_changes_the_primary_price(spark):
     rows = [price(c, d, float(c + i), 1) for c in (1, 2) for i, d in enumerate(days("2024-01-01", 9))]
     worse = [price(c, d, 1000.0, 2) for c in (1, 2) for d in days("2024-01-01", 9)]
