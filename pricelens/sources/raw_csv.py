@@ -29,6 +29,10 @@ CLEANED_PATTERN = "*__cleaned.csv"
 # Cells of a line that are parsed; a file with more commas in a line is not parsed at all.
 MAX_CELLS = 200_000
 
+# Rows of one stored file of cells: cells can be stored so tightly that a task's rows would be too few bytes to be split
+# among the tasks that read them.
+CELL_ROWS = 500_000
+
 _FILES = "path STRING, source_file STRING, header BIGINT, multi_line BOOLEAN, too_wide BOOLEAN"
 
 
@@ -221,7 +225,7 @@ def read_raw_groups(
 def store_cells(spark: SparkSession, raw: RawFiles, path: str) -> DataFrame:
     """`read_cells` as a table with a part for each header."""
     rows = read_cells(spark, raw)
-    rows.write.partitionBy("header").parquet(path)
+    rows.write.option("maxRecordsPerFile", CELL_ROWS).partitionBy("header").parquet(path)
     return spark.read.schema(rows.schema).parquet(path).select(rows.columns)
 
 
