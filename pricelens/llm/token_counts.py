@@ -61,7 +61,13 @@ class PrefixCounter:
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.rank):
             raise ValueError("a piece holds a space after other characters, or a line end")
         self.tokens = {p for p in self.rank if len(p) == 1 or self.merged(p) == [p]}
-        self.longest = max(map(len, self.rank))
+        # lengths of the tokens with the same last two or three characters, the longest first
+        self.pair_ends = {t: (2,) for t in self.tokens if len(t) == 2}
+        ends: dict[str, set[int]] = {}
+        for t in self.tokens:
+            if len(t) > 2:
+                ends.setdefault(t[-3:], set(self.pair_ends.get(t[-2:], ()))).add(len(t))
+        self.ends = {end: tuple(sorted(lengths, reverse=True)) for end, lengths in ends.items()}
         self.words = Recent(WORDS, self.word)
         self.states = Recent(REMEMBERED)  # a prefix's count, last token and the state before: for all words that begin so
         self.pairs = Recent(REMEMBERED)
@@ -90,7 +96,7 @@ class PrefixCounter:
         """The number of tokens of each prefix of 1, 2, ... characters. Starts at the longest prefix known."""
         n = len(word)
         counts, last = [0] * (n + 1), [""] * (n + 1)
-        states, tokens, longest, known = self.states, self.tokens, self.longest, self.pairs.get
+        states, tokens, known, ends, pair_ends = self.states, self.tokens, self.pairs.get, self.ends, self.pair_ends
         at, state = min(n, LONGEST_REMEMBERED), None
         while at and (state := states[word[:at]]) is None:
             at -= 1
@@ -98,9 +104,9 @@ class PrefixCounter:
         for i in range(at, 0, -1):
             counts[i], last[i], chain = chain
         for i in range(at + 1, n + 1):
-            for start in range(max(0, i - longest), i - 1):
-                token = word[start:i]
-                if token in tokens:
+            for length in ends.get(word[i - 3 : i]) or pair_ends.get(word[i - 2 : i], ()):
+                start = i - length
+                if start >= 0 and (token := word[start:i]) in tokens:
                     if not start:
                         break
                     fits = known((last[start], token))

@@ -624,6 +624,15 @@ def test_prefix_counts_equal_encoding_each_prefix(pieces, text):
     assert mine == [len(pieces.encode(text[:k])) for k in range(len(text) + 1)]
 
 
+def test_only_lengths_of_tokens_with_that_ending_are_tried():
+    known = token_counts.counter(queries.vocabulary(queries.MODEL))
+    assert all(list(lengths) == sorted(lengths, reverse=True) for lengths in known.ends.values())
+    tried = {(t[-3:], len(t)) for t in known.tokens if len(t) > 2}
+    assert all(n in known.ends[end] for end, n in tried)
+    pairs = {(end, 2) for end in known.ends if end[-2:] in known.tokens}
+    assert sum(map(len, known.ends.values())) == len(tried) + len(pairs)
+
+
 def test_token_counts_on_the_table(spark, docs, empty, pieces, sf_texts):
     for r in queries.op7_token_counts(spark, SF_DIR).collect():
         text = sf_texts[r["doc_id"]]
