@@ -5,14 +5,13 @@ escape's estimate is the number of distinct symbols against all counts, method C
 context are excluded there. Symbols that a context has seen are a subset of those of its suffix, so what is excluded depends
 on the longer context alone, and each context keeps its escape and its exclusions as sums of logarithms.
 
-Counts are made by Spark over all training texts and no node is dropped. Nodes and contexts are tables sharded by path. Each
-path of a block of texts meets its logarithm once in a join, with the texts that hold it as an array. Only paths that are at
-least one in HOT_SHARE of all symbols are sent to the tasks, which looks them up without a join and changes no result."""
+Counts are made by Spark over all training texts and no node is dropped. Tasks sum what they count before they send it.
+Nodes and contexts are tables sharded by path. Each path of a block of texts meets its logarithm once in a join, with the
+texts that hold it as an array. Only paths that are at least one in HOT_SHARE of all symbols are sent to the tasks, which
+looks them up without a join and changes no result."""
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,14 +24,20 @@ from pricelens.llm.common import raw_texts, remainder, slices, written
 #: Bytes of a trie path: a context of up to five and the symbol after it.
 DEPTH = 6
 #: A path that is looked up in the tasks, or a frequent word, is at least one in so many symbols or words.
-HOT_SHARE = 1 << 20
-WORD_SHARE = 1 << 19
+HOT_SHARE = 1 << 22
+WORD_SHARE = 1 << 20
 #: Longer words go the way of rare ones, so that the frequent ones' table is bounded in bytes too.
 LONGEST_FREQUENT = 64
 #: Bytes of neighbouring texts whose equal paths and rare words go into the join as one row, and uses that such rows hold
 #: before they are sent on; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 MOST_USES = 1 << 22
+#: Bytes of texts whose words are looked at together.
+WORDS = 8 << 20
+#: Counts of paths, and bytes of counts of words, that a task holds before it sums equal ones; sums of more than half of that
+#: are sent on.
+MOST_COUNTS = 1 << 21
+MOST_WORDS = 32 << 20
 #: Rows of one Arrow batch on the way to the join.
 ROWS = 1 << 16
 
@@ -40,42 +45,83 @@ ROWS = 1 << 16
 END = b" "
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """From (text, held_out) to (word, path, n) of the texts that are not held out: words have a null path and paths a null
-    word. The end token is the word END. Paths that only held-out texts have are there with 0."""
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, A-Z lowered, one text's after another's, and the number of the text that each is of."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    words, of = lists.flatten().cast(pa.binary()), np.repeat(np.arange(len(texts)), sizes)
+    some = pc.not_equal(pc.binary_length(words), 0)  # space at an end leaves an empty one
+    return words.filter(some), of[some.to_numpy(zero_copy_only=False)]
+
+
+def _sums(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct paths of parts of paths with counts, and their counts' sums."""
+    path, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(path, kind="stable")
+    path = path[order]
+    first = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+    return path[first], np.add.reduceat(n[order], first)
+
+
+def _word_sums(held: list[pa.Table]) -> pa.Table:
+    summed = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"word": summed["word"], "n": summed["n_sum"]})
+
+
+def task_counts(docs: DataFrame) -> DataFrame:
+    """From (text, held_out) to (word, path, n), summed in each task as far as it holds them."""
     schema = pa.schema([("word", pa.binary()), ("path", pa.int64()), ("n", pa.int64())])
 
-    def words_out(held: dict[bytes, int]) -> pa.RecordBatch:
-        n = len(held)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(held.values()), pa.int64())], schema=schema
-        )
+    def words_out(held: pa.Table):
+        for batch in held.combine_chunks().to_batches(ROWS):
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), none, batch.column("n")], schema=schema)
 
-    def paths_out(raws: list[bytes], times: int):
-        for found, _, _ in slabs(raws, DEPTH):
-            found, n = counted(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(n), pa.binary()), pa.array(found.view(np.int64)), pa.array(n * times)], schema=schema
-            )
+    def paths_out(path: np.ndarray, n: np.ndarray):
+        for at in range(0, len(path), ROWS):
+            own = pa.array(path[at : at + ROWS].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.binary()), own, pa.array(n[at : at + ROWS])], schema=schema)
 
     def run(batches):
-        held: Counter[bytes] = Counter()
+        paths, n_paths, words, n_bytes = [], 0, [], 0
         for batch in batches:
             for part in slices(batch, "text", SLAB):
-                yield from paths_out(raw_texts(part.filter(part.column("held_out")), "text"), 0)
-                raws = raw_texts(part.filter(pc.invert(part.column("held_out"))), "text")
-                yield from paths_out(raws, 1)
-                for raw in raws:
-                    held.update(raw.lower().split())
-                if raws:
-                    held[END] += len(raws)
-                if len(held) > 300_000:
-                    yield words_out(held)
-                    held = Counter()
-        yield words_out(held)
-
-    counts = docs.mapInArrow(run, "word binary, path long, n long")
-    return counts.groupBy("word", "path").agg(F.sum("n").alias("n"))
+                out = part.column("held_out")
+                for times, own in enumerate((part.filter(out), part.filter(pc.invert(out)))):
+                    for found, _, _ in slabs(raw_texts(own, "text"), DEPTH):
+                        found, n = counted(found)
+                        paths.append((found, n * times))
+                        n_paths += len(n)
+                        if n_paths > MOST_COUNTS:
+                            paths = [_sums(paths)]
+                            n_paths = len(paths[0][0])
+                            if n_paths > MOST_COUNTS // 2:
+                                yield from paths_out(*paths[0])
+                                paths, n_paths = [], 0
+                if own.num_rows:  # the last, those that are not held out
+                    found = words_of(own.column("text"))[0].value_counts()
+                    words.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                    words.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([own.num_rows], pa.int64())}))
+                    n_bytes += words[-2].nbytes
+                    if n_bytes > MOST_WORDS:
+                        words = [_word_sums(words)]
+                        n_bytes = words[0].nbytes
+                        if n_bytes > MOST_WORDS // 2:
+                            yield from words_out(words[0])
+                            words, n_bytes = [], 0
+        if paths:
+            yield from paths_out(*_sums(paths))
+        if words:
+            yield from words_out(_word_sums(words))
+
+    return docs.mapInArrow(run, "word binary, path long, n long")
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """From (text, held_out) to (word, path, n) of the texts that are not held out: words have a null path and paths a null
+    word. The end token is the word END. Paths that only held-out texts have are there with 0."""
+    # dealt out as they are: tasks have summed theirs, a second sum before the shuffle finds next to nothing
+    return task_counts(docs).repartition("word", "path").groupBy("word", "path").agg(F.sum("n").alias("n"))
 
 
 def _last(path: str, length: int) -> Column:
@@ -197,6 +243,31 @@ def uses(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndar
     return path[first][starts].view(np.int64), np.append(starts, len(first)), (text[first] << 32) | times
 
 
+def base_of(part: pa.RecordBatch, frequent: pa.Array, logs: np.ndarray):
+    """Tokens, frequent tokens and the sum of their logarithms for each text; the distinct other words, where each one's uses
+    start, and the uses."""
+    n_tokens, known, base = (np.zeros(part.num_rows, t) for t in (np.int64, np.int64, np.float64))
+    values = np.append(logs, 0.0)
+    rare, texts, done = [], [], 0
+    for some in slices(part.select(["text"]), "text", WORDS):
+        n, first = some.num_rows, done
+        done += n
+        words, of = words_of(some.column("text"))
+        words = pa.concat_arrays([words, pa.repeat(pa.scalar(END, pa.binary()), n)])
+        of = np.append(of, np.arange(n))
+        at = pc.fill_null(pc.index_in(words, value_set=frequent), -1).to_numpy()
+        n_tokens[first:done] = np.bincount(of, minlength=n)
+        known[first:done] = np.bincount(of[at >= 0], minlength=n)
+        base[first:done] = np.bincount(of, values[at], n)  # -1 is the 0 at the end
+        rare.append(words.filter(pa.array(at < 0)))
+        texts.append(of[at < 0] + first)
+    coded = pa.concat_arrays(rare).dictionary_encode()
+    if not len(coded):
+        return n_tokens, known, base, coded.dictionary, np.zeros(1, np.int64), np.zeros(0, np.int64)
+    code, starts, found = uses([(coded.indices.to_numpy().astype(np.uint64), np.concatenate(texts))])
+    return n_tokens, known, base, coded.dictionary.take(pa.array(code)), starts, found
+
+
 def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -215,9 +286,10 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_
     words = counts.where("word is not null").select("word", "n")
     size, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     near = (F.col("n") >= size / WORD_SHARE) & (F.octet_length("word") <= LONGEST_FREQUENT)
-    frequent = words.where(near)
     divided = size + 0.5 * (distinct + 1)
-    frequent = spark.sparkContext.broadcast({bytes(r[0]): float(np.log10((r[1] + 0.5) / divided)) for r in frequent.collect()})
+    kept = words.where(near).select("word", "n").toArrow()  # at most WORD_SHARE rows
+    logs = np.log10((kept["n"].to_numpy() + 0.5) / divided)
+    frequent = spark.sparkContext.broadcast((kept["word"].combine_chunks(), logs))
     nodes, contexts, n_symbols = model(counts)
     den = contexts[-1].select("context", "den")
     direct = nodes[-1].withColumn("context", F.shiftright("path", 8)).join(den, "context")
@@ -239,25 +311,12 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_
     docs = docs.withColumn("key", F.monotonically_increasing_id())
 
     def run(batches):
-        ppm, values = Hot(*hot.value), frequent.value
+        ppm = Hot(*hot.value)
         for batch in batches:
             for part in slices(batch, "text", BLOCK):
                 own = part.column("key").to_numpy()  # one after another, as they are of one partition
-                raws = raw_texts(part, "text")
-                total, groups = ppm.texts(raws, MOST_USES)
-                rare: dict[bytes, list[int]] = {}
-                n_tokens, known, base = [], [], []
-                for i, raw in enumerate(raws):
-                    found = raw.lower().split()
-                    found.append(END)
-                    logs = [values.get(w) for w in found]
-                    seen = [x for x in logs if x is not None]
-                    n_tokens.append(len(found))
-                    known.append(len(seen))
-                    base.append(sum(seen))
-                    if len(seen) < len(found):
-                        for word, times in Counter(w for w, x in zip(found, logs) if x is None).items():
-                            rare.setdefault(word, []).append(i << 32 | times)
+                total, groups = ppm.texts(raw_texts(part, "text"), MOST_USES)
+                n_tokens, known, base, *rare = base_of(part, *frequent.value)
 
                 def rows(path, word, starts, uses, facts_=None):
                     for at in range(0, len(path), ROWS):
@@ -266,7 +325,7 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(path[at:to]),
-                                pa.array(word[at:to], pa.binary()) if word else pa.repeat(pa.scalar(b"", pa.binary()), to - at),
+                                pa.repeat(pa.scalar(b"", pa.binary()), to - at) if word is None else word[at:to],
                                 pa.repeat(pa.scalar(int(own[0]), pa.int64()), to - at),
                                 pa.ListArray.from_arrays(pa.array((starts[at : to + 1] - starts[at]).astype(np.int32)), pa.array(own_uses)),
                                 facts_.slice(at, to - at) if facts_ else pa.nulls(to - at, facts_type),
@@ -275,31 +334,31 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_
                         )
 
                 arrays = [
-                    part.column("doc"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(total),
+                    part.column("doc"), part.column("held_out"), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(total),
                 ]
                 of_docs = pa.StructArray.from_arrays(arrays, names=[f.name for f in facts])
                 facts_type = of_docs.type
                 # one row for each document, under a path that nothing has, for each rare word and for each other path
-                n = np.arange(len(raws) + 1)
+                n = np.arange(part.num_rows + 1)
                 yield from rows(-2 - own, None, n, n[:-1] << 32, of_docs)
-                sizes = np.cumsum([0] + [len(x) for x in rare.values()])
-                every = np.array([use for x in rare.values() for use in x], np.int64)
-                yield from rows(np.full(len(rare), -1), list(rare), sizes, every)
+                yield from rows(np.full(len(rare[0]), -1), *rare)
                 for path, starts, found in groups:
                     yield from rows(path, None, starts, found)
 
     rows = docs.mapInArrow(run, StructType(fields))
     table = words.where(~near).select(F.lit(-1).cast("long").alias("path"), "word", F.col("n").cast("double").alias("x"))
     table = table.union(paths.select("path", F.lit(b""), "value"))
-    # by path first: the word is empty but for rare words, and sorts compare the first key fastest
-    joined = rows.join(table, ["path", "word"], "left")
+    # by path first, as sorts compare the first key fastest; a rare word has the negative of its hash there
+    is_word = F.octet_length("word") > 0
+    hashed = F.when(is_word, F.xxhash64("word").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("path"))
+    joined = rows.withColumn("path", hashed).join(table.withColumn("path", hashed), ["path", "word"], "left")
     used = joined.select(
-        "path", "x", "block", F.explode("uses").alias("use"), *[F.col("facts")[f.name].alias(f.name) for f in facts]
-    )
+        (F.col("path") >= 0).alias("is_path"), is_word.alias("is_word"), "x", "block", F.explode("uses").alias("use"),
+        *[F.col("facts")[f.name].alias(f.name) for f in facts],
+    )
     times = F.col("use").bitwiseAND(F.lit((1 << 32) - 1))
     each = F.log10((F.coalesce("x", F.lit(0.0)) + 0.5) / F.lit(float(divided)))
-    is_word, is_path = F.col("path") == -1, F.col("path") >= 0
+    is_word, is_path = F.col("is_word"), F.col("is_path")
     return (
         used.groupBy((F.col("block") + F.shiftright("use", 32)).alias("key"))
         .agg(

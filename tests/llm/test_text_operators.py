@@ -12,6 +12,7 @@ from uuid import uuid4
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -230,6 +231,38 @@ def test_lm_keeps_what_is_rare(spark, monkeypatch, share):
         assert out[d] == pytest.approx(ppm.text(t.encode()), rel=1e-9)
 
 
+def test_lm_tasks_send_each_count_once(spark, monkeypatch):
+    texts = [f"the same words \t in {d % 3} texts\n" for d in range(60)]
+    frame = spark.createDataFrame([(t, crc(d) == 1) for d, t in enumerate(texts)], "text string, held_out boolean").coalesce(1)
+    sent, map_in_arrow = [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, *a: sent.append(map_in_arrow(self, *a)) or sent[-1])
+    monkeypatch.setattr(lm_scoring, "SLAB", 100)
+    counts = {tuple(r[:2]): r.n for r in lm_scoring.corpus_counts(frame).collect()}
+    assert sent[0].count() == len(counts)
+    learned = [t for d, t in enumerate(texts) if crc(d) != 1]
+    words = Counter(w.encode() for t in learned for w in t.split()) + Counter({lm_scoring.END: len(learned)})
+    assert {w: n for (w, p), n in counts.items() if p is None} == words
+    monkeypatch.setattr(lm_scoring, "MOST_COUNTS", 20)
+    monkeypatch.setattr(lm_scoring, "MOST_WORDS", 100)
+    assert {tuple(r[:2]): r.n for r in lm_scoring.corpus_counts(frame).collect()} == counts
+    assert sent[1].count() > len(counts)
+
+
+def test_lm_words_in_slices_equal_split(monkeypatch):
+    texts = ["A b\x0bC", None, "", " \t\n\x0b\f\r", " É\x85é \x1c a\x00 a ", "b " * 50, "a B zz É"]
+    monkeypatch.setattr(lm_scoring, "WORDS", 10)
+    known = [b"a", b"b", lm_scoring.END]
+    part = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    n_tokens, n_known, base, rare, starts, uses = lm_scoring.base_of(part, pa.array(known, pa.binary()), np.array([-1.0, -2.0, -4.0]))
+    split = [(t or "").encode().lower().split() + [lm_scoring.END] for t in texts]
+    assert n_tokens.tolist() == [len(s) for s in split]
+    assert n_known.tolist() == [sum(w in known for w in s) for s in split]
+    assert base.tolist() == [-s.count(b"a") - 2 * s.count(b"b") - 4 for s in split]
+    got = {w: [(int(u) >> 32, int(u) & 0xFFFFFFFF) for u in uses[a:b]] for w, a, b in zip(rare.to_pylist(), starts, starts[1:])}
+    others = {w for s in split for w in s} - set(known)
+    assert got == {w: [(i, s.count(w)) for i, s in enumerate(split) if w in s] for w in others}
+
+
 def test_lm_probabilities_sum_to_one():
     raws = [b"abracadabra", b"abc abd abe", b"\xc3\xa4bc"]
     plain = PlainPpm(raws)
